@@ -113,30 +113,45 @@ def scene_time_bounds(start: Column, end: Column, instant: Column, days: Column)
     return left, right
 
 
-def solar_terms(day: Column) -> tuple[Column, Column]:
-    """Equation of time (minutes) and declination (radians), NOAA general solar position equations."""
-    leap = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))).cast("double")
-    g = F.lit(2 * math.pi) / leap * (F.dayofyear(day) - 1)
-    # Published Fourier coefficients, constant, cos g, sin g, cos 2g, sin 2g, cos 3g, sin 3g.
-    eq = (0.000075, 0.001868, -0.032077, -0.014615, -0.040849)
-    dec = (0.006918, -0.399912, 0.070257, -0.006758, 0.000907, -0.002697, 0.00148)
-    def series(c):
-        total = F.lit(c[0])
-        for k in range(1, len(c)):
-            angle = g * ((k + 1) // 2)
-            total = total + F.lit(c[k]) * (F.cos(angle) if k % 2 else F.sin(angle))
-        return total
-    return F.lit(229.18) * series(eq), series(dec)
+# NOAA general solar position equations, Fourier coefficients in the order
+# constant, cos g, sin g, cos 2g, sin 2g, cos 3g, sin 3g; minutes of time (times 229.18) and radians.
+EQUATION_OF_TIME = (0.000075, 0.001868, -0.032077, -0.014615, -0.040849)
+DECLINATION = (0.006918, -0.399912, 0.070257, -0.006758, 0.000907, -0.002697, 0.00148)
+SUNRISE_ZENITH_DEG = 90.833
+
+
+def _solar_table() -> dict[str, str]:
+    """Folded array constants over the days of a common year followed by those of a leap year."""
+    def series(c, g):
+        return sum(v * (1 if k == 0 else (math.cos if k % 2 else math.sin)(g * ((k + 1) // 2))) for k, v in enumerate(c))
+    rows = []
+    for length in (365, 366):
+        for n in range(366):
+            g = 2 * math.pi / length * n
+            dec = series(DECLINATION, g)
+            rows.append((229.18 * series(EQUATION_OF_TIME, g), math.sin(dec), math.cos(dec)))
+    return {name: "cast(split('" + ",".join(repr(r[i]) for r in rows) + "', ',') as array<double>)"
+            for i, name in enumerate(("eq", "sin", "cos"))}
+
+
+_SOLAR = _solar_table()
+
+
+def solar_terms(day: Column) -> tuple[Column, Column, Column]:
+    """Equation of time (minutes) and sine and cosine of the declination, looked up by day of year."""
+    leap = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))) == 366
+    at = F.dayofyear(day) - 1 + F.when(leap, 366).otherwise(0)
+    return tuple(F.get(F.expr(_SOLAR[k]), at) for k in ("eq", "sin", "cos"))
 
 
 def daylight_span(day: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
     """Seconds of sunrise and sunset around local noon; the whole UTC day in polar day; NULL in polar night."""
-    eq, dec = solar_terms(day)
+    eq, sin_dec, cos_dec = solar_terms(day)
     phi = F.radians(lat)
-    hour_cos = (F.lit(math.cos(math.radians(90.833))) - F.sin(phi) * F.sin(dec)) / F.greatest(
-        F.lit(1e-15), F.cos(phi) * F.cos(dec))
+    hour_cos = (F.lit(math.cos(math.radians(SUNRISE_ZENITH_DEG))) - F.sin(phi) * sin_dec) / F.greatest(
+        F.lit(1e-15), F.cos(phi) * cos_dec)
     midnight = epoch(day)
-    half = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), hour_cos)))) * 240
+    half = F.degrees(F.acos(hour_cos)) * 240
     noon = midnight + (F.lit(720) - lon * 4 - eq) * 60
     left = F.when(hour_cos >= 1, None).when(hour_cos <= -1, midnight.cast("double")).otherwise(noon - half)
     right = F.when(hour_cos >= 1, None).when(hour_cos <= -1, (midnight + DAY).cast("double")).otherwise(noon + half)

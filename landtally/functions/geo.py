@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 # The WGS84 ellipsoid and the universal transverse Mercator scale and false easting.
@@ -169,7 +169,7 @@ def vincenty_m(lon1, lat1, lon2, lat2):
         return b * big_a * (sigma - shift)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def geodesic_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     """Arrow-batched WGS84 geodesic distance in metres."""
     return pd.Series(vincenty_m(lon1, lat1, lon2, lat2))

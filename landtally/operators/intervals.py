@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landtally.functions import calendar as cal
-from landtally.operators.ordered import exact_percentiles, neighbour
+from landtally.operators.ordered import exact_percentiles, neighbour, running
 
 DAY = 86400
 LATENT_HEAT = 2450000.0
@@ -24,31 +24,35 @@ def touch_windows(df: DataFrame, start_s: str = "start_s", end_s: str = "end_s",
         "overlap_s", F.greatest(F.lit(0), F.col("right_s") - F.col("left_s")))
 
 
-def _lit_span(day: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Daylight of one day minus what the day before already covers."""
-    left, right = cal.daylight_span(day, lat, lon)
-    _, before = cal.daylight_span(F.date_sub(day, 1), lat, lon)
-    return F.greatest(left, F.coalesce(before, left)), right
+def with_daylight(df: DataFrame, start: str, end: str, name: str = "day_s") -> DataFrame:
+    """Daylight seconds inside a short interval; spans of the neighbouring UTC days can reach in.
 
-
-def daylight_overlap(start: Column, end: Column, lat: Column, lon: Column) -> Column:
-    """Daylight seconds inside a short interval; spans of the neighbouring UTC days can reach in."""
-    day = F.timestamp_seconds(start).cast("date")
+    The spans are columns of the row itself: no calendar join, no shuffle. Overlapping spans of
+    adjacent polar days count once.
+    """
+    lat, lon = F.col("lat"), F.col("lon")
+    day = F.timestamp_seconds(F.col(start)).cast("date")
+    out = df.withColumn("_sun", F.array(*[
+        F.struct(*[c.alias(n) for c, n in zip(cal.daylight_span(F.date_add(day, k), lat, lon), "ab")]) for k in (-2, -1, 0, 1)]))
     total = F.lit(0.0)
-    for shift in (-1, 0, 1):
-        left, right = _lit_span(F.date_add(day, shift), lat, lon)
-        total = total + F.coalesce(F.greatest(F.lit(0.0), F.least(end, right) - F.greatest(start, left)), F.lit(0.0))
-    return total
+    for i in (1, 2, 3):
+        left, right, before = F.col("_sun")[i]["a"], F.col("_sun")[i]["b"], F.col("_sun")[i - 1]["b"]
+        left = F.greatest(F.col(start), left, before)
+        total = total + F.when(right.isNotNull(), F.greatest(F.lit(0.0), F.least(F.col(end), right) - left)).otherwise(0.0)
+    return out.withColumn(name, total).drop("_sun")
 
 
 def daylight_between(start: Column, end: Column, lat: Column, lon: Column) -> Column:
     """Daylight seconds of a window of days (evaluated once per aggregated window)."""
     first, last = F.timestamp_seconds(start).cast("date"), F.timestamp_seconds(end).cast("date")
-    days = F.sequence(F.date_sub(first, 2), F.date_add(last, 2))
-    def add(total: Column, day: Column) -> Column:
-        left, right = _lit_span(day, lat, lon)
-        return total + F.coalesce(F.greatest(F.lit(0.0), F.least(end, right) - F.greatest(start, left)), F.lit(0.0))
-    return F.aggregate(days, F.lit(0.0), add)
+    days = F.sequence(F.date_sub(first, 3), F.date_add(last, 2))
+    spans = F.transform(days, lambda d: F.struct(*[c.alias(n) for c, n in zip(cal.daylight_span(d, lat, lon), "ab")]))
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("before"))
+    def add(acc: Column, span: Column) -> Column:
+        left = F.greatest(start.cast("double"), span["a"], acc["before"])
+        part = F.when(span["b"].isNotNull(), F.greatest(F.lit(0.0), F.least(end.cast("double"), span["b"]) - left)).otherwise(0.0)
+        return F.struct((acc["total"] + part).alias("total"), span["b"].alias("before"))
+    return F.aggregate(spans, zero, add, lambda acc: acc["total"])
 
 
 def daylight_spans(df: DataFrame, day: str, lat: str, lon: str) -> DataFrame:
@@ -57,14 +61,13 @@ def daylight_spans(df: DataFrame, day: str, lat: str, lon: str) -> DataFrame:
     return df.withColumn("sun_left", left).withColumn("sun_right", right).filter(F.col("sun_left").isNotNull())
 
 
-def merged_spans(df: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
-    """Union of touching spans per key. Per-key rows are calendar-bounded (one span a day)."""
-    w = Window.partitionBy(*keys).orderBy(left, right)
-    reach = F.max(right).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_reach", reach).withColumn(
-        "_new", F.when(F.col("_reach").isNull() | (F.col(left) > F.col("_reach")), 1).otherwise(0))
-    flagged = flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return flagged.groupBy(*keys, "_island").agg(F.min(left).alias(left), F.max(right).alias(right)).drop("_island")
+def merged_spans(df: DataFrame, keys: list[str], left: str, right: str, bucket_s: int = 30 * DAY) -> DataFrame:
+    """Union of touching spans per key. A span starts a new island when it begins past all earlier ends."""
+    bucket, order = F.floor(F.col(left) / bucket_s), [F.col(left), F.col(right)]
+    out = running(df.select(*keys, left, right), keys, order, right, "_reach", bucket, "max")
+    out = out.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col(left) > F.col("_reach")), F.col(left)))
+    out = running(out, keys, order, "_opens", "_island", bucket, "max", inclusive=True)
+    return out.groupBy(*keys, F.col("_island")).agg(F.min(left).alias(left), F.max(right).alias(right)).drop("_island")
 
 
 def label_sums(name: str, value: Column, good: Column, measured: Column) -> list[Column]:
@@ -109,8 +112,7 @@ def interval_labels(df: DataFrame, keys: list[str], value: str = "le", qc: str =
     after partial aggregation.
     """
     good = F.col(qc).isin(0, 1) & (F.lit(True) if support is None else support)
-    rows = touch_windows(df).withColumn(
-        "day_s", daylight_overlap(F.col("left_s"), F.col("right_s"), F.col("lat"), F.col("lon")))
+    rows = with_daylight(touch_windows(df), "left_s", "right_s")
     group = [*keys, "lat", "lon", "target_time", "target_end"]
     sums = rows.groupBy(*group).agg(*label_sums("v", F.col(value), good, F.col(qc) == 0))
     a, b = cal.epoch(F.col("target_time")), cal.epoch(F.col("target_end"))
@@ -155,8 +157,7 @@ def paired_labels(df: DataFrame, keys: list[str], offset_s: str) -> DataFrame:
     local = daily_support(local, keys, raw_good, "raw_mask")
     local = daily_support(local, keys, raw_good & finite("le_corr"), "corrected_mask")
     utc = local.withColumn("start_s", F.col("start_s") - F.col(offset_s)).withColumn("end_s", F.col("end_s") - F.col(offset_s))
-    rows = touch_windows(utc).withColumn(
-        "day_s", daylight_overlap(F.col("left_s"), F.col("right_s"), F.col("lat"), F.col("lon")))
+    rows = with_daylight(touch_windows(utc), "left_s", "right_s")
     group = [*keys, "lat", "lon", "target_time", "target_end"]
     sums = rows.groupBy(*group).agg(
         *label_sums("raw", F.col("le"), F.col("raw_mask"), F.col("qc") == 0),

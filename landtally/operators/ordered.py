@@ -61,12 +61,12 @@ def neighbour(df: DataFrame, keys: list[str], time: str, value: str, name: str,
     parts = [*keys, "_bucket"]
     step = F.lead if ahead else F.lag
     edge = F.min if ahead else F.max
-    edges = keyed.groupBy(*parts).agg(edge(F.struct(time, value)).alias("_edge"))
+    edges = keyed.groupBy(*parts).agg(edge(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))).alias("_edge"))
     edges = edges.withColumn("_next", step("_edge").over(Window.partitionBy(*keys).orderBy("_bucket")))
     local = keyed.withColumn("_near", step(value).over(Window.partitionBy(*parts).orderBy(time, value)))
     local = local.withColumn("_last", step(F.lit(True)).over(Window.partitionBy(*parts).orderBy(time, value)).isNull())
     joined = local.alias("l").join(edges.alias("e"), same_keys("l", "e", parts))
-    found = F.when(F.col("l._last"), F.col(f"e._next.{value}")).otherwise(F.col("l._near"))
+    found = F.when(F.col("l._last"), F.col("e._next.v")).otherwise(F.col("l._near"))
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], found.alias(name))
 
 
@@ -147,15 +147,24 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, probabilitie
     return out.select(*keys, "n", (F.col("_a") + (F.col("_z") - F.col("_a")) * share).alias("percentile"))
 
 
-def running_before(df: DataFrame, groups: list[str], order: list[Column], weight: str, name: str,
-                   bucket: Column) -> DataFrame:
-    """Sum of ``weight`` over the rows before each one in its group, for groups of any size."""
+def running(df: DataFrame, groups: list[str], order: list[Column], value: str, name: str, bucket: Column,
+            how: str = "sum", inclusive: bool = False) -> DataFrame:
+    """Running ``sum`` or ``max`` in order, before each row or including it, for groups of any size."""
+    fold = {"sum": F.sum, "max": F.max}[how]
     keyed = df.withColumn("_bucket", bucket)
     keys = [*groups, "_bucket"]
-    starts = keyed.groupBy(*keys).agg(F.sum(weight).alias("_size")).withColumn(
-        "_start", F.coalesce(F.sum("_size").over(
-            Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(*_BEFORE)), F.lit(0)))
-    local = keyed.withColumn("_local", F.coalesce(F.sum(weight).over(
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_BEFORE)), F.lit(0)))
+    starts = keyed.groupBy(*keys).agg(fold(value).alias("_size")).withColumn(
+        "_start", fold("_size").over(Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(*_BEFORE)))
+    frame = (Window.unboundedPreceding, 0 if inclusive else -1)
+    local = keyed.withColumn("_local", fold(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))
     joined = local.alias("l").join(starts.alias("s"), same_keys("l", "s", keys))
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.col("s._start")).alias(name))
+    here, before = F.col("l._local"), F.col("s._start")
+    zero = F.lit(0)
+    both = F.coalesce(here, zero) + F.coalesce(before, zero) if how == "sum" else F.greatest(here, before)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], both.alias(name))
+
+
+def running_before(df: DataFrame, groups: list[str], order: list[Column], weight: str, name: str,
+                   bucket: Column) -> DataFrame:
+    """Sum of ``weight`` over the rows before each one."""
+    return running(df, groups, order, weight, name, bucket)
