@@ -46,12 +46,12 @@ def pair_days(station: DataFrame, product: DataFrame, keys: list[str]) -> DataFr
 
 def pair_periods(record: DataFrame, product: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Exact period equality, a finite nonnegative product value, else a reason."""
-    p = product.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), "product_value", F.lit(1).alias("_p"))
-    j = record.join(p, (record[key] == p[key]) & (record[start] == F.col("_s")), "left").drop(p[key])
+    p = product.select(F.col(key), F.col(start), F.col(end).alias("_e"), "product_value", F.lit(1).alias("_p"))
+    j = record.join(p, [key, start], "left")
     v = F.col("product_value")
     reason = (F.when(F.col("_p").isNull(), "no_product_period").when(F.col("_e") != F.col(end), "period_mismatch")
               .when(v.isNull() | F.isnan(v) | (v < 0), "missing_or_negative_product"))
-    return j.withColumn("reason", reason).withColumn("eligible", reason.isNull()).drop("_s", "_e", "_p")
+    return j.withColumn("reason", reason).withColumn("eligible", reason.isNull()).drop("_e", "_p")
 
 
 def common_support(models: DataFrame, key: str, model: str, valid: Column, expected: int) -> DataFrame:
