@@ -86,14 +86,15 @@ def maxmin_allocate(children: DataFrame, parents: list[str], capacity: str, tota
 def stratum_quotas(counts: DataFrame, top: str, levels: list[str], seed: int) -> DataFrame:
     """Push the quota of each ``top`` group down ``levels``; ``counts`` has ``n`` and ``top_quota``."""
     path = [top]
-    current = counts.withColumn("_asked", F.col("top_quota"))
+    # Each level reads the one above twice: the counted table (strata, not rows) is written between levels.
+    current = cut_lineage(counts.withColumn("_asked", F.col("top_quota")))
     for level in levels:
         nodes = current.groupBy(*path, level).agg(F.sum("n").alias("_capacity"), F.max("_asked").alias("_total"))
         nodes = nodes.withColumn("_hash", K.hash_rank(seed, K.canonical_list(*[F.col(c) for c in [*path, level]])))
         shares = maxmin_allocate(nodes, path, "_capacity", "_total", "_hash")
         path = [*path, level]
         share = shares.select(*path, F.col("quota").alias("_share"))
-        current = current.drop("_asked").join(share, path).withColumnRenamed("_share", "_asked")
+        current = cut_lineage(current.drop("_asked").join(share, path).withColumnRenamed("_share", "_asked"))
     return current
 
 
@@ -118,7 +119,7 @@ def balanced_draw(candidates: DataFrame, seed: int, total: int, top: str = "freq
     ``report`` returns the leaf quotas instead of the drawn rows.
     """
     leaf = [top, *levels]
-    counts = candidates.groupBy(*leaf, site).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(candidates.groupBy(*leaf, site).agg(F.count(F.lit(1)).alias("n")))
     quotas = frequency_quotas(counts, top, total)
     counts = counts.join(quotas.withColumnRenamed("quota", "top_quota"), top)
     leaves = stratum_quotas(counts, top, levels, seed)
@@ -180,17 +181,20 @@ def picker_rank(df: DataFrame, seed: int, name: str, top: str = "frequency_bin",
     """Position of each candidate in a nested rotation over strata, years, months and sites of its bin.
 
     A site's own rows come first by hash; each level above interleaves its children by visit number.
+    Only ids and strata travel; that narrow table is written between levels, since each level
+    reads the one below twice.
     """
-    out = df.withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(key))))
+    narrow = [top, "landcover", "climate_class", "year", "month", site, key]
+    out = df.select(*narrow).withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(key))))
     paths = [[top, "landcover", "climate_class", "year", "month", site], [top, "landcover", "climate_class", "year", "month"],
              [top, "landcover", "climate_class", "year"], [top, "landcover", "climate_class"], [top]]
-    out = numbered_by_hash(out, paths[0], "_hash", "_visit")
+    out = cut_lineage(numbered_by_hash(out, paths[0], "_hash", "_visit"))
     for child, parent in zip(paths, paths[1:]):
         out = out.withColumn("_child", K.hash_rank(seed, K.canonical_list(*[F.col(c) for c in child])))
         order = [F.col("_visit"), F.col("_child"), F.col("_hash")]
         out = numbered(out, parent, order, "_up", visit_bucket(F.col("_visit"), F.col("_child"))).drop("_visit")
-        out = out.withColumnRenamed("_up", "_visit")
-    return out.withColumnRenamed("_visit", name).drop("_hash", "_child")
+        out = cut_lineage(out.withColumnRenamed("_up", "_visit"))
+    return df.join(out.select(key, F.col("_visit").alias(name)), key)
 
 
 def _accept_spaced(gap_days: int, full: bool):
@@ -238,7 +242,7 @@ def spaced_picks(ranked: DataFrame, station: list[str], rank: str, gap_days: int
 
 def capacity_draw(candidates: DataFrame, seed: int, gap_days: int = 30, station: str = "physical_group_id") -> DataFrame:
     """Spaced draw that reaches every bin's exact capacity, ordered by the nested rotation."""
-    ranked = picker_rank(candidates, seed, "draw_rank")
+    ranked = cut_lineage(picker_rank(candidates, seed, "draw_rank"))
     return spaced_picks(ranked, ["frequency_bin", station], "draw_rank", gap_days, full=True)
 
 
@@ -252,7 +256,8 @@ def stratified_pick(candidates: DataFrame, quotas: DataFrame, seed: int, gap_day
     """
     pool = candidates if admissible is None else candidates.filter(admissible)
     ranked = picker_rank(pool, seed, "draw_rank").join(F.broadcast(quotas.filter("quota > 0")), "frequency_bin")
-    order = F.struct(((F.col("draw_rank") - 1) / F.col("quota")).alias("fill"), F.col("frequency_bin").alias("bin"))
+    # One sortable number: the filled share of the bin first, then the bin.
+    order = F.floor((F.col("draw_rank") - 1) / F.col("quota") * float(1 << 36)) * 8 + F.col("frequency_bin")
     ranked = cut_lineage(ranked.withColumn("_order", order))
     while True:
         picks = numbered(spaced_picks(ranked, [station], "_order", gap_days), ["frequency_bin"],
@@ -289,7 +294,7 @@ def _month_diverse(gap_days: int, limit: int):
 def month_diverse_windows(df: DataFrame, station: list[str], gap_days: int, limit: int = 1 << 30) -> DataFrame:
     """Per station, repeatedly the least-used month, then the earliest date; dates keep the gap."""
     days = df.select(*station, "target_time").distinct()
-    schema = days.schema.add("pick", "bigint")
+    schema = days.schema.add("pick", "long")
     return days.groupBy(*station).applyInPandas(_month_diverse(gap_days, limit), schema)
 
 
@@ -362,7 +367,7 @@ def diverse_visits(df: DataFrame, seed: int, group: str, key: str = "sample_id",
 def nested_subset(df: DataFrame, fraction: float, seed: int, group: str, stratum: str, labels: list[str],
                   minimum: int = 64, preserve_groups: bool = False, key: str = "sample_id") -> DataFrame:
     """First ceil(n * fraction) of each stratum in diverse order, with label floors; nested across fractions."""
-    base = diverse_visits(df, seed, group, key)
+    base = cut_lineage(diverse_visits(df, seed, group, key))
     order = [F.col("spatial_visit"), F.col("order_hash")]
     bucket = visit_bucket(F.col("spatial_visit"), F.col("order_hash"))
     ranked = numbered(base, [stratum], order, "_stratum_rank", bucket)

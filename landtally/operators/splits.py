@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from landtally.functions import keys as K
 from landtally.operators import spatial
 from landtally.operators.ordered import numbered_by_hash, running_before
+from landtally.session import cut_lineage
 
 TASKS = ("sm", "et")
 
@@ -19,21 +20,23 @@ def assign_splits(stations: DataFrame, products: DataFrame, seed: int = 43, deve
     Physical groups share an identity or lie within ``colocated_m``; spatial groups also join when
     station tiles meet. A group that meets a product support, or holds a development site, is train.
     """
-    located = stations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    # Stations and their links feed two component jobs: written once, read often.
+    located = cut_lineage(stations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()))
     identity = spatial.identity_links(located, "location_id", "group_id")
-    near = spatial.distance_links(located, "location_id", colocated_m)
+    near = cut_lineage(identity.unionByName(spatial.distance_links(located, "location_id", colocated_m)))
     tiles = spatial.distance_links(located, "location_id", overlap_m)
     nodes = located.select("location_id")
-    physical = spatial.components(nodes, identity.unionByName(near), "location_id", "_physical")
-    grouped = spatial.components(nodes, identity.unionByName(near).unionByName(tiles), "location_id", "spatial_group_id")
+    physical = spatial.components(nodes, near, "location_id", "_physical")
+    grouped = spatial.components(nodes, near.unionByName(tiles), "location_id", "spatial_group_id")
     names = located.join(physical, "location_id")
     physical_name = names.groupBy("_physical").agg(F.min("group_id").alias("physical_group_id"))
-    circles = spatial.tile_circle(located.select("location_id", "lon", "lat"))
+    circles = cut_lineage(spatial.tile_circle(located.select("location_id", "lon", "lat")))
     hits = spatial.circles_overlap(circles, products, left_id="location_id", right_id="product_id")
     touched = hits.groupBy("location_id").agg(F.countDistinct("product_id").alias("product_overlap_count"))
     out = names.join(physical_name, "_physical").drop("_physical").join(grouped, "location_id").join(touched, "location_id", "left")
     out = out.withColumn("product_overlap_count", F.coalesce("product_overlap_count", F.lit(0)))
     dev = F.lit(False) if development is None else development
+    out = cut_lineage(out)
     flags = out.groupBy("spatial_group_id").agg(
         F.max("product_overlap_count").alias("_hit"), F.max(dev.cast("int")).alias("_dev"))
     draw = K.split_of_percent(K.hash_percent(K.fingerprint(seed, K.quoted(F.col("spatial_group_id")))))
@@ -80,7 +83,7 @@ def stratify_groups(df: DataFrame, locked: DataFrame, seed: int = 43, group: str
         *[F.max(F.when(F.col(f"_{t}") > 0, 1).otherwise(0)).alias(f"_{t}") for t in TASKS])
     base = rarest.select(group, F.col("_r.frequency_bin").alias("frequency_bin"), "windows", *[f"_{t}" for t in TASKS])
     base = base.join(locked.select(group).distinct().withColumn("_locked", F.lit(True)), group, "left")
-    base = base.withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(group))))
+    base = cut_lineage(base.withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(group)))))
     need = task_coverage(df, locked, group)
     # Reserve evaluation groups per bin and task from the unlocked groups that carry it in that bin.
     entries = [F.struct(F.lit(t).alias("task"), (F.col(f"_{t}") > 0).alias("has")) for t in TASKS]
@@ -118,11 +121,12 @@ def rebalance_et(df: DataFrame, seed: int = 43, share: float = 0.15, group: str
     total = per.groupBy("frequency_bin").agg((F.sum("_w") * share).alias("_goal"))
     rows = per.join(facts, group).join(mixed, group).filter("_split <> 'train'")
     rows = rows.withColumn("_fixed", (F.col("_sm") > 0) | (F.col("_bins") > 1)).withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(group))))
+    rows = cut_lineage(rows)
     cell = ["frequency_bin", "_split"]
     bucket = F.when(F.col("_fixed"), 0).otherwise(65536) + K.hash_bucket(F.col("_hash"))
     order = [F.col("_fixed").desc(), F.col("_hash")]
     rows = running_before(rows.withColumn("_one", F.lit(1)), cell, order, "_w", "_w_before", bucket)
-    rows = running_before(rows, cell, order, "_one", "_n_before", bucket)
+    rows = cut_lineage(running_before(rows, cell, order, "_one", "_n_before", bucket))
     fixed = rows.groupBy(*cell).agg(F.sum(F.col("_fixed").cast("int")).alias("_nfixed"))
     rows = rows.join(fixed, cell).join(F.broadcast(total), "frequency_bin").withColumn("_n", F.col("_n_before") + 1)
     gap = F.abs(F.col("_w_before") + F.col("_w") - F.col("_goal"))
@@ -143,8 +147,6 @@ def heldout_groups(df: DataFrame, cohort: str, share: float = 0.1, spatial_col:
     Components come from the bipartite links of spatial and physical ids. Groups are taken in hash
     order per cohort until ``share`` of its rows is covered; the guard walks the few cohorts.
     """
-    from landtally.session import cut_lineage
-
     pairs = df.select(spatial_col, physical).distinct()
     edges = pairs.select(F.concat(F.lit("s"), spatial_col).alias("a"), F.concat(F.lit("p"), physical).alias("b"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
