@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from landtally.functions import keys as K
 from landtally.operators.ordered import numbered, numbered_by_hash, same_keys, visit_bucket
@@ -294,7 +294,7 @@ def _month_diverse(gap_days: int, limit: int):
 def month_diverse_windows(df: DataFrame, station: list[str], gap_days: int, limit: int = 1 << 30) -> DataFrame:
     """Per station, repeatedly the least-used month, then the earliest date; dates keep the gap."""
     days = df.select(*station, "target_time").distinct()
-    schema = days.schema.add("pick", "long")
+    schema = T.StructType([*days.schema.fields, T.StructField("pick", T.LongType())])
     return days.groupBy(*station).applyInPandas(_month_diverse(gap_days, limit), schema)
 
 

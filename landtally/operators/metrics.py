@@ -202,3 +202,68 @@ def merge_moments(df: DataFrame, keys: list[str]) -> DataFrame:
 def moments_from_sums(n: Column, total: Column, squares: Column) -> tuple[Column, Column]:
     mean = total / n
     return mean, F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))
+
+
+def hydro_score(df: DataFrame, keys: list[str], task: str, scales: dict[str, float]) -> DataFrame:
+    """Minus the mean RMSE in units of the train standard deviation."""
+    scale = F.create_map(*[F.lit(x) for kv in scales.items() for x in kv])
+    return df.groupBy(*keys).agg((-F.avg(F.col("rmse") / scale[F.col(task)])).alias("score"))
+
+
+def joint_score(scores: DataFrame, source: str, product: str, site: str, weight: float = 2.0 / 3.0) -> DataFrame:
+    of = lambda name: F.max(F.when(F.col(source) == name, F.col("score")))
+    out = scores.agg(of(product).alias("product_score"), of(site).alias("site_score"))
+    return out.withColumn("joint_score", F.col("product_score") * (1 - weight) + F.col("site_score") * weight)
+
+
+def point_summary(df: DataFrame, cell: list[str], truth: str, predicted: str, order: str, site: str) -> DataFrame:
+    """Counts of points, conflicts and unique consistent cells, one row per item."""
+    one = lambda d, name: d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("item"), "n")
+    conflict = conflicting_cells(df.filter("label_valid"), cell, truth)
+    scored = df.filter("label_valid and prediction_valid and not training_overlap")
+    unique = scored.join(conflict, cell, "left_anti").groupBy(*cell).agg(F.min_by(F.struct(truth, predicted), order).alias("_u"))
+    parts = [one(df, "total"), one(scored, "scored"), one(df.filter("label_valid and not prediction_valid"), "invalid_prediction"),
+             one(df.filter("training_overlap"), "training_overlap"), one(conflict, "conflicting_cells"), one(unique, "unique_cells"),
+             one(unique.filter(F.col(f"_u.{truth}") == F.col(f"_u.{predicted}")), "unique_correct"),
+             scored.groupBy(F.concat(F.lit("site:"), F.col(site)).alias("item")).agg(F.count(F.lit(1)).alias("n"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def predictions_at_points(points: DataFrame, pixels: DataFrame, keys: list[str], classes: list[str], tolerance: float = 0.01) -> DataFrame:
+    """Left join of points to predicted fractions; fractions must sum to one, ties take the first class."""
+    out = points.join(pixels, keys, "left")
+    total = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
+    p = F.array(*[F.col(c) for c in classes])
+    winner = F.when(F.col(classes[0]).isNotNull(), F.array_position(p, F.array_max(p)) - 1).cast("int")
+    ok = F.coalesce(total.between(1 - tolerance, 1 + tolerance), F.lit(False))
+    return out.drop("prediction_valid").withColumn("prediction_valid", ok).withColumn("predicted", winner)
+
+
+def paired_arms(df: DataFrame, block: str, arm: str, pred: str, target: str, a: str, b: str, draws: int, seed: int) -> DataFrame:
+    """RMSE of ``b`` minus ``a`` on the same resampled blocks, bounds, and relative improvement."""
+    sums = regression_sums(df, [block, arm], pred, target)
+    total = bootstrap_sums(sums, group_draws(df, block, draws, seed), block, [arm], ["count", "sum_sq"])
+    rmse = F.sqrt(F.col("sum_sq") / F.col("count"))
+    of = lambda name: F.max(F.when(F.col(arm) == name, rmse))
+    d = total.groupBy("draw").agg(of(a).alias("_a"), of(b).alias("_b")).withColumn("difference", F.col("_b") - F.col("_a"))
+    base = d.filter("draw = 0").select(((F.col("_a") - F.col("_b")) / F.col("_a")).alias("relative_improvement"))
+    return interval_of(d, [], "difference").withColumnRenamed("value", "difference").crossJoin(F.broadcast(base))
+
+
+def seed_block_bootstrap(df: DataFrame, seed_col: str, block: str, arm: str, pred: str, target: str, draws: int, seed: int) -> DataFrame:
+    """Mean RMSE over seeds with seeds and blocks resampled jointly; sums per (seed, block) come first."""
+    sums = regression_sums(df, [seed_col, block, arm], pred, target).select(seed_col, block, arm, "count", "sum_sq")
+    seeds = group_draws(df, seed_col, draws, seed).withColumnRenamed("weight", "_ws")
+    blocks = group_draws(df, block, draws, seed + 1).withColumnRenamed("weight", "_wb")
+    j = sums.join(seeds, seed_col).join(blocks, [block, "draw"])
+    per = j.groupBy("draw", arm, seed_col).agg(F.max("_ws").alias("_ws"), F.sum(F.col("count") * F.col("_wb")).alias("_n"), F.sum(F.col("sum_sq") * F.col("_wb")).alias("_e"))
+    mean = per.groupBy("draw", arm).agg((F.sum(F.sqrt(F.col("_e") / F.col("_n")) * F.col("_ws")) / F.sum("_ws")).alias("score"))
+    return interval_of(mean, [arm], "score")
+
+
+def parse_epochs(lines: DataFrame, line: str) -> DataFrame:
+    """Complete JSON lines of a run log; a broken line is skipped."""
+    return lines.select(F.from_json(line, "run bigint, epoch bigint, score double, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e")).filter("e._bad is null").select("e.run", "e.epoch", "e.score")

@@ -238,7 +238,7 @@ def j11(t):
 def j12(t):
     """Area weights of output pixels in each complete native cell; cells leaving the tile drop out."""
     s = t.stations.filter("lon is not null").select("location_id", "lon", "lat")
-    cells = s.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(8))).cast("bigint"))
+    cells = s.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))))
     size = 0.0045
     px = (F.floor(F.col("lon") / size) + F.col("cell") % 3 - 1) * size
     py = (F.floor(F.col("lat") / size) + F.floor(F.col("cell") / 3) - 1) * size
