@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 # The WGS84 ellipsoid and the universal transverse Mercator scale and false easting.
@@ -45,19 +45,25 @@ def _atanh(x: Column) -> Column:
     return F.log((1 + x) / (1 - x)) / 2
 
 
-def transverse_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Easting and northing in the point's own UTM zone."""
-    dlon = F.radians(lon - (utm_zone(lon) * 6 - 183))
-    s = F.sin(F.radians(lat))
-    t = F.sinh(_atanh(s) - F.lit(_E) * _atanh(F.lit(_E) * s))
-    xi, eta = F.atan2(t, F.cos(dlon)), _atanh(F.sin(dlon) / F.sqrt(1 + t * t))
-    x, y = eta, xi
+def with_mercator(df: DataFrame, lon: Column, lat: Column, x: str, y: str) -> DataFrame:
+    """Easting and northing in the point's own UTM zone.
+
+    The series is built over intermediate columns, so each power of it is computed once and the
+    generated code stays small.
+    """
+    sin = F.sin(F.radians(lat))
+    out = df.withColumn("_t", F.sinh(_atanh(sin) - F.lit(_E) * _atanh(F.lit(_E) * sin))).withColumn(
+        "_d", F.radians(lon - (utm_zone(lon) * 6 - 183)))
+    out = out.withColumn("_xi", F.atan2(F.col("_t"), F.cos("_d"))).withColumn(
+        "_eta", _atanh(F.sin("_d") / F.sqrt(1 + F.col("_t") * F.col("_t"))))
+    xi, eta = F.col("_xi"), F.col("_eta")
+    east, north = eta, xi
     for j, a in enumerate(_ALPHA, 1):
-        x = x + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-        y = y + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
+        east = east + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
+        north = north + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
     k = UTM_SCALE * _MEAN_RADIUS
-    north = y * k + F.when(lat < 0, 1e7).otherwise(0.0)
-    return x * k + UTM_EAST, north
+    return out.withColumn(x, east * k + UTM_EAST).withColumn(
+        y, north * k + F.when(lat < 0, 1e7).otherwise(0.0)).drop("_t", "_d", "_xi", "_eta")
 
 
 # The inverse of the same series.
@@ -106,22 +112,22 @@ def polar_stereographic(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(angle), F.when(north, -rho * F.cos(angle)).otherwise(rho * F.cos(angle))
 
 
-def project(lon: Column, lat: Column) -> tuple[Column, Column]:
-    polar = (lat >= 84) | (lat < -80)
-    ux, uy = transverse_mercator(lon, F.when(~polar, lat))
-    px, py = polar_stereographic(lon, F.when(polar, lat))
-    return F.coalesce(px, ux), F.coalesce(py, uy)
+def with_projection(df: DataFrame, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
+    """UTM position, or polar stereographic beyond 84 N and 80 S."""
+    a, b = F.col(lon), F.col(lat)
+    polar = (b >= 84) | (b < -80)
+    px, py = polar_stereographic(a, F.when(polar, b))
+    out = with_mercator(df.withColumn("_px", px).withColumn("_py", py), a, F.when(~polar, b), x, y)
+    return out.withColumn(x, F.coalesce("_px", x)).withColumn(y, F.coalesce("_py", y)).drop("_px", "_py")
 
 
-def snapped_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Upper-left corner of the 1200 m tile around a point, on the 30 m lattice."""
-    x, y = project(lon, lat)
+def snapped_corner(x: Column, y: Column) -> tuple[Column, Column]:
+    """Upper-left corner of the 1200 m tile around a projected point, on the 30 m lattice."""
     return F.bround((x - 600) / 30) * 30, F.bround((y + 600) / 30) * 30
 
 
-def centred_grid(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Upper-left corner of the tile whose centre output cell holds the point."""
-    x, y = project(lon, lat)
+def centred_corner(x: Column, y: Column) -> tuple[Column, Column]:
+    """Upper-left corner of the tile whose centre output cell holds the projected point."""
     return x - 615, y + 615
 
 

@@ -117,8 +117,7 @@ def tile_circle(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
 
     UTM latitudes only; tiles beyond 84 N or 80 S are out of the station network's reach.
     """
-    x, y = geo.transverse_mercator(F.col(lon), F.col(lat))
-    out = df.withColumn("_x", x).withColumn("_y", y).withColumn("_z", geo.utm_zone(F.col(lon)))
+    out = geo.with_mercator(df, F.col(lon), F.col(lat), "_x", "_y").withColumn("_z", geo.utm_zone(F.col(lon)))
     far = []
     for i, (dx, dy) in enumerate(((-615, 615), (585, 615), (585, -585), (-615, -585))):
         clon, clat = geo.inverse_mercator(F.col("_x") + dx, F.col("_y") + dy, F.col("_z"), F.col(lat) < 0)
@@ -237,7 +236,13 @@ def quad_overlaps(cell: np.ndarray, corners: np.ndarray) -> np.ndarray:
     low, high = cell.min(0), cell.max(0)
     near = np.flatnonzero(((corners.max(1) > low) & (corners.min(1) < high)).all(1))
     areas = np.zeros(len(corners))
-    for n in near:
+    quads, edge = corners[near], np.roll(cell, -1, 0) - cell
+    # Quads with all corners on the inner side of every edge are covered whole; only the rim is clipped.
+    side = edge[:, 0, None, None] * (quads[None, :, :, 1] - cell[:, 1, None, None]) - edge[:, 1, None, None] * (quads[None, :, :, 0] - cell[:, 0, None, None])
+    whole = (side >= 0).all((0, 2))
+    x, y = quads[..., 0], quads[..., 1]
+    areas[near[whole]] = (np.abs((x * np.roll(y, -1, 1) - y * np.roll(x, -1, 1)).sum(1)) / 2)[whole]
+    for n in near[~whole]:
         poly = corners[n]
         for i in range(4):
             poly = _clip(poly, cell[i], cell[(i + 1) % 4])
@@ -268,9 +273,9 @@ def native_support(cells: DataFrame, size: int = 40, pixel_m: float = 30.0) -> D
 
     ``cells`` has sample_id, cell and four counter-clockwise corners (x0, y0 .. x3, y3) in local
     equal-area metres from the tile's lower-left corner. Cells that leave the tile are dropped.
-    Each cell is independent: partitions map without a shuffle.
+    Each cell is independent; spreading by cell keeps a tile with many cells off one task.
     """
-    return cells.mapInPandas(_support(size, pixel_m), "sample_id string, cell bigint, out_row int, out_col int, weight double")
+    return cells.repartition("sample_id", "cell").mapInPandas(_support(size, pixel_m), "sample_id string, cell bigint, out_row int, out_col int, weight double")
 
 
 def local_equal_area(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:

@@ -149,10 +149,9 @@ def i10(t):
 @query("J1_utm_grid", f"WITH p AS (SELECT location_id, lon, lat, {_X} AS x, {_Y} AS y FROM @stations s WHERE lon IS NOT NULL) SELECT location_id, least(60, CAST(floor((lon+180)/6) AS INTEGER)+1) + CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END AS epsg, {R('x', 4)} AS x, {R('y', 4)} AS y, {R('round_even((x-600)/30, 0)*30')} AS snap_x, {R('x-615', 4)} AS centre_x FROM p")
 def j1(t):
     """Zone, projected position, snapped and centred corners."""
-    s = t.stations.filter("lon is not null")
-    x, y = geo.project(F.col("lon"), F.col("lat"))
-    s = s.withColumn("x", x).withColumn("y", y)
-    return s.select("location_id", geo.grid_epsg(F.col("lon"), F.col("lat")).alias("epsg"), r6("x", 4).alias("x"), r6("y", 4).alias("y"), r6(F.bround((F.col("x") - 600) / 30) * 30).alias("snap_x"), r6(F.col("x") - 615, 4).alias("centre_x"))
+    s = geo.with_projection(t.stations.filter("lon is not null"))
+    snap, centre = geo.snapped_corner(F.col("x"), F.col("y")), geo.centred_corner(F.col("x"), F.col("y"))
+    return s.select("location_id", geo.grid_epsg(F.col("lon"), F.col("lat")).alias("epsg"), r6("x", 4).alias("x"), r6("y", 4).alias("y"), r6(snap[0]).alias("snap_x"), r6(centre[0], 4).alias("centre_x"))
 
 
 @query("J2_geodesic_distance")
@@ -172,8 +171,7 @@ def j3(t):
 @query("J4_native_cell", f"WITH p AS (SELECT location_id, {_X} AS x, {_Y} AS y FROM @stations s WHERE lon IS NOT NULL) SELECT location_id, CAST(floor(x/500) AS BIGINT) AS col, CAST(floor((y-1e7)/-500) AS BIGINT) AS row FROM p")
 def j4(t):
     """Cell of a projected point in a native grid."""
-    x, y = geo.project(F.col("lon"), F.col("lat"))
-    s = t.stations.filter("lon is not null").select("location_id", x.alias("x"), y.alias("y"))
+    s = geo.with_projection(t.stations.filter("lon is not null"))
     col, row = geo.affine_cell(F.col("x"), F.col("y"), (500.0, 0.0, 0.0, 0.0, -500.0, 1e7))
     return s.select("location_id", col.alias("col"), row.alias("row"))
 
@@ -221,8 +219,7 @@ def j9(t):
 @query("J10_cover_point_windows", f"WITH p AS (SELECT location_id, {_X} AS x, {_Y} AS y FROM @stations s WHERE lon IS NOT NULL), o AS (SELECT *, CAST(floor(x/900) AS BIGINT) AS own_x, CAST(floor(y/900) AS BIGINT) AS own_y FROM p) SELECT location_id, own_x, own_y, CAST(floor((x-(own_x*900-150))/30) AS INTEGER) AS col, CAST(floor((own_y*900+1050-y)/30) AS INTEGER) AS row FROM o")
 def j10(t):
     """Ownership cell, row and column of each point."""
-    x, y = geo.project(F.col("lon"), F.col("lat"))
-    p = t.stations.filter("lon is not null").select("location_id", x.alias("x"), y.alias("y"), F.lit(1).alias("epsg"))
+    p = geo.with_projection(t.stations.filter("lon is not null")).withColumn("epsg", geo.grid_epsg(F.col("lon"), F.col("lat")))
     return spatial.cover_point_windows(p).select("location_id", "own_x", "own_y", "col", "row")
 
 
