@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.functions import geo
-from landtally.session import cut_lineage
+from landtally.session import cut_lineage, spread
 
 
 def hash_cells(df: DataFrame, lon: str, lat: str, cell_m: float, prefix: str = "c") -> DataFrame:
@@ -275,7 +275,7 @@ def native_support(cells: DataFrame, size: int = 40, pixel_m: float = 30.0) -> D
     equal-area metres from the tile's lower-left corner. Cells that leave the tile are dropped.
     Each cell is independent; spreading by cell keeps a tile with many cells off one task.
     """
-    return cells.repartition("sample_id", "cell").mapInPandas(_support(size, pixel_m), "sample_id string, cell bigint, out_row int, out_col int, weight double")
+    return spread(cells, "sample_id", "cell").mapInPandas(_support(size, pixel_m), "sample_id string, cell bigint, out_row int, out_col int, weight double")
 
 
 def local_equal_area(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:

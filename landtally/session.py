@@ -35,3 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landtally-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into as many tasks as a shuffle has, for CPU-heavy Arrow work.
+
+    A fixed count keeps adaptive execution from merging partitions that are small in bytes but
+    long in compute.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
