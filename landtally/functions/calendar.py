@@ -144,15 +144,33 @@ def solar_terms(day: Column) -> tuple[Column, Column, Column]:
     return tuple(F.get(F.expr(_SOLAR[k]), at) for k in ("eq", "sin", "cos"))
 
 
-def daylight_span(day: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Seconds of sunrise and sunset around local noon; the whole UTC day in polar day; NULL in polar night."""
-    eq, sin_dec, cos_dec = solar_terms(day)
+def solar_structs(days: Column) -> Column:
+    """Solar terms of an array of days, from one copy of the tables."""
+    eq, sin, cos = (F.expr(_SOLAR[k]) for k in ("eq", "sin", "cos"))
+    def of(day: Column) -> Column:
+        leap = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))) == 366
+        at = F.dayofyear(day) - 1 + F.when(leap, 366).otherwise(0)
+        return F.struct(day.alias("day"), F.get(eq, at).alias("eq"), F.get(sin, at).alias("sin"), F.get(cos, at).alias("cos"))
+    return F.transform(days, of)
+
+
+def hour_cosine(lat: Column, sin_dec: Column, cos_dec: Column) -> Column:
+    """Cosine of the sunrise hour angle; at most -1 in polar day, at least 1 in polar night."""
     phi = F.radians(lat)
-    hour_cos = (F.lit(math.cos(math.radians(SUNRISE_ZENITH_DEG))) - F.sin(phi) * sin_dec) / F.greatest(
+    return (F.lit(math.cos(math.radians(SUNRISE_ZENITH_DEG))) - F.sin(phi) * sin_dec) / F.greatest(
         F.lit(1e-15), F.cos(phi) * cos_dec)
+
+
+def span_of_hour(day: Column, lon: Column, eq: Column, hour_cos: Column) -> tuple[Column, Column]:
+    """Seconds of sunrise and sunset around local noon; the whole UTC day in polar day; NULL in polar night."""
     midnight = epoch(day)
     half = F.degrees(F.acos(hour_cos)) * 240
     noon = midnight + (F.lit(720) - lon * 4 - eq) * 60
     left = F.when(hour_cos >= 1, None).when(hour_cos <= -1, midnight.cast("double")).otherwise(noon - half)
     right = F.when(hour_cos >= 1, None).when(hour_cos <= -1, (midnight + DAY).cast("double")).otherwise(noon + half)
     return left, right
+
+
+def daylight_span(day: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
+    eq, sin_dec, cos_dec = solar_terms(day)
+    return span_of_hour(day, lon, eq, hour_cosine(lat, sin_dec, cos_dec))

@@ -75,7 +75,7 @@ def maxmin_allocate(children: DataFrame, parents: list[str], capacity: str, tota
         joined = children.alias("c").join(levels.alias("v"), same_keys("c", "v", parents))
         joined = joined.select(*[F.col(f"c.{c}") for c in children.columns], "v._low", "v._left")
     else:
-        joined = children.crossJoin(F.broadcast(levels.select("_low", "_left")))
+        joined = children.withColumn("_low", levels.select("_low").scalar()).withColumn("_left", levels.select("_left").scalar())
     joined = joined.withColumn("_open", F.when(F.col(capacity) > F.col("_low"), 1).otherwise(0))
     ranked = numbered_by_hash(joined, [*parents, "_open"], order, "_rank")
     extra = F.when((F.col("_open") == 1) & (F.col("_rank") <= F.col("_left")), 1).otherwise(0)
@@ -105,8 +105,7 @@ def frequency_quotas(counts: DataFrame, top: str, total: int) -> DataFrame:
     nonzero = sizes.filter(F.col(top) != 0).withColumn("_hash", F.lpad(F.hex(F.col(top).cast("bigint")), 8, "0"))
     shared = maxmin_allocate(nonzero, [], "_capacity", "_total", "_hash").select(top, "quota")
     used = shared.agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("_used"))
-    zero = sizes.filter(F.col(top) == 0).crossJoin(F.broadcast(used)).select(
-        top, F.least(F.col("_capacity"), F.lit(total) - F.col("_used")).alias("quota"))
+    zero = sizes.filter(F.col(top) == 0).select(top, F.least(F.col("_capacity"), F.lit(total) - used.scalar()).alias("quota"))
     return shared.unionByName(zero)
 
 
@@ -121,10 +120,11 @@ def balanced_draw(candidates: DataFrame, seed: int, total: int, top: str = "freq
     leaf = [top, *levels]
     counts = cut_lineage(candidates.groupBy(*leaf, site).agg(F.count(F.lit(1)).alias("n")))
     quotas = frequency_quotas(counts, top, total)
-    counts = counts.join(quotas.withColumnRenamed("quota", "top_quota"), top)
-    leaves = stratum_quotas(counts, top, levels, seed)
+    strata = counts.groupBy(*leaf).agg(F.sum("n").alias("n")).join(quotas.withColumnRenamed("quota", "top_quota"), top)
+    leaves = stratum_quotas(strata, top, levels, seed)
     if report:
-        return leaves.groupBy(*leaf).agg(F.sum("n").alias("capacity"), F.max("_asked").alias("quota"))
+        return leaves.select(*leaf, F.col("n").alias("capacity"), F.col("_asked").alias("quota"))
+    leaves = counts.join(leaves.filter("_asked > 0").select(*leaf, "_asked"), leaf)
     leaves = leaves.withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(site))))
     sites = maxmin_allocate(leaves.withColumnRenamed("n", "_capacity"), leaf, "_capacity", "_asked", "_hash")
     wanted = sites.filter("quota > 0").select(*leaf, site, F.col("quota").alias("_quota"))
@@ -465,7 +465,7 @@ def equal_bin_head(df: DataFrame, bin_: str, rank: str) -> DataFrame:
     """First n rows of every bin in ``rank`` order, n being the smallest nonempty bin."""
     smallest = df.groupBy(bin_).count().agg(F.min("count").alias("_n"))
     ranked = numbered(df, [bin_], [F.col(rank)], "_rank", F.floor(F.col(rank) / 65536))
-    return ranked.crossJoin(F.broadcast(smallest)).filter(F.col("_rank") <= F.col("_n")).drop("_rank", "_n")
+    return ranked.filter(F.col("_rank") <= smallest.scalar()).drop("_rank")
 
 
 def block_sample(df: DataFrame, block: list[str], stratum: str, per_class: int, seed: int, key: str = "sample_id") -> DataFrame:
@@ -482,7 +482,7 @@ def split_deficits(df: DataFrame, split: str, added: int) -> DataFrame:
     names = df.sparkSession.createDataFrame([(s,) for s in K.SPLITS], f"{split} string")
     part = F.bround(F.col("_t") * F.lit(0.15)).cast("bigint")
     target = F.when(F.col(split) == "train", F.col("_t") - part * 2).otherwise(part)
-    out = names.crossJoin(F.broadcast(total)).withColumn("target", target).join(have, split, "left")
+    out = names.withColumn("_t", total.scalar()).withColumn("target", target).join(have, split, "left")
     present = F.coalesce("present", F.lit(0))
     return out.select(split, present.alias("present"), "target", (F.col("target") - present).alias("deficit"))
 
@@ -493,6 +493,5 @@ def block_holdout(df: DataFrame, block: Column, fraction: float, seed: int) -> D
     blocks = keyed.select("block").distinct().withColumn("_hash", K.hash_rank(seed, K.quoted(F.col("block"))))
     ranked = numbered_by_hash(blocks, [], "_hash", "_rank")
     count = blocks.agg(F.count(F.lit(1)).alias("_n"))
-    cut = ranked.crossJoin(F.broadcast(count)).select(
-        "block", (F.col("_rank") <= F.ceil(F.col("_n") * fraction)).alias("development"))
+    cut = ranked.select("block", (F.col("_rank") <= F.ceil(count.scalar() * fraction)).alias("development"))
     return keyed.join(cut, "block")

@@ -32,21 +32,27 @@ def with_daylight(df: DataFrame, start: str, end: str, name: str = "day_s") -> D
     """
     lat, lon = F.col("lat"), F.col("lon")
     day = F.timestamp_seconds(F.col(start)).cast("date")
-    out = df.withColumn("_sun", F.array(*[
-        F.struct(*[c.alias(n) for c, n in zip(cal.daylight_span(F.date_add(day, k), lat, lon), "ab")]) for k in (-2, -1, 0, 1)]))
+    out = df.withColumn("_solar", cal.solar_structs(F.sequence(F.date_sub(day, 2), F.date_add(day, 1))))
+    out = out.withColumn("_hour", F.transform("_solar", lambda s: cal.hour_cosine(lat, s["sin"], s["cos"])))
+    out = out.withColumn("_sun", F.array(*[
+        F.struct(*[c.alias(n) for c, n in zip(cal.span_of_hour(F.col("_solar")[k]["day"], lon, F.col("_solar")[k]["eq"], F.col("_hour")[k]), "ab")])
+        for k in range(4)]))
     total = F.lit(0.0)
     for i in (1, 2, 3):
         left, right, before = F.col("_sun")[i]["a"], F.col("_sun")[i]["b"], F.col("_sun")[i - 1]["b"]
         left = F.greatest(F.col(start), left, before)
         total = total + F.when(right.isNotNull(), F.greatest(F.lit(0.0), F.least(F.col(end), right) - left)).otherwise(0.0)
-    return out.withColumn(name, total).drop("_sun")
+    return out.withColumn(name, total).drop("_sun", "_hour", "_solar")
 
 
 def daylight_between(start: Column, end: Column, lat: Column, lon: Column) -> Column:
     """Daylight seconds of a window of days (evaluated once per aggregated window)."""
     first, last = F.timestamp_seconds(start).cast("date"), F.timestamp_seconds(end).cast("date")
     days = F.sequence(F.date_sub(first, 3), F.date_add(last, 2))
-    spans = F.transform(days, lambda d: F.struct(*[c.alias(n) for c, n in zip(cal.daylight_span(d, lat, lon), "ab")]))
+    def span(s: Column) -> Column:
+        pair = cal.span_of_hour(s["day"], lon, s["eq"], cal.hour_cosine(lat, s["sin"], s["cos"]))
+        return F.struct(*[c.alias(n) for c, n in zip(pair, "ab")])
+    spans = F.transform(cal.solar_structs(days), span)
     zero = F.struct(F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("before"))
     def add(acc: Column, span: Column) -> Column:
         left = F.greatest(start.cast("double"), span["a"], acc["before"])

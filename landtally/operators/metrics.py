@@ -110,7 +110,7 @@ def group_draws(groups: DataFrame, key: str, draws: int, seed: int) -> DataFrame
     ranked = numbered_by_hash(hashed, [], "_hash", "_i").select(key, F.col("_i").cast("bigint").alias("_i"))
     size = ranked.agg(F.count(F.lit(1)).alias("_n"))
     # pick p of draw d is group 1 + floor(u * n), u from the hash of (seed, d, p)
-    picks = ranked.select(F.col("_i").alias("_p")).crossJoin(F.broadcast(size)).withColumn(
+    picks = ranked.select(F.col("_i").alias("_p"), size.scalar().alias("_n")).withColumn(
         "draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     u = K.hash_unit(K.fingerprint(seed, F.col("draw"), F.col("_p")))
     chosen = picks.select("draw", F.least(F.col("_n"), F.floor(u * F.col("_n")) + 1).alias("_i")).groupBy("draw", "_i").agg(
@@ -250,7 +250,8 @@ def paired_arms(df: DataFrame, block: str, arm: str, pred: str, target: str, a:
     of = lambda name: F.max(F.when(F.col(arm) == name, rmse))
     d = total.groupBy("draw").agg(of(a).alias("_a"), of(b).alias("_b")).withColumn("difference", F.col("_b") - F.col("_a"))
     base = d.filter("draw = 0").select(((F.col("_a") - F.col("_b")) / F.col("_a")).alias("relative_improvement"))
-    return interval_of(d, [], "difference").withColumnRenamed("value", "difference").crossJoin(F.broadcast(base))
+    out = interval_of(d, [], "difference").withColumnRenamed("value", "difference")
+    return out.withColumn("relative_improvement", base.scalar())
 
 
 def seed_block_bootstrap(df: DataFrame, seed_col: str, block: str, arm: str, pred: str, target: str, draws: int, seed: int) -> DataFrame:

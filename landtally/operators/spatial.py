@@ -29,8 +29,8 @@ def circles_overlap(left: DataFrame, right: DataFrame, cell_m: float = 20000.0,
     """
     size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("radius_m"), F.lit(1.0)) / cell_m)))
     r = hash_sized(right.withColumn("_size", size.cast("int")), cell_m)
-    classes = r.select("_size").distinct()
-    l = left.crossJoin(F.broadcast(classes))
+    widest = r.agg(F.coalesce(F.max("_size"), F.lit(0))).scalar()
+    l = left.withColumn("_size", F.explode(F.sequence(F.lit(0), widest)))
     width = F.lit(cell_m) * F.pow(F.lit(2.0), F.col("_size"))
     for name, v in zip("xyz", geo.sphere_xyz(F.col("lon"), F.col("lat"))):
         reach = F.col("radius_m") + width

@@ -405,7 +405,8 @@ def l2(t):
              "split": F.col("split") == K.geographic_split(F.col("lon"), F.col("lat"), 42), "edge": K.inside_split_block(F.col("lon"), F.col("lat"))}
     rows = checks.violations(m, "sample_id", rules).groupBy("violation").agg(count())
     total = m.agg(F.count(F.lit(1)).alias("_t"))
-    quotas = m.select("sampling_group").distinct().crossJoin(F.broadcast(total)).select("sampling_group", bins.even_quota(F.col("_t"), 8, F.col("sampling_group")).alias("quota"))
+    groups = m.select("sampling_group").distinct().withColumn("_t", total.scalar())
+    quotas = groups.select("sampling_group", bins.even_quota(F.col("_t"), 8, F.col("sampling_group")).alias("quota"))
     short = checks.quota_shortfall(m, "sampling_group", quotas).agg(count()).select(F.lit("quota").alias("violation"), "n")
     return rows.unionByName(short)
 
