@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from landtally.functions import keys as K
-from landtally.operators.ordered import numbered, numbered_by_hash, same_keys, visit_bucket
+from landtally.operators.ordered import numbered, numbered_by_hash, numbered_overall, same_keys, visit_bucket
 from landtally.session import cut_lineage
 
 STRATA = ["landcover", "climate_class", "year", "month"]
@@ -128,9 +128,10 @@ def balanced_draw(candidates: DataFrame, seed: int, total: int, top: str = "freq
     leaves = leaves.withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(site))))
     sites = maxmin_allocate(leaves.withColumnRenamed("n", "_capacity"), leaf, "_capacity", "_asked", "_hash")
     wanted = sites.filter("quota > 0").select(*leaf, site, F.col("quota").alias("_quota"))
-    ranked = numbered_by_hash(candidates.withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(key)))),
-                              [*leaf, site], "_hash", "_rank")
-    return ranked.join(wanted, [*leaf, site]).filter(F.col("_rank") <= F.col("_quota")).drop("_hash", "_rank", "_quota")
+    # Only rows of strata with a share are ranked.
+    rows = candidates.join(wanted, [*leaf, site]).withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(key))))
+    ranked = numbered_by_hash(rows, [*leaf, site], "_hash", "_rank")
+    return ranked.filter(F.col("_rank") <= F.col("_quota")).drop("_hash", "_rank", "_quota")
 
 
 # --- spaced dates -------------------------------------------------------------------------------
@@ -444,7 +445,7 @@ def population_priority(df: DataFrame, strata: list[str], population: str, seed:
 
 def quantile_probe(df: DataFrame, size: str, key: str, count: int) -> DataFrame:
     """``count`` rows at evenly spaced ranks of (size, key)."""
-    ranked = numbered(df, [], [F.col(size), F.col(key)], "_rank", F.floor(F.col(size) / 64))
+    ranked = numbered_overall(df, [F.col(size), F.col(key)], "_rank")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     step = (F.col("_n") - 1) / F.lit(max(count - 1, 1))
     spots = total.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_i"), "_n").select(

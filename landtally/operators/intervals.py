@@ -67,7 +67,7 @@ def daylight_spans(df: DataFrame, day: str, lat: str, lon: str) -> DataFrame:
     return df.withColumn("sun_left", left).withColumn("sun_right", right).filter(F.col("sun_left").isNotNull())
 
 
-def merged_spans(df: DataFrame, keys: list[str], left: str, right: str, bucket_s: int = 30 * DAY) -> DataFrame:
+def merged_spans(df: DataFrame, keys: list[str], left: str, right: str, bucket_s: int = 600) -> DataFrame:
     """Union of touching spans per key. A span starts a new island when it begins past all earlier ends."""
     bucket, order = F.floor(F.col(left) / bucket_s), [F.col(left), F.col(right)]
     out = running(df.select(*keys, left, right), keys, order, right, "_reach", bucket, "max")
@@ -276,7 +276,7 @@ def morning_means(mornings: DataFrame, keys: list[str], lon: str = "lon", covera
     return out.withColumn("valid", F.col("valid_days") >= F.col("expected_days") * coverage)
 
 
-def interval_violations(df: DataFrame, keys: list[str], bucket_s: int = 30 * DAY) -> DataFrame:
+def interval_violations(df: DataFrame, keys: list[str], bucket_s: int = DAY) -> DataFrame:
     """Rows that are not positive, exceed an hour, or overlap their successor."""
     out = neighbour(df, keys, "start_s", "start_s", "next_start_s", bucket_s)
     reason = (F.when(F.col("end_s") <= F.col("start_s"), "nonpositive")
@@ -285,7 +285,7 @@ def interval_violations(df: DataFrame, keys: list[str], bucket_s: int = 30 * DAY
     return out.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
-def median_step(df: DataFrame, keys: list[str], time: str = "t_s", bucket_s: int = 30 * DAY) -> DataFrame:
+def median_step(df: DataFrame, keys: list[str], time: str = "t_s", bucket_s: int = 600) -> DataFrame:
     """Median spacing per key from a histogram of step lengths."""
     steps = neighbour(df, keys, time, time, "_next", bucket_s).select(*keys, (F.col("_next") - F.col(time)).alias("_step"))
     table = exact_percentiles(steps, keys, "_step", [0.5])

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from landtally.functions.keys import hash_bucket
+from landtally.session import cut_lineage
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -50,6 +51,17 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], name: str,
                          (F.col("l._local") + F.col("s._start")).alias(name))
 
 
+def numbered_overall(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``row_number`` over the whole table. The order must be total.
+
+    A range shuffle splits even a value that many rows share, because the order goes on to the key.
+    Ranges are written once, so every later read sees the same ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    return numbered(ranged, [], order, name, F.col("_range")).drop("_range")
+
+
 def numbered_by_hash(df: DataFrame, groups: list[str], hashed: str, name: str) -> DataFrame:
     return numbered(df, groups, [F.col(hashed)], name, hash_bucket(F.col(hashed)))
 
@@ -71,7 +83,7 @@ def neighbour(df: DataFrame, keys: list[str], time: str, value: str, name: str,
 
 
 def asof_backward(left: DataFrame, events: DataFrame, keys: list[str], left_time: str, event_time: str,
-                  values: list[str], tie: list[str] = (), bucket: float = 86400.0,
+                  values: list[str], tie: list[str] = (), bucket: float = 600.0,
                   max_age: float | None = None) -> DataFrame:
     """Last event at or before each left row. An event whose value is NULL still counts: it invalidates.
 

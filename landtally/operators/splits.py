@@ -44,7 +44,7 @@ def assign_splits(stations: DataFrame, products: DataFrame, seed: int = 43, deve
               .when(F.col("_hit") > 0, "product_overlap_requires_train").otherwise("seeded_group_assignment"))
     flags = flags.select("spatial_group_id", reason.alias("split_reason"),
                          F.when(reason == "seeded_group_assignment", draw).otherwise("train").alias("split"))
-    out = out.join(flags, "spatial_group_id")
+    out = cut_lineage(out.join(flags, "spatial_group_id"))
     lost = stations.filter(F.col("lon").isNull() | F.col("lat").isNull()).withColumn("split", F.lit("unresolved"))
     return out.unionByName(lost, allowMissingColumns=True)
 

@@ -299,7 +299,17 @@ def e4(t):
     return a.unionByName(b).select("rule", "place", "slot", "scene", "t_s")
 
 
-@query("E4_carried_orbit")
+def _carried_sql() -> str:
+    base = _SC.format(ep='CAST(epoch(l_shipdate) AS BIGINT)', t='lineitem')
+    parts, union = [f"s AS ({base})", "o5 AS (SELECT DISTINCT place, CAST(NULL AS INTEGER) AS orbit FROM s)"], []
+    for k in (4, 3, 2, 1, 0):
+        parts.append(f"""c{k} AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.place ORDER BY abs(t_s-target_s), -t_s, scene) AS rn FROM s JOIN o{k + 1} o ON o.place = s.place WHERE s.slot = {k} AND (o.orbit IS NULL OR o.orbit = s.orbit)) x WHERE rn = 1)""")
+        parts.append(f"o{k} AS (SELECT o.place, coalesce(c.orbit, o.orbit) AS orbit FROM o{k + 1} o LEFT JOIN c{k} c ON c.place = o.place)")
+        union.append(f"SELECT place, slot, scene, orbit FROM c{k}")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(union)
+
+
+@query("E4_carried_orbit", _carried_sql())
 def e4b(t):
     """Slots from last to first, each choice passing its orbit on."""
     s = t.sql(_SC.format(ep="unix_seconds(CAST(l_shipdate AS TIMESTAMP))", t="$lineitem").replace("// 74", "div 74"))

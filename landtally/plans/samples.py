@@ -9,6 +9,7 @@ from landtally.operators import checks, draws, ordered, spatial, splits
 from landtally.plans.fields import SPLIT
 from landtally.plans.registry import D, R, day_text, query, r6
 from landtally.plans.relations import count, isum
+from landtally.session import cut_lineage
 
 HASH = lambda seed, x: f"sha256('[{seed}, ' || chr(34) || {x} || chr(34) || ']')"
 UNIT = lambda h: f"((CAST(('0x' || substr({h},1,8)) AS BIGINT) + 1.0) / 4294967296.0)"
@@ -230,7 +231,7 @@ def n2(t):
 def n2b(t):
     """Evaluation products that meet train stations are dropped."""
     s = splits.assign_splits(t.stations.select("location_id", "group_id", "lon", "lat"), _products(t), 43)
-    train = spatial.tile_circle(s.filter("split = 'train'").select("location_id", "lon", "lat"))
+    train = cut_lineage(spatial.tile_circle(s.filter("split = 'train'").select("location_id", "lon", "lat")))
     hits = spatial.circles_overlap(train, _products(t), left_id="location_id", right_id="product_id").withColumn("site_split", F.lit("train"))
     return splits.product_selection(_products(t), hits).select("product_id", "split")
 
