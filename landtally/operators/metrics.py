@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.functions import keys as K
 
@@ -204,7 +204,7 @@ def moments_from_sums(n: Column, total: Column, squares: Column) -> tuple[Column
     return mean, F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))
 
 
-def hydro_score(df: DataFrame, keys: list[str], task: str, scales: dict[str, float]) -> DataFrame:
+def scaled_score(df: DataFrame, keys: list[str], task: str, scales: dict[str, float]) -> DataFrame:
     """Minus the mean RMSE in units of the train standard deviation."""
     scale = F.create_map(*[F.lit(x) for kv in scales.items() for x in kv])
     return df.groupBy(*keys).agg((-F.avg(F.col("rmse") / scale[F.col(task)])).alias("score"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landtally.functions import bins, calendar as cal, geo, keys as K, radiometry as rad
-from landtally.operators import checks, draws, joins, pixels, sets
-from landtally.plans.intervals import W0, W1, E
+from landtally.functions import bins, calendar as cal, keys as K, radiometry as rad
+from landtally.operators import checks, pixels
+from landtally.plans.intervals import W0, W1
 from landtally.plans.registry import D, R, day_text, query, r6
+from landtally.session import scratch_folder
 from landtally.sources import metadata, series, tables
 
 SPLIT = lambda h: f"CASE WHEN CAST(('0x' || substr({h},1,8)) AS BIGINT) % 100 < 70 THEN 'train' WHEN CAST(('0x' || substr({h},1,8)) AS BIGINT) % 100 < 85 THEN 'validation' ELSE 'test' END"
@@ -127,10 +128,7 @@ def a11(t):
 @query("A12_sink_manifest", "SELECT split, count(*) AS n, CAST(sum(frequency_bin) AS BIGINT) AS bins FROM @manifest m GROUP BY split")
 def a12(t):
     """A manifest written by split, read back and counted."""
-    import tempfile
-
-    conf = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{conf.rstrip('/')}/manifest-{t.spark.sparkContext.applicationId}" if conf else tempfile.mkdtemp(prefix="landtally-")
+    folder = scratch_folder(t.spark, "manifest")
     tables.write_manifest(t.manifest, f"{folder}/manifest.parquet")
     out = t.spark.read.parquet(f"{folder}/manifest.parquet")
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("frequency_bin").alias("bins"))
@@ -139,11 +137,7 @@ def a12(t):
 @query("A13_sink_reports", "SELECT status, count(*) AS n FROM (SELECT o_orderstatus AS status FROM orders UNION ALL SELECT o_orderstatus FROM orders WHERE o_orderkey % 2 = 0) x GROUP BY status")
 def a13(t):
     """Two appends to a ledger, read back with a strict schema."""
-    import tempfile
-
-    conf = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = conf.rstrip("/") if conf else tempfile.mkdtemp(prefix="landtally-")
-    folder = f"{base}/ledger-{t.spark.sparkContext.applicationId}-{abs(hash((t.dir, id(t))))}"
+    folder = scratch_folder(t.spark, "ledger")
     o = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
     tables.append_ledger(o, folder)
     tables.append_ledger(o.filter("o_orderkey % 2 = 0"), folder)

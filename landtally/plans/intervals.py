@@ -23,7 +23,6 @@ def E(d: str) -> str:
 
 def TOUCH(source: str) -> str:
     """Intervals with each window they touch, clipped."""
-    at = "to_timestamp({})"
     d = lambda x: f"CAST(make_timestamp(CAST({x} AS BIGINT) * 1000000) AS DATE)"
     return f"""(SELECT *, greatest(start_s, {E('target_time')}) AS left_s, least(end_s, {E('target_end')}) AS right_s FROM
   (SELECT *, {W1('target_time')} AS target_end FROM

@@ -45,10 +45,6 @@ def D(expression: str) -> str:
     return f"strftime({expression}, '%Y-%m-%d')"
 
 
-def bucketed_sum(name: str) -> str:
-    return f"CAST({name} AS BIGINT)"
-
-
 def sql_span(day: str, lat: str, lon: str) -> tuple[str, str]:
     """Sunrise and sunset seconds of a UTC day as SQL, for comparison texts."""
     leap = f"CAST(dayofyear(make_date(year({day}), 12, 31)) AS DOUBLE)"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landtally.functions import bins, keys as K
-from landtally.operators import checks, draws, ordered, spatial, splits
+from landtally.functions import keys as K
+from landtally.operators import draws, spatial, splits
 from landtally.plans.fields import SPLIT
-from landtally.plans.registry import D, R, day_text, query, r6
-from landtally.plans.relations import count, isum
+from landtally.plans.registry import R, day_text, query, r6
+from landtally.plans.relations import count
 from landtally.session import cut_lineage
 
 HASH = lambda seed, x: f"sha256('[{seed}, ' || chr(34) || {x} || chr(34) || ']')"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landtally.functions import keys as K, radiometry as rad
-from landtally.operators import checks, joins, metrics
+from landtally.functions import radiometry as rad
+from landtally.operators import joins, metrics
 from landtally.plans.fields import _ARG
 from landtally.plans.registry import R, query, r6
 from landtally.plans.relations import count, isum
@@ -48,7 +48,7 @@ def m2(t):
 def m3(t):
     """Scaled product, site and joint scores."""
     out = metrics.regression_metrics(metrics.regression_sums(_long(t), ["task", "mode"], "pred", "target", F.col("valid")))
-    s = metrics.hydro_score(out, ["mode"], "task", {"sm": 12.0, "et": 15.0})
+    s = metrics.scaled_score(out, ["mode"], "task", {"sm": 12.0, "et": 15.0})
     return metrics.joint_score(s, "mode", "a", "b").select(*[r6(c).alias(c) for c in ("product_score", "site_score", "joint_score")])
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landtally.functions import geo, radiometry as rad
-from landtally.operators import checks, footprint, intervals as iv, joins, pixels, spatial
+from landtally.operators import checks, footprint, joins, pixels, spatial
 from landtally.plans.fields import _ARG, _FFP
 from landtally.plans.registry import D, R, day_text, query, r6
-from landtally.plans.relations import count, isum
+from landtally.plans.relations import count
 
 _N = geo.WGS84_F / (2 - geo.WGS84_F)
 

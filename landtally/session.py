@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared scratch space; a private one only where the session names none."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"landtally-{name}-") + "/table"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into as many tasks as a shuffle has, for CPU-heavy Arrow work.
 

@@ -6,7 +6,6 @@ import random
 
 from pyspark.sql import functions as F
 
-from landtally.functions import keys as K
 from landtally.operators import draws, spatial, splits
 
 
