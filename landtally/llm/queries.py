@@ -31,7 +31,7 @@ _NEAR_SQL = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
 g AS (SELECT doc_id, unnest(sh) AS g FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -48,3 +48,29 @@ SELECT n.doc_id, n.n_shingles, m.component_id, n.doc_id = m.component_id AS kept
 def _op5(table):
     from landtally.llm.near_dedup import near_duplicates
     return near_duplicates(table("documents")).drop("class_id")
+
+
+_LEAK_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+v AS (SELECT item_id, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS j, ws FROM b WHERE len(ws) > 0),
+w AS (SELECT item_id, n, j, array_to_string(ws[j:j+n-1], ' ') AS g FROM v),
+x AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS k, ws FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n),
+y AS (SELECT doc_id, n, k, array_to_string(ws[k:k+n-1], ' ') AS g FROM x),
+m AS (SELECT y.doc_id, y.k, y.n, w.item_id, w.j FROM y JOIN w USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS names
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY 1),
+r AS (SELECT doc_id, item_id, k - j AS shift, n, k - row_number() OVER (PARTITION BY doc_id, item_id, k - j ORDER BY k) AS run FROM m),
+l AS (SELECT doc_id, max(c + n - 1) AS longest FROM (SELECT doc_id, n, count(*) AS c FROM r GROUP BY doc_id, item_id, shift, n, run) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(l.longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+
+@query("op8_decontamination", _LEAK_SQL)
+def _op8(table):
+    from landtally.llm.decontaminate import contamination, report
+    return report(contamination(table("documents"), table("benchmark")))

@@ -43,3 +43,27 @@ def near(rows, percent=75):
         links += [(i, j) for j in seen if 100 * len(s & sets[j]) >= percent * len(s | sets[j])]
     where = components(sets, links)
     return {i: (len(s), where[i]) for i, s in sets.items()}
+
+
+def contaminated(docs, items, window=10):
+    """docs, items: (id, text) → id: (n_words, n_hit, sorted item ids)."""
+    words = lambda t: ALNUM.findall((t or "").translate(LOWER))
+    where = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            where[tuple(w[k:k + n])].add(str(i))
+    lengths = {len(k) for k in where}
+    out = {}
+    for d, t in docs:
+        w = words(t)
+        hit, found = set(), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                names = where.get(tuple(w[k:k + n]))
+                if names:
+                    hit.update(range(k, k + n))
+                    found |= names
+        out[d] = (len(w), len(hit), ",".join(sorted(found)))
+    return out
