@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from landtally.session import cut_lineage
+from landtally.llm.store import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,19 +16,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     step = edges.filter("a is not null and b is not null and a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    step = cut_lineage(step)
+    step = stored(step, "edges")
     found = None
     while not step.isEmpty():
         both = step.union(step.select("b", "a"))
-        parent = cut_lineage(both.groupBy("a").agg(F.min("b").alias("_low")).select(
-            F.col("a").alias("node"), F.least("a", "_low").alias("parent")))
-        step = cut_lineage(
+        parent = stored(both.groupBy("a").agg(F.min("b").alias("_low")).select(
+            F.col("a").alias("node"), F.least("a", "_low").alias("parent")), "edges")
+        step = stored(
             step.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("_a")), "a")
             .join(parent.select(F.col("node").alias("b"), F.col("parent").alias("_b")), "b")
-            .filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+            .filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
         up = parent.select(F.col("node").alias("component"), F.col("parent").alias("_up"))
-        found = parent.select("node", F.col("parent").alias("component")) if found is None else cut_lineage(
-            found.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component")))
+        found = parent.select("node", F.col("parent").alias("component")) if found is None else stored(
+            found.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component")), "edges")
     if found is None:
         return step.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # The names of contracted nodes are least nodes of neighbourhoods, not yet of the component.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.llm import words as W
 from landtally.llm.graph import components
-from landtally.session import cut_lineage
+from landtally.llm.store import stored
 
 MINIMA, BAND, BITS = 128, 4, 4
 LANES = 64 // BITS
@@ -137,12 +137,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, p
     owners = nodes.join(named, "node", "left_semi").select(F.col("owner").alias("key"), "node")
     texts = docs.join(owners, "key").select("node", "text")
     sets = texts.mapInArrow(_sets(size), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
-    sets = cut_lineage(sets)
+    sets = stored(sets, "near")
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("_sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("_sb")), "b")
     shared = F.size(F.array_intersect("_sa", "_sb")).cast("long")
     union = F.size("_sa").cast("long") + F.size("_sb") - shared
-    return cut_lineage(both.filter(100 * shared >= percent * union).select("a", "b"))
+    return stored(both.filter(100 * shared >= percent * union).select("a", "b"), "near")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -158,17 +158,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # Band i has its own offset in the key, so keys of different bands meet only by chance.
-    sigs = cut_lineage(docs.mapInArrow(_signatures(size), "id long, n long, node long, keys array<long>, packed array<long>"))
+    sigs = stored(docs.mapInArrow(_signatures(size), "id long, n long, node long, keys array<long>, packed array<long>"), "near")
     keyed = docs.withColumn("key", F.coalesce("id", F.xxhash64("text")))
     nodes = sigs.filter("n > 0").groupBy("node").agg(
         F.min("id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("packed").alias("packed"))
     without = keyed.filter("id is null").select(F.col("key").alias("owner"), "text").mapInArrow(
         _owner_nodes(size), "owner long, node long").groupBy("node").agg(F.min("owner").alias("owner"))
     nodes = nodes.join(without, "node", "left").withColumn("owner", F.coalesce("low", "owner"))
-    nodes = cut_lineage(nodes)
+    nodes = stored(nodes, "near")
     buckets = nodes.select(F.explode("keys").alias("key"), "node")
     shared = buckets.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo <> _hi")
-    members = cut_lineage(buckets.join(shared, "key"))
+    members = stored(buckets.join(shared, "key"), "near")
 
     links = None
     belongs = None
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             star = _apart(star, belongs)
         likely = _likely(star, nodes, percent)
         best = likely.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
-        new = _confirmed(cut_lineage(best), nodes, keyed, size, percent)
+        new = _confirmed(stored(best, "near"), nodes, keyed, size, percent)
         links = new if links is None else links.union(new)
         belongs = components(links)
 
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      & (F.col("l.component") != F.col("r.component"))
                      & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
                      & (estimate(F.col("l.packed"), F.col("r.packed")) >= _floor(percent)))
-    rest = cut_lineage(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct())
+    rest = stored(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "near")
     if not rest.isEmpty():
         links = links.union(_confirmed(rest, nodes, keyed, size, percent))
         belongs = components(links)

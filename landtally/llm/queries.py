@@ -74,3 +74,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN l USING (
 def _op8(table):
     from landtally.llm.decontaminate import contamination, report
     return report(contamination(table("documents"), table("benchmark")))
+
+
+@query("op3_token_counts")
+def _op3(table):
+    import public_tokenizers
+
+    from landtally.llm.tokens import token_counts
+    return token_counts(table("documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
