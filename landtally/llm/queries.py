@@ -82,3 +82,30 @@ def _op3(table):
 
     from landtally.llm.tokens import token_counts
     return token_counts(table("documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+_LINES_SQL = r"""
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, rtrim(unnest(ls), ' ') AS line FROM t),
+b AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM a),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM b WHERE words > 0),
+d AS (SELECT *, upto - words AS before FROM c),
+w AS (SELECT doc_id, 0 AS side, pos AS s, max(pos) OVER r AS e, list(line) OVER r AS ls, sum(words) OVER r AS n FROM d
+      WINDOW r AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+      UNION ALL
+      SELECT doc_id, 1, min(pos) OVER l, pos, list(line) OVER l, sum(words) OVER l FROM d
+      WINDOW l AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+f AS (SELECT side, ls, min({'d': doc_id, 's': s, 'e': e}) AS p FROM w WHERE n >= 50 GROUP BY 1, 2 HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos FROM w JOIN f USING (side, ls)
+      WHERE n >= 50 AND (doc_id > p.d OR (doc_id = p.d AND s > p.e))),
+h AS (SELECT doc_id, count(*) AS n_deleted, list(pos) AS gone FROM g GROUP BY 1)
+SELECT t.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([x FOR x, i IN ls IF NOT list_contains(gone, i - 1)], chr(10)) END AS text,
+  CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted
+FROM t LEFT JOIN h USING (doc_id)
+"""
+
+
+@query("op6_line_dedup", _LINES_SQL)
+def _op6(table):
+    from landtally.llm.line_dedup import without_repeats
+    return without_repeats(table("documents").select("doc_id", "text"))
