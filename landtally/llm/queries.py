@@ -109,3 +109,9 @@ FROM t LEFT JOIN h USING (doc_id)
 def _op6(table):
     from landtally.llm.line_dedup import without_repeats
     return without_repeats(table("documents").select("doc_id", "text"))
+
+
+@query("op7_source_mixing")
+def _op7(table):
+    from landtally.llm.mixing import copies, report
+    return report(copies(table("documents")))
