@@ -146,3 +146,9 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 def _op9(table):
     from landtally.llm.pii import find, report
     return report(find(table("documents")))
+
+
+@query("op10_secret_scan")
+def _op10(table):
+    from landtally.llm.secrets import scan
+    return scan(table("documents"))
