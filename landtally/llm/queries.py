@@ -152,3 +152,11 @@ def _op9(table):
 def _op10(table):
     from landtally.llm.secrets import scan
     return scan(table("documents"))
+
+
+@query("op2_quality_resampling")
+def _op2(table):
+    from landtally.llm.quality import draw, fit
+    docs = table("documents")
+    model = fit(docs, table("labels"))
+    return draw(docs, model, weight_col="log_weight").select("doc_id", "source", "log_weight")

@@ -24,6 +24,12 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
+#: Letters, digits, signs: words, numbers and runs of punctuation apart.
+KINDS = np.full(256, 3, dtype=np.int8)
+KINDS[[0x20, *range(0x09, 0x0E)]] = 0
+KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+KINDS[0x30:0x3A] = 2
+
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 
 
@@ -64,12 +70,19 @@ def blocks(texts: pa.Array, lower: bool = True, block_bytes: int = BLOCK_BYTES)
 
 
 def word_hashes(texts: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the boundaries: text k has words bounds[k]:bounds[k+1]."""
+    """Hashes of the words of all texts in order, and the boundaries: text k has words bounds[k]:bounds[k+1].
+
+    ``classes`` gives every byte a class; a word is a run of one class other than 0.
+    """
     joined = b" " + b" ".join(texts) + b" "
     data = np.frombuffer(joined, dtype=np.uint8)
     inside = classes[data]
     turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = turns[0::2], turns[1::2]
+    if classes.dtype == bool:
+        starts, ends = turns[0::2], turns[1::2]
+    else:
+        real = inside[turns] != 0
+        starts, ends = turns[real], turns[1:][real[:-1]]
     up, down = _powers(len(data))
     sums = np.cumsum(_BYTE[data] * up[:len(data)], dtype=np.uint64)
     # Bytes start..end-1; byte start-1 is a separator, so the difference has no gap.
