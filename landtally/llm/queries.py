@@ -160,3 +160,9 @@ def _op2(table):
     docs = table("documents")
     model = fit(docs, table("labels"))
     return draw(docs, model, weight_col="log_weight").select("doc_id", "source", "log_weight")
+
+
+@query("op4_backoff_scores")
+def _op4(table):
+    from landtally.llm.lm_score import backoff_scores
+    return backoff_scores(table("documents"))
