@@ -1,13 +1,14 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Every document gets 128 minima over its distinct word shingles. Bands of full minima propose
+Every document gets 256 minima over its distinct word shingles. Bands of full minima propose
 candidates, the low four bits of the minima, packed into longs, estimate the similarity
 corrected for chance collisions by bit counts, and links are confirmed on the full shingle sets.
 
 Documents with the same set are one node. In a band bucket the nodes are first compared with
 leaders (a star, not all pairs); what is linked becomes one component, and only buckets that
-still hold several components go on to pairs between components. So a large group of copies
-costs a few comparisons per member and no link between components is lost.
+still hold several components go on to pairs between components, bounded by the shingles that
+another component holds at all. So a large group of copies costs a few comparisons per member
+and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from landtally.llm import words as W
 from landtally.llm.graph import components
 from landtally.llm.store import stored
 
-MINIMA, BAND, BITS = 128, 4, 4
-LANES = 64 // BITS
-#: A pair at the threshold has six standard deviations of room below its expected estimate.
-SLACK_SIGMAS = 6.0
+#: Minima per document, of which the first BANDED make bands of BAND; low bits kept of every minimum.
+#: The few texts that are left after the leaders get the single low bits of WIDE minima.
+MINIMA, BANDED, BAND, BITS, WIDE = 256, 128, 4, 4, 1024
+#: A pair at the threshold has five standard deviations of room below its expected estimate.
+SLACK_SIGMAS = 5.0
 
 _RNG = np.random.default_rng(5)
-_TIMES = (_RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1))
-_PLUS = _RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
+_TIMES = (_RNG.integers(0, 1 << 32, WIDE, dtype=np.uint32) | np.uint32(1))
+_PLUS = _RNG.integers(0, 1 << 32, WIDE, dtype=np.uint32)
 _SPREAD = W.mix(_RNG.integers(0, 1 << 64, BAND, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -46,16 +48,24 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    times, plus = _TIMES[:count], _PLUS[:count]
     short = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(MINIMA, np.uint32(0xFFFFFFFF))
+    best = np.full(count, np.uint32(0xFFFFFFFF))
     for at in range(0, len(short), 1024):
-        table = short[at:at + 1024, None] * _TIMES
-        table += _PLUS
+        table = short[at:at + 1024, None] * times
+        table += plus
         np.minimum(best, table.min(axis=0), out=best)
     return best
 
 
+def packed_bits(table: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The low bits of each row's minima, packed into longs."""
+    lanes = 64 // bits
+    low = (table & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(table), -1, lanes)
+    return (low << (np.arange(lanes, dtype=np.uint64) * np.uint64(bits))).sum(axis=2, dtype=np.uint64)
+
+
 def _node(shingles: np.ndarray) -> int:
     """Name of a set: order-free sums of its members, mixed."""
     if not len(shingles):
@@ -67,17 +77,15 @@ def _node(shingles: np.ndarray) -> int:
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (np.uint64(1) << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)))
         for batch in batches:
             ids = batch.column(0)
             for begin, texts in W.blocks(batch.column(1)):
                 sets = shingle_sets(texts, size)
                 counts = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
                 table = np.stack([minima(s) for s in sets]) if sets else np.empty((0, MINIMA), np.uint32)
-                bands = table.reshape(len(sets), -1, BAND).astype(np.uint64)
+                bands = table[:, :BANDED].reshape(len(sets), -1, BAND).astype(np.uint64)
                 keys = (bands * _SPREAD).sum(axis=2, dtype=np.uint64) + np.arange(bands.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                low = (table & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(sets), -1, LANES)
-                packed = (low * weights).sum(axis=2, dtype=np.uint64)
+                packed = packed_bits(table)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(begin, len(texts)).cast(pa.int64()), pa.array(counts),
                     pa.array([_node(s) for s in sets], pa.int64()),
@@ -102,23 +110,33 @@ def _sets(size: int):
     return run
 
 
-def estimate(left: Column, right: Column) -> Column:
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.array(x, dtype=np.int64).view(np.uint64) for x in batch.column(1).to_pylist()]
+        table = np.stack([minima(x, WIDE) for x in sets]) if sets else np.empty((0, WIDE), np.uint32)
+        packed = packed_bits(table, 1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), W.list_array(W.signed(packed).ravel(), np.full(len(sets), packed.shape[1]))], names=["node", "packed"])
+
+
+def estimate(left: Column, right: Column, minima: int = MINIMA, bits: int = BITS) -> Column:
     """Similarity from packed low bits: differing lanes by bit counts, corrected for chance matches."""
-    ones = int("1" * LANES, 16)
+    ones = sum(1 << k for k in range(0, 64, bits))
     differ = F.lit(0)
-    for k in range(MINIMA // LANES):
+    for k in range(minima * bits // 64):
         x = left[k].bitwiseXOR(right[k])
-        for shift in (1, 2) if BITS == 4 else range(1, BITS):
+        shift = 1
+        while shift < bits:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(ones)))
-    chance = 1.0 / (1 << BITS)
-    return (1.0 - differ / F.lit(float(MINIMA)) - chance) / (1.0 - chance)
+            shift *= 2
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(ones)) if bits > 1 else x)
+    chance = 1.0 / (1 << bits)
+    return (1.0 - differ / F.lit(float(minima)) - chance) / (1.0 - chance)
 
 
-def _floor(percent: int) -> float:
-    chance = 1.0 / (1 << BITS)
+def _floor(percent: int, minima: int = MINIMA, bits: int = BITS) -> float:
+    chance = 1.0 / (1 << bits)
     match = percent / 100 + (1 - percent / 100) * chance
-    return percent / 100 - SLACK_SIGMAS * (match * (1 - match) / MINIMA) ** 0.5 / (1 - chance)
+    return percent / 100 - SLACK_SIGMAS * (match * (1 - match) / minima) ** 0.5 / (1 - chance)
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -131,13 +149,20 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         "a", "b", close.alias("estimate")).filter(F.col("estimate") >= _floor(percent))
 
 
+def _node_sets(named: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, set) of the named nodes, from their texts."""
+    owners = nodes.join(named, "node", "left_semi").select(F.col("owner").alias("key"), "node")
+    return docs.join(owners, "key").select("node", "text").mapInArrow(_sets(size), "node long, set array<long>")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold. Only texts of the named nodes are read into sets."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = nodes.join(named, "node", "left_semi").select(F.col("owner").alias("key"), "node")
-    texts = docs.join(owners, "key").select("node", "text")
-    sets = texts.mapInArrow(_sets(size), "node long, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
-    sets = stored(sets, "near")
+    sets = stored(_node_sets(named, nodes, docs, size).groupBy("node").agg(F.first("set").alias("set")), "near")
+    return _linked(pairs, sets, percent)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("_sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("_sb")), "b")
     shared = F.size(F.array_intersect("_sa", "_sb")).cast("long")
@@ -167,15 +192,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = nodes.join(without, "node", "left").withColumn("owner", F.coalesce("low", "owner"))
     nodes = stored(nodes, "near")
     buckets = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = buckets.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo <> _hi")
-    members = stored(buckets.join(shared, "key"), "near")
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    members = stored(buckets.join(sizes, "key"), "near")
+    # A text that others are copies of shares more buckets with them than they do with each other: it leads.
+    weight = members.groupBy("node").agg(F.sum("_size").alias("_weight"))
+    members = stored(members.join(weight, "node").select("key", "node", "_weight"), "near")
 
     links = None
     belongs = None
-    for turn in range(stars):
-        leader = "_lo" if turn == 0 else "_hi"
-        star = members.filter(F.col("node") != F.col(leader)).select(
-            F.col("node").alias("a"), F.col(leader).alias("b")).distinct()
+    for _ in range(stars):
+        open_members = members if belongs is None else _mixed(members, belongs)
+        # Everyone against the heaviest node of the bucket, then of what is apart from the heaviest component.
+        lead = open_members.groupBy("key").agg(F.max(F.struct("_weight", "node")).alias("_lead")).select("key", F.col("_lead.node").alias("b"))
+        star = open_members.join(lead, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
         if belongs is not None:
             star = _apart(star, belongs)
         likely = _likely(star, nodes, percent)
@@ -185,17 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         belongs = components(links)
 
     # What stars have not joined: pairs of different components in one bucket.
-    placed = members.join(belongs, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
-    placed = placed.select("key", "node", "component").join(mixed.select("key"), "key").join(nodes.select("node", "n", "packed"), "node")
+    placed = stored(_mixed(members, belongs).select("key", "node", "component"), "near")
+    able = _able(placed, nodes, keyed, size, percent)
+    placed = stored(placed.join(able.drop("set"), ["node", "component"]), "near")
     left, right = placed.alias("l"), placed.alias("r")
     rest = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
                      & (F.col("l.component") != F.col("r.component"))
-                     & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
-                     & (estimate(F.col("l.packed"), F.col("r.packed")) >= _floor(percent)))
+                     & (100 * F.least("l.most", "r.most") >= percent * (F.col("l.n") + F.col("r.n") - F.least("l.most", "r.most")))
+                     & (estimate(F.col("l.packed"), F.col("r.packed"), WIDE, 1) >= _floor(percent, WIDE, 1))
+                     & (F.get(F.array_intersect("l.keys", "r.keys"), 0) == F.col("l.key")))  # once, in the first common bucket
     rest = stored(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "near")
     if not rest.isEmpty():
-        links = links.union(_confirmed(rest, nodes, keyed, size, percent))
+        links = links.union(_linked(rest, able.select("node", "set"), percent))
         belongs = components(links)
 
     groups = nodes.select("node", "low").join(belongs, "node", "left").withColumn(
@@ -210,6 +240,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       label.alias("component_id"), F.coalesce(label == F.col("id"), label.isNull()).alias("kept"))
 
 
+def _mixed(members: DataFrame, belongs: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with their component."""
+    placed = members.join(belongs, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi")
+    return placed.join(mixed.select("key"), "key")
+
+
+def _able(placed: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The nodes that may link outside their component: (node, component, n, keys, packed, most, set).
+
+    ``most`` bounds every overlap exactly. It counts the node's shingles that another of the nodes holds, then,
+    for what this leaves, the shingles that a node of another component holds.
+    """
+    def enough(table: DataFrame) -> DataFrame:
+        return table.filter(100 * F.col("most") >= percent * F.col("n"))
+
+    there = placed.select("node", "component").distinct()
+    alone = _node_sets(there.select("node"), nodes, docs, size).select("node", F.explode("set").alias("g")).groupBy("g").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("node").alias("node")).filter("_c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
+    first = there.join(nodes.select("node", "n"), "node").join(alone, "node", "left").withColumn(
+        "most", F.col("n") - F.coalesce("_alone", F.lit(0)))
+    left = stored(enough(first).select("node", "component"), "near")
+    sets = stored(_node_sets(left.select("node"), nodes, docs, size).dropDuplicates(["node"]).join(left, "node"), "near")
+    held = sets.select("node", "component", F.explode("set").alias("g"))
+    foreign = held.groupBy("g").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("g")
+    most = held.join(foreign, "g").groupBy("node", "component").agg(F.count(F.lit(1)).alias("most"))
+    wide = sets.select("node", "set").mapInArrow(_widened, "node long, packed array<long>")
+    return stored(enough(most.join(nodes.select("node", "n", "keys"), "node")).join(sets.select("node", "set"), "node").join(wide, "node"), "near")
+
+
 def _apart(pairs: DataFrame, belongs: DataFrame) -> DataFrame:
     """Pairs whose ends are not known to be in one component."""
     a = belongs.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
