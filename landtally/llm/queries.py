@@ -166,3 +166,24 @@ def _op2(table):
 def _op4(table):
     from landtally.llm.lm_score import backoff_scores
     return backoff_scores(table("documents"))
+
+
+# Only the valid vectors of the given tables are compared; each is scaled before the products are summed.
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_sum([x * x FOR x IN e])) AS n FROM v
+      WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT * FROM u WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1),
+d AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN d USING (vec_id)
+"""
+
+
+@query("op1_vector_near_dedup", _VECTOR_SQL)
+def _op1(table):
+    from landtally.llm.vectors import near_vectors
+    return near_vectors(table("embeddings")).drop("class_id")
