@@ -196,8 +196,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = stored(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
     parts = max(1, round(order * total / PARTITION_GRAMS))
-    asked = chunks.select("chunk", "counts", "n_words", "n_dict", "dict", "codes").repartition(
-        "chunk").mapInArrow(_ask(order, parts), "part long, chunk long, n long, hashes binary, counts binary, docs binary")
+    asked = chunks.select("chunk", "counts", "n_words", "n_dict", "dict", "codes").mapInArrow(_ask(order, parts), "part long, chunk long, n long, hashes binary, counts binary, docs binary")
     answered = asked.groupBy("part").applyInArrow(_answer, "chunk long, part long, n long, found binary")
     scored = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(
         _score(order, total, _arrow_type(texts)), f"id {kind}, n_words long, n_full long, score double")
