@@ -90,7 +90,7 @@ def _weigh(evidence: Broadcast, names: list[str]):
                 owner, bucket = buckets(texts)
                 weight = np.bincount(owner, weights=table[bucket], minlength=len(texts))
                 rows = batch.slice(begin, len(texts))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:len(names)], pa.array(weight)], names=[*names, "log_weight"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:len(names)], pa.array(weight.astype(np.float64), pa.float64())], names=[*names, "log_weight"])
     return run
 
 
