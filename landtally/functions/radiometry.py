@@ -74,12 +74,12 @@ def argmax_class(probabilities: Column) -> Column:
 
 def cover_state(p: Column, water_min: float = 0.35, ice_min: float = 0.60, land_min: float = 0.85,
                 other_max: float = 0.10) -> dict[str, Column]:
-    """Water and ice need to win; land needs a high summed probability and little of the other two."""
+    """Water needs to win, ice its threshold; land needs a high summed probability and little of the other two."""
     winner = argmax_class(p)
     water_p, ice_p = F.element_at(p, 1), F.element_at(p, 9)
     land_p = F.aggregate(F.slice(p, 2, 7), F.lit(0.0), lambda a, x: a + x)
     water = (winner == 0) & (water_p >= water_min)
-    ice = (winner == 8) & (ice_p >= ice_min)
+    ice = ice_p >= ice_min
     land = (land_p >= land_min) & (water_p < other_max) & (ice_p < other_max)
     return dict(water=water, snow_ice=ice, land=land, known=water | ice | land)
 

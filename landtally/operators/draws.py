@@ -118,6 +118,9 @@ def balanced_draw(candidates: DataFrame, seed: int, total: int, top: str = "freq
     ``report`` returns the leaf quotas instead of the drawn rows.
     """
     leaf = [top, *levels]
+    # An unknown stratum is stratum 0: a NULL would be counted but never joined.
+    strata_kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    candidates = candidates.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(strata_kinds[c])) for c in leaf})
     counts = cut_lineage(candidates.groupBy(*leaf, site).agg(F.count(F.lit(1)).alias("n")))
     quotas = frequency_quotas(counts, top, total)
     strata = counts.groupBy(*leaf).agg(F.sum("n").alias("n")).join(quotas.withColumnRenamed("quota", "top_quota"), top)

@@ -7,11 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from landtally.functions.bins import close_to
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting at most ``rows`` + 1 rows; beyond that Spark shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Many-to-one join that carries its own proof: ``lookup_matches`` counts the right rows of the key.
 
@@ -39,8 +34,9 @@ def pair_days(station: DataFrame, product: DataFrame, keys: list[str]) -> DataFr
     """
     j = station.join(product.withColumn("_p", F.lit(1)), keys, "full")
     v = F.col("product_value")
-    reason = (F.when(F.col("_p").isNull(), "no_product_day").when(F.col("station_value").isNull(), "no_station_morning")
-              .when(F.col("qa") != 0, "product_quality").when(v.isNull() | F.isnan(v) | ~v.between(0, 1), "product_range"))
+    poor = F.col("qa").isNull() | (F.col("qa") != 0)
+    reason = (F.when(F.col("_p").isNull(), "no_product_day").when(poor, "product_quality")
+              .when(F.col("station_value").isNull(), "no_station_morning").when(v.isNull() | F.isnan(v) | ~v.between(0, 1), "product_range"))
     return j.withColumn("reason", reason).drop("_p")
 
 

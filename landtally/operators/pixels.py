@@ -130,13 +130,13 @@ def total_by_cover(fractions: list[Column], values: list[Column]) -> Column:
 def land_weighted_mean(df: DataFrame, keys: list[str]) -> DataFrame:
     """Soil-moisture window mean with weights 1 - water - ice on known domain pixels."""
     w = F.when(F.col("known") & F.col("domain"), F.greatest(F.lit(0.0), 1 - F.col("water") - F.col("snow_ice"))).otherwise(0.0)
-    out = df.withColumn("_w", w).groupBy(*keys).agg(F.sum("_w").alias("land_weight"), F.sum(F.col("_w") * F.col("value")).alias("_v"))
+    out = df.withColumn("_w", w).groupBy(*keys).agg(F.sum("_w").alias("land_weight"), F.sum(F.when(F.col("_w") > 0, F.col("_w") * F.col("value"))).alias("_v"))
     return out.select(*keys, "land_weight", F.when(F.col("land_weight") > 0, F.col("_v") / F.col("land_weight")).alias("value"))
 
 
 def hann(index: Column, size: int) -> Column:
-    """Hann weight at pixel centres, positive at the edges."""
-    return F.pow(F.sin((index + 0.5) * F.lit(3.141592653589793 / size)), F.lit(2))
+    """Inner points of a Hann window of ``size`` + 2, so that every pixel has weight."""
+    return F.pow(F.sin((index + 1) * F.lit(3.141592653589793 / (size + 1))), F.lit(2))
 
 
 def blend(df: DataFrame, keys: list[str], size: int, value: str = "value", surface: str | None = None) -> DataFrame:
@@ -152,7 +152,8 @@ def blend(df: DataFrame, keys: list[str], size: int, value: str = "value", surfa
     out = rows.groupBy(*keys).agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * v).alias("_v"),
                                   F.sum(F.col("_w") * v * v).alias("_vv"), F.count(F.lit(1)).alias("windows"))
     mean = F.col("_v") / F.col("_w")
-    return out.select(*keys, mean.alias(value), F.greatest(F.lit(0.0), F.col("_vv") / F.col("_w") - mean * mean).alias("spread"), "windows")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_vv") / F.col("_w") - mean * mean))
+    return out.select(*keys, mean.alias(value), F.when(F.col("windows") > 1, spread).alias("spread"), "windows")
 
 
 def static_weights(df: DataFrame, first: int = 17, count: int = 7) -> DataFrame:

@@ -144,7 +144,7 @@ def native_operator(weights: DataFrame, cell_of: dict[str, Column], keys: list[s
 
 
 def reduce_cells(df: DataFrame, keys: list[str], weight: str = "weight", value: str = "et", purity: str = "purity",
-                 limit: float = 0.95, atol: float = 1e-6) -> DataFrame:
+                 limit: float = 0.95, atol: float = 1e-5) -> DataFrame:
     """Weighted value only with the complete support; otherwise NULL and a reason, never renormalised."""
     ok_value = F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0)
     out = df.groupBy(*keys).agg(

@@ -13,7 +13,7 @@ TASKS = ("sm", "et")
 
 
 def assign_splits(stations: DataFrame, products: DataFrame, seed: int = 43, development: Column | None = None,
-                  overlap_m: float = 1700.0, colocated_m: float = 30.0) -> DataFrame:
+                  colocated_m: float = 30.0) -> DataFrame:
     """Group stations whose supports meet, then draw one split per group.
 
     ``stations``: location_id, group_id, lon, lat. ``products``: product_id, lon, lat, radius_m.
@@ -24,7 +24,11 @@ def assign_splits(stations: DataFrame, products: DataFrame, seed: int = 43, deve
     located = cut_lineage(stations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()))
     identity = spatial.identity_links(located, "location_id", "group_id")
     near = cut_lineage(identity.unionByName(spatial.distance_links(located, "location_id", colocated_m)))
-    tiles = spatial.distance_links(located, "location_id", overlap_m)
+    # Tiles meet when places are at most the sum of both radii apart; equal places are linked above.
+    places = located.groupBy("lon", "lat").agg(F.min("location_id").alias("a"))
+    place_circles = cut_lineage(spatial.tile_circle(places))
+    tiles = spatial.circles_overlap(place_circles, place_circles.withColumnRenamed("a", "b"), cell_m=2000.0,
+                                    left_id="a", right_id="b").filter("a < b").select("a", "b")
     nodes = located.select("location_id")
     physical = spatial.components(nodes, near, "location_id", "_physical")
     grouped = spatial.components(nodes, near.unionByName(tiles), "location_id", "spatial_group_id")

@@ -9,7 +9,7 @@ from landtally.session import cut_lineage
 
 
 def footprint_candidates(flux: DataFrame, params: DataFrame, heights: DataFrame, canopy: DataFrame, keys: list[str],
-                         canopy_days: int = 366, steps: tuple[float, ...] = (10.0, 5.0)) -> tuple[DataFrame, DataFrame]:
+                         canopy_days: int = 366, steps: tuple[float, ...] = (10.0, 5.0, 2.5)) -> tuple[DataFrame, DataFrame]:
     """Windows valid in time and on the common footprint support, with enough tile mass; and rejection counts.
 
     Flux rows keep their place when parameters are missing. Heights come from the last dated event;
@@ -19,7 +19,7 @@ def footprint_candidates(flux: DataFrame, params: DataFrame, heights: DataFrame,
     rows = ordered.asof_backward(rows, heights, keys, "start_s", "event_s", ["height"], tie=["event_id"]).drop("event_s")
     rows = ordered.asof_backward(rows, canopy, keys, "start_s", "event_s", ["canopy"], tie=["event_id"], max_age=canopy_days * 86400).drop("event_s")
     rows = rows.withColumn("zm", F.col("height") - F.col("canopy") * (2.0 / 3.0))
-    ok = footprint.parameter_valid({k: F.col(k) for k in (*footprint.PARAMETERS, "canopy")}) & F.coalesce(F.col("provider_flag").isin(0, 3) | (F.col("provider_flag") > 3), F.lit(False))
+    ok = footprint.parameter_valid({k: F.col(k) for k in (*footprint.PARAMETERS, "canopy")}) & F.coalesce(F.col("provider_flag").isin(0, 3), F.lit(False))
     rows = cut_lineage(rows.withColumn("support", ok))
     temporal = iv.interval_labels(rows, keys)
     common = iv.interval_labels(rows, keys, support=F.col("support"))

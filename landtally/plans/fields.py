@@ -309,10 +309,10 @@ def b16(t):
     return t.pixels.select("tile", shown.alias("s")).groupBy("tile").agg(F.count("s").alias("shown"), r6(F.sum("s")).alias("total"))
 
 
-@query("B17_valid_cover_domain", "SELECT doc_id FROM documents WHERE doc_id * 7 % 400 - 200 BETWEEN -180 AND 180 AND 2015 + doc_id % 12 BETWEEN 2017 AND 2024 AND lang IN ('en','fr','de')")
+@query("B17_valid_cover_domain", "SELECT doc_id FROM documents WHERE doc_id * 7 % 400 - 200 BETWEEN -180 AND 180 AND doc_id % 200 - 100 >= -60 AND doc_id % 200 - 100 < 84 AND 2015 + doc_id % 12 BETWEEN 2017 AND 2024 AND lang IN ('en','fr','de')")
 def b17(t):
     """Points in the domain, the years and the known classes."""
-    d = t.documents.select("doc_id", (F.col("doc_id") * 7 % 400 - 200).cast("double").alias("lon"), F.lit(5.5).alias("lat"), F.when(F.col("lang").isin("en", "fr", "de"), 1).alias("cls"))
+    d = t.documents.select("doc_id", (F.col("doc_id") * 7 % 400 - 200).cast("double").alias("lon"), (F.col("doc_id") % 200 - 100).cast("double").alias("lat"), F.when(F.col("lang").isin("en", "fr", "de"), 1).alias("cls"))
     return d.filter(series.point_reason(2015 + F.col("doc_id") % 12).isNull()).select("doc_id")
 
 
@@ -431,7 +431,7 @@ def h13(t):
 
 
 _ARG = """w AS (SELECT vec_id, min(image) AS image, min(label) AS label, arg_max(pos, p) AS win, max(CASE WHEN pos=0 THEN p END) AS pw, max(CASE WHEN pos=8 THEN p END) AS pi, sum(CASE WHEN pos BETWEEN 1 AND 7 THEN p ELSE 0 END) AS pl FROM @probabilities q GROUP BY vec_id),
- s AS (SELECT *, win = 0 AND pw >= 0.35 AS water, win = 8 AND pi >= 0.6 AS snow_ice, pl >= 0.85 AND pw < 0.1 AND pi < 0.1 AS land FROM w)"""
+ s AS (SELECT *, win = 0 AND pw >= 0.35 AS water, pi >= 0.6 AS snow_ice, pl >= 0.85 AND pw < 0.1 AND pi < 0.1 AS land FROM w)"""
 
 
 @query("H14_argmax_class", f"WITH {_ARG} SELECT vec_id, CAST(win AS INTEGER) AS winner, water, snow_ice, land, water OR snow_ice OR land AS known FROM s")

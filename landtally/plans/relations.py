@@ -44,15 +44,15 @@ def c3(t):
 
 
 @query("C9_common_day_pairing", f"""WITH s AS (SELECT sensor, CAST(make_timestamp(t_s*1000000) AS DATE) AS day, avg(value) AS station_value FROM @sensor x WHERE good AND sensor % 7 <> 0 GROUP BY ALL),
- p AS (SELECT sensor, CAST(make_timestamp(t_s*1000000) AS DATE) AS day, avg(value)*1.2 AS product_value, min(event_id % 5) AS qa FROM @sensor x WHERE sensor % 5 <> 0 GROUP BY ALL)
+ p AS (SELECT sensor, CAST(make_timestamp(t_s*1000000) AS DATE) AS day, avg(value)*1.2 AS product_value, CASE WHEN min(sensor) % 11 <> 0 THEN min(event_id % 5) END AS qa FROM @sensor x WHERE sensor % 5 <> 0 GROUP BY ALL)
  SELECT coalesce(s.sensor, p.sensor) AS sensor, {D('coalesce(s.day, p.day)')} AS day, {R('station_value')} AS station_value, {R('product_value')} AS product_value,
-  CASE WHEN p.sensor IS NULL THEN 'no_product_day' WHEN s.sensor IS NULL THEN 'no_station_morning' WHEN qa <> 0 THEN 'product_quality' WHEN product_value NOT BETWEEN 0 AND 1 THEN 'product_range' END AS reason FROM s FULL JOIN p ON s.sensor = p.sensor AND s.day = p.day""")
+  CASE WHEN p.sensor IS NULL THEN 'no_product_day' WHEN qa IS NULL OR qa <> 0 THEN 'product_quality' WHEN s.sensor IS NULL THEN 'no_station_morning' WHEN product_value NOT BETWEEN 0 AND 1 THEN 'product_range' END AS reason FROM s FULL JOIN p ON s.sensor = p.sensor AND s.day = p.day""")
 def c9(t):
     """Common days, with the reason of each excluded day from both sides."""
     day = F.timestamp_seconds("t_s").cast("date")
     x = t.sensor.withColumn("day", day)
     s = x.filter("good and sensor % 7 <> 0").groupBy("sensor", "day").agg(F.avg("value").alias("station_value"))
-    p = x.filter("sensor % 5 <> 0").groupBy("sensor", "day").agg((F.avg("value") * 1.2).alias("product_value"), F.min(F.col("event_id") % 5).alias("qa"))
+    p = x.filter("sensor % 5 <> 0").groupBy("sensor", "day").agg((F.avg("value") * 1.2).alias("product_value"), F.when(F.col("sensor") % 11 != 0, F.min(F.col("event_id") % 5)).alias("qa"))
     out = joins.pair_days(s, p, ["sensor", "day"])
     return out.select("sensor", day_text("day").alias("day"), r6("station_value").alias("station_value"), r6("product_value").alias("product_value"), "reason")
 
@@ -120,14 +120,14 @@ def c20(t):
     return a.join(b, ["id2", "tm"]).select("p_partkey", "id2")
 
 
-@query("C21_overlap_source", """WITH c AS (SELECT DISTINCT l_suppkey % 200 AS block, l_returnflag AS source, l_linenumber % 4 AS cell, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS rk FROM lineitem WHERE l_discount < 0.03 AND l_quantity < 3 AND l_suppkey % 3 <> 0),
- f AS (SELECT block, source, rk FROM c GROUP BY ALL HAVING count(DISTINCT cell) = 4) SELECT DISTINCT CAST(s_suppkey AS BIGINT) AS block, (SELECT source FROM f WHERE f.block = s_suppkey ORDER BY rk LIMIT 1) AS source FROM supplier WHERE s_suppkey < 200""")
+@query("C21_overlap_source", """WITH c AS (SELECT DISTINCT l_suppkey AS block, l_returnflag AS source, l_orderkey % 64 AS cell, CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS rk FROM lineitem),
+ f AS (SELECT block, source, rk FROM c GROUP BY ALL HAVING count(DISTINCT cell) = 64) SELECT DISTINCT CAST(s_suppkey AS BIGINT) AS block, (SELECT source FROM f WHERE f.block = s_suppkey ORDER BY rk LIMIT 1) AS source FROM supplier""")
 def c21(t):
     """The first source that covers the whole block."""
-    c = t.lineitem.filter("l_discount < 0.03 and l_quantity < 3 and l_suppkey % 3 <> 0").select((F.col("l_suppkey") % 200).alias("block"), F.col("l_returnflag").alias("source"), (F.col("l_linenumber") % 4).alias("cell"),
+    c = t.lineitem.select(F.col("l_suppkey").alias("block"), F.col("l_returnflag").alias("source"), (F.col("l_orderkey") % 64).alias("cell"),
         F.expr("CASE l_returnflag WHEN 'N' THEN 1 WHEN 'A' THEN 2 ELSE 3 END").alias("rk"))
-    b = t.supplier.filter("s_suppkey < 200").select(F.col("s_suppkey").alias("block")).distinct()
-    return joins.covering_source(b, c, "block", "source", "rk", 4)
+    b = t.supplier.select(F.col("s_suppkey").alias("block")).distinct()
+    return joins.covering_source(b, c, "block", "source", "rk", 64)
 
 
 @query("C22_product_row", f"""SELECT key, task, {R('CASE WHEN task = chr(115)||chr(109) THEN product/60 ELSE product/10 END')} AS product_value, CASE WHEN year(day) < 1996 THEN 'before_availability' WHEN task = 'sm' AND l_returnflag = 'R' THEN 'product_quality' WHEN task = 'et' AND target > 45 THEN 'impure_cell' END AS reason FROM @pairs p""")

@@ -152,7 +152,7 @@ def m15(t):
     return a.join(q, ["task", "l_returnflag"]).select("task", F.col("l_returnflag").alias("variant"), r6("m").alias("max_delta"), r6("percentile").alias("median_delta"), r6("s").alias("negative_share"))
 
 
-@query("M16_cover_threshold_audit", f"WITH {_ARG}, k AS (SELECT *, rule, CASE rule WHEN 'standard' THEN water OR snow_ice OR land WHEN 'loose' THEN (win=0 AND pw>=0.2) OR (win=8 AND pi>=0.4) OR (pl>=0.7 AND pw<0.2 AND pi<0.2) END AS known FROM s, (VALUES ('standard'),('loose')) v(rule)) SELECT label, rule, count(*) AS cells, CAST(sum(CASE WHEN known THEN 1 ELSE 0 END) AS BIGINT) AS known_cells, {R('avg(CASE WHEN known THEN 0.0 ELSE 1 END)')} AS mean_unknown FROM k GROUP BY label, rule")
+@query("M16_cover_threshold_audit", f"WITH {_ARG}, k AS (SELECT *, rule, CASE rule WHEN 'standard' THEN water OR snow_ice OR land WHEN 'loose' THEN (win=0 AND pw>=0.2) OR (pi>=0.4) OR (pl>=0.7 AND pw<0.2 AND pi<0.2) END AS known FROM s, (VALUES ('standard'),('loose')) v(rule)) SELECT label, rule, count(*) AS cells, CAST(sum(CASE WHEN known THEN 1 ELSE 0 END) AS BIGINT) AS known_cells, {R('avg(CASE WHEN known THEN 0.0 ELSE 1 END)')} AS mean_unknown FROM k GROUP BY label, rule")
 def m16(t):
     """Known cells and unknown share under each rule set."""
     p = t.probabilities.groupBy("vec_id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda s: s["p"]).alias("p"))
@@ -162,12 +162,12 @@ def m16(t):
 
 
 @query("M17_predictions_at_points", """WITH q AS (SELECT vec_id, max(CASE WHEN pos=0 THEN p END) AS w, sum(CASE WHEN pos BETWEEN 1 AND 7 THEN p ELSE 0 END) AS l, max(CASE WHEN pos=8 THEN p END) AS i FROM @probabilities q GROUP BY vec_id)
- SELECT point_id, coalesce(w + l + i BETWEEN 0.99 AND 1.01, FALSE) AS prediction_valid, CASE WHEN w >= i AND w >= l THEN 0 WHEN i >= l THEN 1 WHEN l IS NOT NULL THEN 2 END AS predicted FROM @points p LEFT JOIN q ON p.point_id % 600 = q.vec_id""")
+ SELECT point_id, coalesce(w + l + i BETWEEN 0.99 AND 1.01, FALSE) AS prediction_valid, CASE WHEN w >= i AND w >= l THEN 0 WHEN i >= l THEN 1 WHEN l IS NOT NULL THEN 2 END AS predicted FROM @points p LEFT JOIN q ON p.point_id = q.vec_id""")
 def m17(t):
     """Predicted fractions and class at each point; unmatched points stay, invalid."""
     p = F.col("p")
     q = t.probabilities.groupBy("vec_id").agg(F.max(F.when(F.col("pos") == 0, p)).alias("w"), F.max(F.when(F.col("pos") == 8, p)).alias("i"), F.sum(F.when(F.col("pos").between(1, 7), p).otherwise(0.0)).alias("l"))
-    return metrics.predictions_at_points(t.points.withColumn("vec_id", F.col("point_id") % 600), q, ["vec_id"], ["w", "i", "l"]).select("point_id", "prediction_valid", "predicted")
+    return metrics.predictions_at_points(t.points.withColumn("vec_id", F.col("point_id")), q, ["vec_id"], ["w", "i", "l"]).select("point_id", "prediction_valid", "predicted")
 
 
 @query("M18_common_sm", f"SELECT mode, scope, count(*) AS n, {R('sqrt(avg(pow(pred-target,2)))')} AS rmse FROM (SELECT mode, pred, target, unnest(CASE WHEN both_ok THEN ['common','own'] ELSE ['own'] END) AS scope FROM (SELECT l.*, k.key IS NOT NULL AS both_ok FROM {LONG} l LEFT JOIN (SELECT key FROM @pairs p WHERE valid_a AND valid_b) k ON l.key = k.key WHERE valid AND task = 'sm') x) y GROUP BY 1, 2")

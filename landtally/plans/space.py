@@ -256,7 +256,7 @@ def j13(t):
 
 
 @query("J14_reduce_cells", f"""WITH p AS (SELECT vec_id, p AS weight, CASE WHEN vec_id % 7 = 0 AND pos = 3 THEN NULL ELSE pos * 1.5 END AS et, CASE WHEN vec_id % 5 = 0 THEN 0.95 ELSE 0.96 END AS purity FROM @probabilities q WHERE vec_id % 11 <> 0 OR pos < 8),
- g AS (SELECT vec_id, sum(weight) AS w, min(purity) AS mp, count(*) = count(et) AS ok, sum(weight*et) AS v FROM p GROUP BY vec_id) SELECT vec_id, CASE WHEN abs(w-1) > 1e-6 THEN 'incomplete_weight' WHEN mp <= 0.95 THEN 'impure_cell' WHEN NOT ok THEN 'missing_or_negative_value' END AS reason, {R('CASE WHEN abs(w-1) <= 1e-6 AND mp > 0.95 AND ok THEN v END')} AS value FROM g""")
+ g AS (SELECT vec_id, sum(weight) AS w, min(purity) AS mp, count(*) = count(et) AS ok, sum(weight*et) AS v FROM p GROUP BY vec_id) SELECT vec_id, CASE WHEN abs(w-1) > 1e-5 THEN 'incomplete_weight' WHEN mp <= 0.95 THEN 'impure_cell' WHEN NOT ok THEN 'missing_or_negative_value' END AS reason, {R('CASE WHEN abs(w-1) <= 1e-5 AND mp > 0.95 AND ok THEN v END')} AS value FROM g""")
 def j14(t):
     """Complete, pure and finite, or NULL with a reason."""
     q = t.probabilities.filter("vec_id % 11 <> 0 or pos < 8").select("vec_id", F.col("p").alias("weight"), F.when(~((F.col("vec_id") % 7 == 0) & (F.col("pos") == 3)), F.col("pos") * 1.5).alias("et"), F.when(F.col("vec_id") % 5 == 0, 0.95).otherwise(0.96).alias("purity"))
@@ -302,7 +302,7 @@ def _tower_intervals(t):
 @query("J16_window_mass")
 def j16(t):
     """Duration-weighted footprint mass of each tower window with its quadrature margin."""
-    _, note = footprint.window_mass(_tower_intervals(t).drop("start_s"), ["station", "target_time"], steps=(10.0, 5.0))
+    _, note = footprint.window_mass(_tower_intervals(t).drop("start_s"), ["station", "target_time"])
     return note.select("station", "target_time", r6("captured_mass", 5).alias("captured_mass"), r6("l1_difference", 5).alias("l1_difference"), "step_m", "converged", "accepted")
 
 
@@ -464,7 +464,7 @@ def k13(t):
     return q.select("vec_id", r6(total).alias("et"))
 
 
-@query("K14_land_conditional_sm", f"WITH p AS (SELECT tile, CASE WHEN valid AND row <> 3 THEN greatest(0, 1 - abs(value)*6) ELSE 0 END AS w, value AS v FROM @pixels p) SELECT tile, {R('sum(w)')} AS land_weight, {R('CASE WHEN sum(w) > 0 THEN sum(w*v)/sum(w) END')} AS value FROM p GROUP BY tile")
+@query("K14_land_conditional_sm", f"WITH p AS (SELECT tile, CASE WHEN valid AND row <> 3 THEN greatest(0, 1 - abs(value)*6) ELSE 0 END AS w, value AS v FROM @pixels p), q AS (SELECT tile, w, CASE WHEN w > 0 THEN w*v END AS wv FROM p) SELECT tile, {R('sum(w)')} AS land_weight, {R('CASE WHEN sum(w) > 0 THEN sum(wv)/sum(w) END')} AS value FROM q GROUP BY tile")
 def k14(t):
     """Soil moisture weighted by what is neither water nor ice."""
     p = t.pixels.select("tile", F.col("valid").alias("known"), (F.col("row") != 3).alias("domain"), (F.abs("value") * 4).alias("water"), (F.abs("value") * 2).alias("snow_ice"), "value")
@@ -472,7 +472,7 @@ def k14(t):
     return out.select("tile", r6("land_weight").alias("land_weight"), r6("value").alias("value"))
 
 
-@query("K15_mosaic_blend", f"""WITH p AS (SELECT place, image*4 + row AS gr, col AS gc, pow(sin((row+0.5)*pi()/8),2)*pow(sin((col+0.5)*pi()/8),2) AS w, value AS v FROM @pixels p WHERE valid) SELECT place, gr, gc, {R('sum(w*v)/sum(w)')} AS value, {R('greatest(0, sum(w*v*v)/sum(w) - pow(sum(w*v)/sum(w),2))')} AS spread, count(*) AS windows FROM p GROUP BY ALL""")
+@query("K15_mosaic_blend", f"""WITH p AS (SELECT place, image*4 + row AS gr, col AS gc, pow(sin((row+1)*pi()/9),2)*pow(sin((col+1)*pi()/9),2) AS w, value AS v FROM @pixels p WHERE valid) SELECT place, gr, gc, {R('sum(w*v)/sum(w)')} AS value, {R('CASE WHEN count(*) > 1 THEN sqrt(greatest(0, sum(w*v*v)/sum(w) - pow(sum(w*v)/sum(w),2))) END')} AS spread, count(*) AS windows FROM p GROUP BY ALL""")
 def k15(t):
     """Overlapping windows blended with a Hann kernel."""
     p = t.pixels.filter("valid").select("place", (F.col("image") * 4 + F.col("row")).alias("gr"), F.col("col").alias("gc"), F.col("row").alias("win_row"), F.col("col").alias("win_col"), "value")

@@ -25,6 +25,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _private_folder(spark: SparkSession, prefix: str) -> str:
+    """A folder of this machine, for tests; on a cluster executors would each see their own."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder, so a lost executor costs no recomputation.
 
@@ -34,7 +42,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="landtally-checkpoint-"))
+        context.setCheckpointDir(folder or _private_folder(df.sparkSession, "landtally-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -43,7 +51,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"landtally-{name}-") + "/table"
+    return _private_folder(spark, f"landtally-{name}-") + "/table"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -104,7 +104,7 @@ def parse_points(df: DataFrame, geometry: str = "geometry", label: str = "label"
 
 def point_reason(year: Column) -> Column:
     """Why a parsed point is not usable, NULL when it is."""
-    return (F.when(F.col("lon").isNull() | F.col("lat").isNull(), "geometry").when(~F.col("lon").between(-180, 180) | ~F.col("lat").between(-90, 90), "domain")
+    return (F.when(F.col("lon").isNull() | F.col("lat").isNull(), "geometry").when(~F.col("lon").between(-180, 180) | (F.col("lat") < -60) | (F.col("lat") >= 84), "domain")
             .when(~year.between(2017, 2024), "year").when(F.col("cls").isNull(), "class"))
 
 
