@@ -26,7 +26,10 @@ SLICES = 256
 LABELLED = 200_000
 #: Smoothing in documents, and how far a ratio must fall before it counts: rare n-grams differ by chance.
 SMOOTH, MARGIN = 3.0, 1.0
-TEMPERATURE = 0.25
+#: The noise is small against the evidence of one telling n-gram, so that the draw decides near the cut only.
+TEMPERATURE = 0.01
+#: Share of the good documents of the cut's half that must stay.
+KEEP = 0.99
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(good)
     n = known.count()
     part = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, labelled / max(1, n))))
-    label = context.broadcast({r["id"]: r["good"] for r in part.collect()})
+    # One half of the labelled documents makes the target, the other half finds the cut: a document that
+    # helped to make the target says nothing about how well others are told apart.
+    part = part.withColumn("half", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)))
+    rows = part.collect()
+    label = context.broadcast({r["id"]: r["good"] for r in rows if r["half"] == 0})
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counted = texts.mapInArrow(_count(label), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(
         _sum, "slice int, counts binary").collect()
@@ -147,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for row in counted:
         table[:, row["slice"]] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
     raw, target = table.reshape(2, -1).astype(np.float64)
-    if not target.any() or min(label.value.values()) == 1:
+    if not target.any() or min(r["good"] for r in rows) == 1:
         return Model(context.broadcast(np.zeros(BUCKETS)), float("-inf"))
     expected = raw * (target.sum() / raw.sum())
     evidence = context.broadcast(np.minimum(np.log((target + SMOOTH) / (expected + SMOOTH)) + MARGIN, 0.0))
@@ -156,20 +163,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                         F.col(text_col).cast("string").alias("text"))
     scored = stored(noise.mapInArrow(_weigh(evidence, ["id", "noise"]), "id long, noise double, log_weight double").withColumn(
         "key", F.col("log_weight") + F.col("noise")), "weights")
-    sample = scored.join(F.broadcast(part), "id").select("log_weight", "good").toPandas()
+    sample = scored.join(F.broadcast(part.filter("half = 1")), "id").select("log_weight", "good").toPandas()
     line = _best_cut(sample["log_weight"].to_numpy(), sample["good"].to_numpy() == 1)
     k = scored.filter(F.col("log_weight") >= line).count()
     return Model(evidence, _kth_largest(scored, "key", k) if k else float("inf"))
 
 
 def _best_cut(weight: np.ndarray, good: np.ndarray) -> float:
-    """The weight from which on documents count as good, at the best mean of both hit rates."""
+    """The weight from which on documents count as good: the best mean of both hit rates that keeps KEEP of the good."""
     if not good.any() or good.all():
         return float("-inf")
     values = np.unique(weight)
     kept_good = 1 - np.searchsorted(np.sort(weight[good]), values) / good.sum()
     cut_bad = np.searchsorted(np.sort(weight[~good]), values) / (~good).sum()
-    return float(values[np.argmax(kept_good + cut_bad)])
+    return float(values[np.argmax(np.where(kept_good >= KEEP, kept_good + cut_bad, 0.0))])
 
 
 def draw(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", temperature: float = TEMPERATURE,
