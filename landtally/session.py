@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "landtally", master: str | None = None, **conf) -> SparkSession:
     """Create a session; ``conf`` keys use ``__`` for the dots of a Spark setting."""
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
