@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame
 
 from landtally.session import scratch_folder
@@ -12,7 +14,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor then costs no recomputation, and the plans of later rounds start from a scan:
     a checkpointed plan keeps the constraints of its history, which double from round to round.
+    Once a table is written, the shuffle files behind it are of no more use; Spark removes them when the driver
+    collects the garbage that refers to them, which a job of many short rounds would otherwise put off for long.
     """
-    path = scratch_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return table
