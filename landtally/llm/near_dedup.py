@@ -60,9 +60,13 @@ def minima(shingles: np.ndarray, count: int = MINIMA) -> np.ndarray:
 
 
 def packed_bits(table: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The low bits of each row's minima, packed into longs."""
+    """A few bits of each row's minima, mixed with the number of their function, packed into longs.
+
+    The low bits of a minimum itself follow from those of its shingle: two shingles would collide in all functions or in none.
+    """
     lanes = 64 // bits
-    low = (table & np.uint32((1 << bits) - 1)).astype(np.uint64).reshape(len(table), -1, lanes)
+    mixed = W.mix(table.astype(np.uint64) | (np.arange(1, table.shape[1] + 1, dtype=np.uint64) << np.uint64(32)))
+    low = (mixed & np.uint64((1 << bits) - 1)).reshape(len(table), -1, lanes)
     return (low << (np.arange(lanes, dtype=np.uint64) * np.uint64(bits))).sum(axis=2, dtype=np.uint64)
 
 

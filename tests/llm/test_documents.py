@@ -243,3 +243,18 @@ def test_secrets(spark, docs):
     assert all(got[k].secret for k in range(60)) and not any(got[100 + k].secret for k in range(60))
     assert rows[3][1][got[3].start:got[3].end] == key(3)
     assert scan(docs.limit(0)).count() == 0 and scan(docs).count() >= 1
+
+
+def test_short_texts_at_the_threshold(spark, monkeypatch):
+    """The last pass alone links all pairs of short texts at exactly 75 %."""
+    from landtally.llm import near_dedup as N
+    likely = N._likely
+    monkeypatch.setattr(N, "_likely", lambda *given: likely(*given).limit(0))
+    rows = []
+    for k in range(400):
+        shingles = (4, 8, 12)[k % 3]
+        words = [f"k{k}w{j}" for j in range(shingles + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-shingles // 4]))]
+    got = by_id(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute.near(rows)
+    assert len({r.component_id for r in got.values()}) == 400
