@@ -1,11 +1,10 @@
-"""Near-duplicate vectors by NN-descent.
-
-Equal vectors of a label are one node. Each node keeps a list of its best neighbours, begun from random
-projections and refined by joining the neighbours of neighbours; lists that hold only links are
-enlarged. Rounds go on until an audit against brute force on a sample finds the wanted share of
-links and a round adds no more. Links at the threshold and above make components, and inside a component
-the links of every vector are counted exactly in blocks, so that no pair table of a large group
-of copies is ever made.
+"""Near-duplicate vectors by exact comparison in blocks.
+
+Equal vectors of a label are one node. The nodes of a label are dealt into blocks, and every pair of blocks
+is compared once: this counts the links of every vector, and of the links found a pair of blocks returns only what
+names the components, a row per vector at most, so that no pair table of a large group of copies is ever
+made. No link is left to a list, a cell or a sample; the price is work that grows with the square of a label's
+distinct vectors.
 """
 
 from __future__ import annotations
@@ -18,17 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from landtally.llm.graph import components
 from landtally.llm.store import stored
+from landtally.session import spread
 
-#: Lists begin with LIST neighbours and double up to MOST while they are saturated.
-LIST, MOST = 10, 40
-#: Random projections: trees of PLANES hyperplanes; members of a cell meet in groups of GROUP at most.
-#: Every round adds MORE trees.
-TREES, MORE, PLANES, GROUP = 12, 4, 8, 64
-ROUNDS, SAMPLE, RECALL = 8, 256, 0.999
-#: Rows of a block of the exact counts.
-BLOCK = 1024
-
-_NODE = "label long, node long, x array<double>"
+#: Rows of a block of the comparison, and of a block's product held at once.
+BLOCK, STRIPE = 4096, 512
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -66,144 +58,61 @@ def _groups(pdf: pd.DataFrame, keys: list[str]) -> Iterator[tuple[np.ndarray, np
             yield at[rows], x[rows]
 
 
-def _meet(groups: DataFrame, keep: int) -> DataFrame:
-    """Members of each (label, place, part) compared with each other: each one's best (label, node, other, sim)."""
-    keys = ["label", "place", "part"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, labels = pdf["node"].to_numpy(), pdf["label"].to_numpy()
-        left, right, sims = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        for rows, x in _groups(pdf, keys):
-            n = min(keep, len(rows) - 1)
-            if n < 1:
-                continue
-            close = x @ x.T
-            np.fill_diagonal(close, -2.0)
-            at = np.argpartition(-close, n - 1, axis=1)[:, :n]
-            left.append(np.repeat(rows, n))
-            right.append(rows[at].ravel())
-            sims.append(np.take_along_axis(close, at, axis=1).ravel())
-        a, b = np.concatenate(left), np.concatenate(right)
-        out = pd.DataFrame({"label": labels[a], "node": nodes[a], "other": nodes[b], "sim": np.concatenate(sims)})
-        return out[out["node"] != out["other"]]
-
-    return _batched(groups, keys).groupBy("bin").applyInPandas(run, "label long, node long, other long, sim double")
-
-
-def _parts(table: DataFrame, turn: int) -> DataFrame:
-    """Deal the members of every (label, place) into parts of GROUP at most on average, differently each turn."""
-    sizes = table.groupBy("label", "place").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_parts"))
-    return table.join(sizes, ["label", "place"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("_parts"))).drop("_parts")
-
-
-def _cells(nodes: DataFrame, trees: range) -> DataFrame:
-    """(label, node, x, place): the cell of every node in each of the trees."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for width, same in pdf.groupby(pdf["x"].map(len)):
-                x = _matrix(same["x"])
-                for tree in trees:
-                    planes = np.random.default_rng([width, tree]).standard_normal((width, PLANES))
-                    cell = ((x @ planes) > 0) @ (1 << np.arange(PLANES)) + tree * (1 << PLANES)
-                    yield pd.DataFrame({"label": same["label"], "node": same["node"], "x": same["x"], "place": cell.astype(np.int64)})
-
-    return nodes.mapInPandas(run, _NODE + ", place long")
-
-
-def _lists(found: DataFrame, sizes: DataFrame | None, threshold: float) -> DataFrame:
-    """The best of ``found`` per node, as many as its list holds; saturated lists get twice the size."""
-    best = found.groupBy("label", "node", "other").agg(F.max("sim").alias("sim"))
-    room = F.lit(LIST) if sizes is None else F.coalesce("room", F.lit(LIST))
-    best = best if sizes is None else best.join(sizes, ["label", "node"], "left")
-    order = Window.partitionBy("label", "node").orderBy(F.col("sim").desc(), "other")
-    ranked = best.withColumn("room", room).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= MOST)
-    full = F.sum(((F.col("_rank") <= F.col("room")) & (F.col("sim") >= threshold)).cast("int")).over(Window.partitionBy("label", "node"))
-    ranked = ranked.withColumn("room", F.when(full >= F.col("room"), F.least(2 * F.col("room"), F.lit(MOST))).otherwise(F.col("room")))
-    return ranked.filter("_rank <= room").select("label", "node", "other", "sim", "room")
-
-
-def _audit(nodes: DataFrame, graph: DataFrame, threshold: float) -> float:
-    """Share of the true links of a sample of nodes whose ends the graph joins, by brute force in blocks.
-
-    The sample has a fixed size; it is compared with all nodes.
-    """
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(SAMPLE)
-    asked = sample.toPandas()
-    if asked.empty:
-        return 1.0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for (label, width), same in pdf.groupby(["label", pdf["x"].map(len)]):
-                mine = asked[(asked["label"] == label) & (asked["x"].map(len) == width)]
-                if len(mine):
-                    a, b = np.nonzero(_matrix(mine["x"]) @ _matrix(same["x"]).T >= threshold)
-                    yield pd.DataFrame({"node": mine["node"].to_numpy()[a], "other": same["node"].to_numpy()[b]})
-
-    true = nodes.mapInPandas(run, "node long, other long").filter("node <> other")
-    true = stored(true, "audit")
-    named = components(graph.filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    a = named.select("node", F.col("component").alias("_a"))
-    b = named.select(F.col("node").alias("other"), F.col("component").alias("_b"))
-    hit = true.join(a, "node", "left").join(b, "other", "left").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("_a") == F.col("_b")).cast("long")).alias("hit")).first()
-    return (hit["hit"] or 0) / hit["n"] if hit["n"] else 1.0
-
-
-def descend(nodes: DataFrame, threshold: float) -> tuple[DataFrame, float]:
-    """NN-descent over (label, node, x): the neighbour graph (label, node, other, sim) and its audited recall."""
-    graph = stored(_lists(_meet(_parts(_cells(nodes, range(TREES)), 0), LIST), None, threshold), "knn")
-    before, recall = -1, 0.0
-    for turn in range(1, ROUNDS + 1):
-        both = graph.select("label", F.col("node").alias("place"), F.col("other").alias("node")).union(
-            graph.select("label", F.col("other").alias("place"), "node")).union(
-            graph.select("label", F.col("node").alias("place"), "node")).distinct()
-        # Neighbours of a node, in both directions and itself, meet in parts; a node with many is dealt anew each round.
-        met = _meet(_parts(both, turn).join(nodes, ["label", "node"]), LIST)
-        first = TREES + (turn - 1) * MORE
-        met = met.union(_meet(_parts(_cells(nodes, range(first, first + MORE)), turn), LIST))
-        sizes = graph.groupBy("label", "node").agg(F.max("room").alias("room"))
-        graph = stored(_lists(graph.select("label", "node", "other", "sim").union(met), sizes, threshold), "knn")
-        links = graph.filter(F.col("sim") >= threshold).count()
-        if links <= 1.001 * before or turn == ROUNDS:
-            recall = _audit(nodes, graph, threshold)
-            if recall >= RECALL:
-                break
-        before = links
-    return graph, recall
-
-
 def _blocks(table: DataFrame) -> DataFrame:
-    """Every pair of blocks of a component once: (component, i, j) with the rows of both sides."""
-    sizes = table.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / BLOCK)).filter("_n > 1")
-    dealt = table.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node", F.lit(9)), F.col("_parts")))
+    """Every pair of blocks of a label once: (label, lo, hi) with the rows of both sides; ``i`` is a row's own block."""
+    sizes = table.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / BLOCK)).filter("_n > 1")
+    dealt = table.join(sizes, "label").withColumn("i", F.pmod(F.xxhash64("node", F.lit(9)), F.col("_parts")))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda j: F.struct(
         F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
-    return dealt.select("component", "i", "node", "m", "x", F.explode(pairs).alias("p")).select("component", "p.lo", "p.hi", "i", "node", "m", "x")
-
-
-def _counts(table: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): the copies of other nodes of the component that each node links with."""
-    keys = ["component", "lo", "hi"]
+    return dealt.select("label", "i", "node", "m", "x", F.explode(pairs).alias("p")).select("label", "p.lo", "p.hi", "i", "node", "m", "x")
+
+
+def _joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a table of links without empty rows and columns: for each row a column, for each column a row of its component."""
+    row_peer, col_peer = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    for first in range(near.shape[0]):
+        if row_peer[first] >= 0:
+            continue
+        peer = int(near[first].argmax())
+        front = np.array([first])
+        row_peer[front] = peer
+        while len(front):
+            cols = np.flatnonzero(near[front].any(axis=0) & (col_peer < 0))
+            col_peer[cols] = first
+            front = np.flatnonzero(near[:, cols].any(axis=1) & (row_peer < 0))
+            row_peer[front] = peer
+    return row_peer, col_peer
+
+
+def _compared(table: DataFrame, threshold: float) -> DataFrame:
+    """All pairs of a label: (node, peer, links), the copies each node links with and a node of its component, per pair of blocks."""
+    keys = ["label", "lo", "hi"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         node, m, block, lo, hi = (pdf[c].to_numpy() for c in ("node", "m", "i", "lo", "hi"))
-        nodes, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        nodes, peers, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for rows, x in _groups(pdf, keys):
             first, second = lo[rows[0]], hi[rows[0]]
-            a, b = block[rows] == first, block[rows] == second
-            close = x[a] @ x[b].T >= threshold
+            a, b = np.flatnonzero(block[rows] == first), np.flatnonzero(block[rows] == second)
+            if not len(a) or not len(b):
+                continue
+            close = np.empty((len(a), len(b)), bool)
+            for at in range(0, len(a), STRIPE):
+                np.greater_equal(x[a[at:at + STRIPE]] @ x[b].T, threshold, out=close[at:at + STRIPE])
             if first == second:
                 np.fill_diagonal(close, False)
-            nodes.append(node[rows[a]])
-            links.append(close @ m[rows[b]])
-            if first != second:
-                nodes.append(node[rows[b]])
-                links.append(close.T @ m[rows[a]])
-        return pd.DataFrame({"node": np.concatenate(nodes), "links": np.concatenate(links)})
+            left, right = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+            near = close[np.ix_(left, right)]
+            left, right = rows[a[left]], rows[b[right]]
+            row_peer, col_peer = _joined(near)
+            nodes += [node[left], node[right]]
+            peers += [node[right[row_peer]], node[left[col_peer]]]
+            # Inside one block the columns are the rows once more.
+            links += [near @ m[right], near.T @ m[left] if first != second else np.zeros(len(right), np.int64)]
+        return pd.DataFrame({"node": np.concatenate(nodes), "peer": np.concatenate(peers), "links": np.concatenate(links)})
 
-    counted = _batched(_blocks(table), keys).groupBy("bin").applyInPandas(run, "node long, links long")
-    return counted.groupBy("node").agg(F.sum("links").alias("links"))
+    # A fixed number of tasks: the rows are small in bytes but long in compute.
+    return spread(_batched(_blocks(table), keys), "bin").groupBy("bin").applyInPandas(run, "node long, peer long, links long")
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -218,11 +127,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = stored(_usable(vectors, id_col, vector_col, label_col).withColumn("node", F.xxhash64("label", "x")), "vectors")
     nodes = stored(rows.groupBy("node").agg(F.min("label").alias("label"), F.min("id").alias("low"), F.count(F.lit(1)).alias("m"),
                                             F.first("x").alias("x")), "vectors")
-    graph, _ = descend(nodes.select("label", "node", "x"), threshold)
-    linked = graph.filter(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    belongs = components(linked)
-    inside = stored(nodes.join(belongs, "node"), "vectors")
-    counts = _counts(inside.select("component", "node", "m", "x"), threshold)
+    compared = stored(_compared(nodes.select("label", "node", "m", "x"), threshold), "vectors")
+    belongs = components(compared.select(F.col("node").alias("a"), F.col("peer").alias("b")))
+    counts = compared.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("node", "low", "m").join(belongs, "node", "left").join(counts, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("low").alias("component_id"))

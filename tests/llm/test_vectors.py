@@ -41,3 +41,36 @@ def test_components(spark):
     want = brute.components({x for e in links for x in e}, links)
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_vectors_between_tight_clusters(spark):
+    """Every vector has more than 40 neighbours in its own cluster that are nearer than any of the other cluster."""
+    from landtally.llm.vectors import near_vectors
+    rng = np.random.default_rng(6)
+    near = np.zeros((2, 64))
+    near[:, 0], near[1, 1] = 1.0, np.tan(np.arccos(0.945))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    x = np.repeat(near, 150, axis=0) + rng.standard_normal((300, 64)) * 0.001
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(table).collect()}
+    assert got == {k: (links[k], 0) for k in range(300)} and links.min() > 200
+
+
+def test_near_vectors_in_several_blocks(spark, monkeypatch):
+    """Rare pairs exactly at hand among many vectors without a link, over many blocks."""
+    from landtally.llm import vectors as V
+    monkeypatch.setattr(V, "BLOCK", 100)
+    monkeypatch.setattr(V, "STRIPE", 30)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1500, 64))
+    for k in range(40):
+        x[1499 - k] = x[k] / np.linalg.norm(x[k]) * 8 + rng.standard_normal(64) * 0.38
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    close = np.argwhere(np.triu(x @ x.T >= 0.93, 1)).tolist()
+    where = brute.components(range(1500), close)
+    counts = np.bincount(np.array(close).ravel(), minlength=1500)
+    table = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_vectors(table).collect()}
+    assert len(close) > 10 and got == {k: (counts[k], where[k]) for k in range(1500)}
