@@ -1,6 +1,6 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of key characters that hold a digit. Their features are length, transitions between
+Candidates are issuers' formats, values assigned to secret names, and runs of key characters that hold a digit. Their features are length, transitions between
 character classes, the share that words of the text cover, the path (source) and neighbouring
 words. The forest is trained from labelled findings; where none are given, findings whose format
 or assignment settles the matter are the labels and the forest decides the others too. Only DataFrame
@@ -16,14 +16,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.llm.store import stored
 
-_KEY = r"A-Za-z0-9+/=_\-"
-#: A maximal run of at least 12 key characters with a digit.
-CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z+/=_\-]*+[0-9])[{_KEY}]{{12,}}+"
+_KEY = r"A-Za-z0-9+/_\-"
 NEAR = 40
 
 #: Formats of well-known issuers, assignments to secret names, and what placeholders hold.
-ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-.{10,}|sk-[A-Za-z0-9_\-]{20,}|AIza[0-9A-Za-z_\-]{35})$"
-ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|access[_\-]?key|credential)s?[\"']?\s*[=:]\s*[\"']?$"
+_FORMATS = (r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|sk-[A-Za-z0-9_\-]{20,}+|AIza[0-9A-Za-z_\-]{35}"
+            r"|eyJ[A-Za-z0-9_\-]{5,}+\.[A-Za-z0-9_\-]{5,}+\.[A-Za-z0-9_\-]*+)")
+ISSUED = rf"^{_FORMATS}$"
+_NAMED = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_\-]?key|access[_\-]?key|credential)s?[\"']?\s{0,16}[=:]{1,3}>?\s{0,16}[\"']?"
+ASSIGNED = rf"(?i){_NAMED}$"
+#: A value after a secret name: up to the quote that ends it, or without quotes up to white space or a sign that ends a value.
+_VALUE = r"(?:(?<=[\"'])[^\"'\r\n]++(?=[\"'])|(?![=:>])[^\s\"'&<>]*[^\s\"'&<>,;.)\]}])"
+_GIVEN = rf"(?<=[=:>]\s{{0,16}}[\"']?)(?<=(?i:{_NAMED})){_VALUE}"
+_ISSUED_HERE = rf"(?<![A-Za-z0-9]){_FORMATS}(?![A-Za-z0-9])"
+#: A run of at least 12 key characters with a digit, from its start or where the last candidate ends; "=" belongs to it as padding only.
+_RUN = (rf"(?:(?<![{_KEY}])|\G)(?=[A-Za-z+/_\-]*+[0-9])(?:(?!{_ISSUED_HERE})[{_KEY}]){{12,}}+(?:={{1,2}}(?![{_KEY}=]))?")
+CANDIDATE = rf"(?:{_ISSUED_HERE}|{_GIVEN}|{_RUN})"
+#: What an assignment settles; whether a shorter or plain value is a secret is left to the forest.
+STRONG = r"^(?=.*[0-9])\S{12,}$"
+
 HARMLESS = r"(?i)^[0-9\-+/=_]+$|^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$|example|placeholder|dummy|changeme|x{6,}|(.)\1{7,}"
 SECRET_WORDS = r"(?i)\b(?:token|secret|password|passwd|key|credential|auth|bearer|login)\b"
 CALM_WORDS = r"(?i)\b(?:example|sample|test|dummy|sha|commit|hash|version|isbn|order|number|id)\b"
@@ -75,7 +86,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         "slashes": share("[^/]"), "quoted": flag(before.rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "assigned": flag(before.rlike("[=:]\\s*[\"']?$")), "secret_words": flag(before.rlike(SECRET_WORDS)),
         "calm_words": flag(before.rlike(CALM_WORDS))}
-    settled = F.when(value.rlike(HARMLESS), 0.0).when(value.rlike(ISSUED) | before.rlike(ASSIGNED), 1.0).when(
+    settled = F.when(value.rlike(HARMLESS), 0.0).when(value.rlike(ISSUED) | (before.rlike(ASSIGNED) & value.rlike(STRONG)), 1.0).when(
         before.rlike(CALM_WORDS) & ~before.rlike(SECRET_WORDS), 0.0)
     return around.select(id_col, "start", (F.col("start") + F.length(value)).alias("end"), "value", settled.alias("label"),
                          *[features[f].cast("double").alias(f) for f in FEATURES])

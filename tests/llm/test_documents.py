@@ -258,3 +258,21 @@ def test_short_texts_at_the_threshold(spark, monkeypatch):
     got = by_id(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute.near(rows)
     assert len({r.component_id for r in got.values()}) == 400
+
+
+def test_secrets_in_assignments(spark):
+    from landtally.llm.secrets import findings
+    aws, google, github = "AKIA" + "ABCD1234EFGH5678", "AIza" + "Sy0aB1cD2eF" * 3 + "xY", "ghp_" + "a1B2c3" * 6
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl-_x"
+    plain = "Zm9vYmFyYmF6MTIz"
+    cases = [(f"API_KEY={aws}", aws), ("password=hunter2hunter2 next", "hunter2hunter2"), (f"token={github}\n", github), (f"http://x.org/?key={google}&a=1", google),
+             (f"see /{aws}/ there", aws), (f"auth {jwt}.", jwt), ("password = p@ss.w0rd!$x", "p@ss.w0rd!$x"), ("PASSWORD: 'a b'", "a b"), ("pwd=abc", "abc"),
+             (f"plain {plain}== here", plain + "=="), (f"{plain}x={plain}", plain + "x"), (f"/{aws}/{plain}", aws)]
+    table = spark.createDataFrame([(k, t, "s") for k, (t, _) in enumerate(cases)], "doc_id long, text string, source string")
+    found = {(r.doc_id, r.value): r for r in findings(table).collect()}
+    for k, (text, value) in enumerate(cases):
+        assert (k, value) in found, text
+        row = found[k, value]
+        assert text[row.start:row.end] == value
+        assert k > 6 or row.label == 1.0, text
+    assert (10, plain) in found and (11, f"/{plain}") in found and len(found) == len(cases) + 2
