@@ -187,3 +187,23 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 def _op1(table):
     from landtally.llm.vectors import near_vectors
     return near_vectors(table("embeddings")).drop("class_id")
+
+
+_WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, t, CAST(strlen(t) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY t) AS top, sha1(t) AS h FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (5 * (3 - k % 4))) & 31), 1)
+    FOR k IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM d
+"""
+
+
+@query("op11_warc_revisits", _WARC_SQL)
+def _op11(table):
+    from landtally.llm.warc import archived
+    from landtally.session import scratch_folder
+    pages = table("pages")
+    return archived(pages, scratch_folder(pages.sparkSession, "archives"))
