@@ -210,7 +210,9 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Documents without any hit word; columns as given. Rows with a NULL id stay only if their text is clean."""
-    found = contamination(docs.withColumn("_row", F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))).select(
-        "_row", text_col), benchmark, "_row", text_col, **options)
+    # The given columns travel as one, so that none of their names meets one of these.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("_row"))
+    found = contamination(rows.select("_row", F.col("row")[text_col].alias("text")), benchmark, "_row", "text", **options)
     gone = found.filter(F.size("spans") > 0).select(F.col("_row.i").alias("_i"), F.col("_row.h").alias("_h")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text_col]) == F.col("_h")), "left_anti")
+    kept = rows.join(gone, F.col("_row.i").eqNullSafe(F.col("_i")) & (F.col("_row.h") == F.col("_h")), "left_anti")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -10,19 +10,15 @@ from __future__ import annotations
 import itertools
 import json
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.llm.hot import join_counted
+from landtally.llm.sketch import met
 from landtally.llm.store import stored
 
 FILTERS = "ABCDE"
-#: Counters a text meets; counters per text, and the most of them: 32 MB of bits, whatever the size of the table. A fuller sketch
-#: clears fewer texts and changes no result.
-HASHES, PER_TEXT, MOST = 3, 16, 1 << 28
 _UPPER, _SIGNS = bytes(range(0x41, 0x5B)), b"#$%&*|"
 
 
@@ -50,43 +46,12 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     return rows.mapInArrow(run, "doc_id long, part string, mask int, h long, code binary")
 
 
-def _places(h: Column, counters: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(h, F.lit(k)), F.lit(counters)) for k in range(HASHES)]
-
-
-def possible_repeats(hashes: DataFrame, counters: int | None = None):
-    """From a column ``h`` of all texts, a condition on such columns that is false only for texts that occur once.
-
-    The counters are a grouped count, so each task's own sketch is combined before the shuffle and the merged one is exact. Only
-    one bit per counter comes back, at most ``MOST`` bits: met twice or more.
-    """
-    if counters is None:
-        counters = 1 << min(MOST.bit_length() - 1, max(15, (PER_TEXT * hashes.count() - 1).bit_length()))
-    counted = hashes.select(F.explode(F.array_distinct(F.array(*_places(F.col("h"), counters)))).alias("p")).groupBy("p").count().filter("count > 1")
-    one = F.col("p") + 1
-    slices = counted.groupBy(F.bitmap_bucket_number(one).alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
-    bits = np.zeros((max(1, counters // 32768), 4096), np.uint8)
-    for row in slices.toLocalIterator():
-        bits[row["slice"] - 1] = np.frombuffer(row["bits"], np.uint8)
-    shared = hashes.sparkSession.sparkContext.broadcast(bits.ravel())
-
-    @F.pandas_udf("boolean")
-    def met(p: pd.Series, q: pd.Series, r: pd.Series) -> pd.Series:
-        sketch, out = shared.value, np.ones(len(p), bool)
-        for place in (p, q, r):
-            at = place.to_numpy(np.int64)
-            out &= (sketch[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(out)
-
-    return lambda h: met(*_places(h, counters))
-
-
 def repeats(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int | None = None) -> DataFrame:
     """(doc_id, part, mask) of the rows of ``rows`` (as of :func:`masks`, stored) whose text a smaller id holds too.
 
     Repeated rows of an id do not repeat each other; a NULL id is neither smaller nor larger than another.
     """
-    possible = possible_repeats(rows.select("h"), counters)
+    possible = met(rows.select("h"), times=2, bits=counters)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     firsts = texts.filter(possible(F.xxhash64("text"))).groupBy("text").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     firsts = stored(firsts.select(F.unhex(F.sha2("text", 256)).alias("code"), "first", "n"), "firsts")

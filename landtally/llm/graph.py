@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from landtally.llm.store import stored
+from landtally.llm.store import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,15 +22,19 @@ def components(edges: DataFrame) -> DataFrame:
         both = step.union(step.select("b", "a"))
         parent = stored(both.groupBy("a").agg(F.min("b").alias("_low")).select(
             F.col("a").alias("node"), F.least("a", "_low").alias("parent")), "edges")
-        step = stored(
+        last, step = step, stored(
             step.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("_a")), "a")
             .join(parent.select(F.col("node").alias("b"), F.col("parent").alias("_b")), "b")
             .filter("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
         up = parent.select(F.col("node").alias("component"), F.col("parent").alias("_up"))
-        found = parent.select("node", F.col("parent").alias("component")) if found is None else stored(
-            found.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component")), "edges")
+        before = found
+        found = stored((parent.select("node", F.col("parent").alias("component")) if found is None else
+                        found.join(up, "component", "left").select("node", F.coalesce("_up", "component").alias("component"))), "edges")
+        discard(last, parent, before)
     if found is None:
         return step.select(F.col("a").alias("node"), F.col("b").alias("component"))
     # The names of contracted nodes are least nodes of neighbourhoods, not yet of the component.
     least = found.groupBy("component").agg(F.min("node").alias("_least"))
-    return found.join(least, "component").select("node", F.col("_least").alias("component"))
+    named = stored(found.join(least, "component").select("node", F.col("_least").alias("component")), "components")
+    discard(step, found)
+    return named

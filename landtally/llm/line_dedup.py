@@ -87,12 +87,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = repeated_lines(docs, id_col, text_col, words).groupBy("doc").agg(F.collect_list("pos").alias("_gone")).select(
         F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), "_gone")
     docs = docs.drop("n_lines", "n_deleted")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_h")), "left")
-    lines = F.split(F.col(text_col), "\n")
+    # The given columns travel as one, so that none of their names meets one of these.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_hash"))
+    joined = rows.join(gone, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left")
+    given = F.col("row")[text_col]
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     kept = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.withColumn("_lines", lines).select(
-        *columns, F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
+    text = F.when(F.col("_gone").isNull(), given).otherwise(kept)
+    columns = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    return joined.withColumn("_lines", F.split(given, "\n")).select(
+        *columns, F.when(given.isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_deleted"))

@@ -156,8 +156,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     docs = docs.drop("copy")
     drawn = copies(docs, id_col, text_col, source_col, **options).filter("copies > 0").select(
         F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("_hash").alias("_h"), F.col("_turn").alias("_t"), F.col("copies").alias("_n"))
-    twin = Window.partitionBy(id_col, source_col, "_key").orderBy("_key")
-    keyed = docs.withColumn("_key", F.xxhash64(text_col)).withColumn("_twin", F.row_number().over(twin))
-    joined = keyed.join(drawn, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).cast("string").eqNullSafe(F.col("_s"))
-                        & (F.col("_key") == F.col("_h")) & (F.col("_twin") == F.col("_t")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    # The given columns travel as one, so that none of their names meets one of these.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"),
+                        F.xxhash64(text_col).alias("_key"))
+    twin = Window.partitionBy("_id", "_source", "_key").orderBy("_key")
+    joined = keyed.withColumn("_twin", F.row_number().over(twin)).join(
+        drawn, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s"))
+        & (F.col("_key") == F.col("_h")) & (F.col("_twin") == F.col("_t")))
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))

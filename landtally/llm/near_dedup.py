@@ -21,13 +21,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.llm import words as W
 from landtally.llm.graph import components
-from landtally.llm.store import stored
+from landtally.llm.sketch import met
+from landtally.llm.store import discard, stored
 
 #: Minima per document, of which the first BANDED make bands of BAND; low bits kept of every minimum.
 #: The few texts that are left after the leaders get the single low bits of WIDE minima.
 MINIMA, BANDED, BAND, BITS, WIDE = 256, 128, 4, 4, 1024
 #: A pair at the threshold has five standard deviations of room below its expected estimate.
 SLACK_SIGMAS = 5.0
+#: Nodes of a bucket that meet in one task.
+BLOCK = 512
 
 _RNG = np.random.default_rng(5)
 _TIMES = (_RNG.integers(0, 1 << 32, WIDE, dtype=np.uint32) | np.uint32(1))
@@ -154,16 +157,21 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _node_sets(named: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(node, set) of the named nodes, from their texts."""
-    owners = nodes.join(named, "node", "left_semi").select(F.col("owner").alias("key"), "node")
-    return docs.join(owners, "key").select("node", "text").mapInArrow(_sets(size), "node long, set array<long>")
+    """(node, set) of the named nodes, from their texts. Texts of other nodes stay where they are: a sketch of the owners tells them."""
+    owners = stored(nodes.join(named, "node", "left_semi").select(F.col("owner").alias("key"), "node"), "owners")
+    own = docs.filter(met(owners.select(F.col("key").alias("h")))(F.col("key")))
+    sets = stored(own.join(owners, "key").select("node", "text").mapInArrow(_sets(size), "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    discard(owners)
+    return sets
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets reach the threshold. Only texts of the named nodes are read into sets."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_node_sets(named, nodes, docs, size).groupBy("node").agg(F.first("set").alias("set")), "near")
-    return _linked(pairs, sets, percent)
+    sets = _node_sets(named, nodes, docs, size)
+    links = _linked(pairs, sets, percent)
+    discard(sets)
+    return links
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,14 +203,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _owner_nodes(size), "owner long, node long").groupBy("node").agg(F.min("owner").alias("owner"))
     nodes = nodes.join(without, "node", "left").withColumn("owner", F.coalesce("low", "owner"))
     nodes = stored(nodes, "near")
+    heads = stored(sigs.select("id", "n", "node"), "near")
+    discard(sigs)
     buckets = nodes.select(F.explode("keys").alias("key"), "node")
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
     members = stored(buckets.join(sizes, "key"), "near")
     # A text that others are copies of shares more buckets with them than they do with each other: it leads.
     weight = members.groupBy("node").agg(F.sum("_size").alias("_weight"))
-    members = stored(members.join(weight, "node").select("key", "node", "_weight"), "near")
+    sized, members = members, stored(members.join(weight, "node").select("key", "node", "_weight"), "near")
+    discard(sized)
 
-    links = None
+    found: list[DataFrame] = []
     belongs = None
     for _ in range(stars):
         open_members = members if belongs is None else _mixed(members, belongs)
@@ -213,35 +224,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             star = _apart(star, belongs)
         likely = _likely(star, nodes, percent)
         best = likely.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("_best")).select("a", F.col("_best.b").alias("b"))
-        new = _confirmed(stored(best, "near"), nodes, keyed, size, percent)
-        links = new if links is None else links.union(new)
-        belongs = components(links)
+        best = stored(best, "near")
+        new = _confirmed(best, nodes, keyed, size, percent)
+        found.append(new)
+        discard(best, belongs)
+        belongs = components(_union(found))
 
     # What stars have not joined: pairs of different components in one bucket.
-    placed = stored(_mixed(members, belongs).select("key", "node", "component"), "near")
-    able = _able(placed, nodes, keyed, size, percent)
-    placed = stored(placed.join(able.drop("set"), ["node", "component"]), "near")
-    left, right = placed.alias("l"), placed.alias("r")
-    rest = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node"))
-                     & (F.col("l.component") != F.col("r.component"))
-                     & (100 * F.least("l.most", "r.most") >= percent * (F.col("l.n") + F.col("r.n") - F.least("l.most", "r.most")))
-                     & (estimate(F.col("l.packed"), F.col("r.packed"), WIDE, 1) >= _floor(percent, WIDE, 1))
-                     & (F.get(F.array_intersect("l.keys", "r.keys"), 0) == F.col("l.key")))  # once, in the first common bucket
-    rest = stored(rest.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "near")
-    if not rest.isEmpty():
-        links = links.union(_linked(rest, able.select("node", "set"), percent))
-        belongs = components(links)
+    mixed = stored(_mixed(members, belongs).select("key", "node", "component"), "near")
+    discard(members)
+    able = _able(mixed, nodes, keyed, size, percent)
+    placed = stored(mixed.join(able.drop("set"), ["node", "component"]), "near")
+    discard(mixed)
+    pairs = stored(_bucket_pairs(placed, percent), "near")
+    if not pairs.isEmpty():
+        found.append(_linked(pairs, able.select("node", "set"), percent))
+        discard(belongs)
+        belongs = components(_union(found))
+    discard(placed, pairs, able, *found)
 
     groups = nodes.select("node", "low").join(belongs, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = groups.groupBy("component").agg(F.min("low").alias("component_id"))
     named = groups.join(least, "component").select("node", F.col("low").alias("class_id"), "component_id")
-    out = sigs.select("id", "n", "node").join(named, "node", "left")
+    out = heads.join(named, "node", "left")
     own = F.col("n") == 0
     label = F.when(own, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-                      label.alias("component_id"), F.coalesce(label == F.col("id"), label.isNull()).alias("kept"))
+    verdict = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                                F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+                                label.alias("component_id"), F.coalesce(label == F.col("id"), label.isNull()).alias("kept")), "verdict")
+    discard(heads, nodes, belongs)
+    return verdict
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return tables[0] if len(tables) == 1 else tables[0].union(_union(tables[1:]))
+
+
+def _bucket_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components in one bucket that their bounds and wide signatures allow.
+
+    A large bucket is dealt into blocks, and every pair of its blocks meets under a key of its own.
+    """
+    sizes = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    dealt = placed.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_parts")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)
+    left = dealt.withColumn("j", F.explode(F.filter(others, lambda j: j >= F.col("i")))).alias("l")
+    right = dealt.withColumnRenamed("i", "j").withColumn("i", F.explode(F.filter(others, lambda i: i <= F.col("j")))).alias("r")
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+                      & ((F.col("l.i") < F.col("l.j")) | (F.col("l.node") < F.col("r.node"))) & (F.col("l.component") != F.col("r.component"))
+                      & (100 * F.least("l.most", "r.most") >= percent * (F.col("l.n") + F.col("r.n") - F.least("l.most", "r.most")))
+                      & (estimate(F.col("l.packed"), F.col("r.packed"), WIDE, 1) >= _floor(percent, WIDE, 1))
+                      & (F.get(F.array_intersect("l.keys", "r.keys"), 0) == F.col("l.key")))  # once, in the first common bucket
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def _mixed(members: DataFrame, belongs: DataFrame) -> DataFrame:
@@ -260,18 +295,22 @@ def _able(placed: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
     def enough(table: DataFrame) -> DataFrame:
         return table.filter(100 * F.col("most") >= percent * F.col("n"))
 
-    there = placed.select("node", "component").distinct()
-    alone = _node_sets(there.select("node"), nodes, docs, size).select("node", F.explode("set").alias("g")).groupBy("g").agg(
+    there = stored(placed.select("node", "component").distinct(), "near")
+    every = _node_sets(there.select("node"), nodes, docs, size)
+    alone = every.select("node", F.explode("set").alias("g")).groupBy("g").agg(
         F.count(F.lit(1)).alias("_c"), F.min("node").alias("node")).filter("_c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("_alone"))
     first = there.join(nodes.select("node", "n"), "node").join(alone, "node", "left").withColumn(
         "most", F.col("n") - F.coalesce("_alone", F.lit(0)))
     left = stored(enough(first).select("node", "component"), "near")
-    sets = stored(_node_sets(left.select("node"), nodes, docs, size).dropDuplicates(["node"]).join(left, "node"), "near")
+    sets = stored(every.join(left, "node"), "near")
+    discard(there, every, left)
     held = sets.select("node", "component", F.explode("set").alias("g"))
     foreign = held.groupBy("g").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("g")
     most = held.join(foreign, "g").groupBy("node", "component").agg(F.count(F.lit(1)).alias("most"))
     wide = sets.select("node", "set").mapInArrow(_widened, "node long, packed array<long>")
-    return stored(enough(most.join(nodes.select("node", "n", "keys"), "node")).join(sets.select("node", "set"), "node").join(wide, "node"), "near")
+    able = stored(enough(most.join(nodes.select("node", "n", "keys"), "node")).join(sets.select("node", "set"), "node").join(wide, "node"), "near")
+    discard(sets)
+    return able
 
 
 def _apart(pairs: DataFrame, belongs: DataFrame) -> DataFrame:
@@ -298,5 +337,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows with a NULL id and repeated rows of a kept id stay, as nothing tells which to drop.
     """
     verdict = near_duplicates(docs, id_col, text_col, **options)
-    gone = verdict.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = _free(docs)
+    gone = stored(verdict.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(name)).distinct(), "gone")
+    discard(verdict)
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+
+
+def _free(docs: DataFrame) -> str:
+    """A column name that the documents do not use."""
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -13,6 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from landtally.llm.spans import between, matches, running, segments
+
 #: Kinds in order of listing.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
@@ -94,33 +96,22 @@ def _marked(kind: str, text: Column) -> Column:
 
 
 def _proposed(kind: str, text: Column) -> Column:
-    """Array of (start, end) of the pattern's matches, in code points."""
-    work = _marked(kind, text)
-    pieces = F.split(work, _PATTERN[kind], -1)
-    found = F.regexp_extract_all(work, F.lit(_PATTERN[kind]), F.lit(0))
-    span = "array<struct<start:int,end:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["piece"])
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("hit"))
-    return F.when(text.rlike(_HINT[kind]), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.array().cast(span))
+    """Array of (start, value) of the pattern's matches, in code points."""
+    none = F.array().cast("array<struct<start:int,value:string>>")
+    return F.when(text.rlike(_HINT[kind]), matches(_marked(kind, text), _PATTERN[kind])).otherwise(none)
 
 
-def _scored(rank: int, kind: str, text: Column) -> Column:
-    """The confirmed spans of a kind with their scores."""
+def _scored(rank: int, kind: str, pieces: Column) -> Column:
+    """The confirmed spans of a kind with their scores; ``pieces`` are the text's segments."""
     words = r"(?i)\b(?:" + "|".join(CONTEXT[kind]) + r")\b"
 
     def scored(s: Column) -> Column:
-        before = F.greatest(s["start"] - NEAR, F.lit(0))
-        near = F.substring(text, before + 1, s["start"] - before).rlike(words)
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"),
-                        (F.lit(SCORE[kind]) + F.when(near, BONUS).otherwise(0.0)).alias("score"))
+        near = between(pieces, F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]).rlike(words)
+        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), (s["start"] + F.length(s["value"])).alias("end"),
+                        F.lit(kind).alias("kind"), (F.lit(SCORE[kind]) + F.when(near, BONUS).otherwise(0.0)).alias("score"))
 
-    real = F.filter(f"_{kind}", lambda s: _confirmed(kind, F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+    # A mark stands for the space that joins digits, whatever the pattern joined.
+    real = F.filter(f"_{kind}", lambda s: _confirmed(kind, F.translate(s["value"], "\x03", " ")))
     spans = F.transform(real, scored)
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= ENOUGH)
 
@@ -136,7 +127,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     for kind in (*BASE, *ADDED):
         rows = rows.withColumn(f"_{kind}", _proposed(kind, text))
-    parts = [_scored(rank, kind, text) for rank, kind in enumerate((*BASE, *ADDED))]
+    some = F.size(F.concat(*[F.col(f"_{kind}") for kind in (*BASE, *ADDED)])) > 0
+    rows = rows.withColumn("_pieces", F.when(some, segments(text)))
+    parts = [_scored(rank, kind, F.col("_pieces")) for rank, kind in enumerate((*BASE, *ADDED))]
     return rows.select(id_col, F.array_sort(F.concat(*parts)).alias("found"))
 
 
@@ -154,17 +147,23 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "<{}>") -> DataFrame:
-    """``docs`` with every span replaced by its kind; overlapping spans by the kind of the first."""
-    helper = docs.withColumn("_all", F.struct(*docs.columns))
-    found = find(helper, "_all", text_col)
-    value = F.col("_all")[text_col]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        kept = F.substring(value, a["at"] + 1, s["start"] - a["at"])
+    """``docs`` with every span replaced by its kind; overlapping spans by the kind of the first.
+
+    The texts of documents without spans are as given, NULL included; other columns are kept.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    given = F.col("row")[text_col]
+    found = find(rows.select("row", given.alias("text")), "row", "text")
+    # Spans are in order; one that begins before the end of an earlier one is part of what that replaces.
+    ends = running(F.transform("found", lambda s: s["end"].cast("long")), F.greatest)
+    found = found.withColumn("_ends", ends).withColumn("_pieces", F.when(F.size("found") > 0, segments(given)))
+    last = F.element_at("_ends", -1).cast("int")
+
+    def put(s: Column, i: Column) -> Column:
+        at = F.coalesce(F.get("_ends", i - 1), F.lit(0)).cast("int")
         names = reduce(lambda c, k: F.when(s["kind"] == k, mark.format(k)).otherwise(c), (*BASE, *ADDED), F.lit(""))
-        return F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(a["out"], kept, names).alias("out")))
+        return F.when(s["start"] < at, "").otherwise(F.concat(between(F.col("_pieces"), at, s["start"]), names))
 
-    text = F.aggregate("found", start, step, lambda a: F.concat(a["out"], F.substring(value, a["at"] + 1, F.length(value))))
-    return found.select(*[text.alias(c) if c == text_col else F.col("_all")[c].alias(c) for c in docs.columns])
+    changed = F.concat(F.array_join(F.transform("found", put), ""), between(F.col("_pieces"), last, F.length(given)))
+    text = F.when(F.size("found") > 0, changed).otherwise(given)
+    return found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -14,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from landtally.llm.spans import between, matches, segments
 from landtally.llm.store import stored
 
 _KEY = r"A-Za-z0-9+/_\-"
@@ -51,30 +52,23 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     text = F.col("_text")
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(path_col).cast("string").alias("_path"))
     rows = rows.filter(text.rlike(CANDIDATE))
+    rows = rows.withColumn("_found", matches(text, CANDIDATE)).withColumn("_hits", F.col("_found.value")).withColumn("_pieces", segments(text))
     pieces = F.split(text, CANDIDATE, -1)
-    hits = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    span = "array<struct<start:int,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["piece"])
-        return F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(
-            a["out"], F.array(F.struct(begin.alias("start"), x["hit"].alias("value")))).alias("out"))
-
-    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
-    rows = rows.withColumn("_hits", hits).withColumn("_found", F.aggregate(pairs, start, step, lambda a: a["out"]))
     # The dictionary of a text: its words outside candidates that are also parts of candidates.
     parts = F.flatten(F.transform("_hits", lambda v: F.regexp_extract_all(F.lower(v), F.lit("[a-z]{4,}"), F.lit(0))))
     words = F.flatten(F.transform(pieces, lambda p: F.split(F.lower(p), r"[^a-z]+")))
     rows = rows.withColumn("_known", F.array_intersect(parts, words))
-    around = rows.select(id_col, "_path", "_known", F.explode(F.transform("_found", lambda s: F.struct(
-        s["start"].alias("start"), s["value"].alias("value"),
-        F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))).alias("before"),
-        F.substring(text, s["start"] + F.length(s["value"]) + 1, F.lit(NEAR)).alias("after")))).alias("f")).select(id_col, "_path", "_known", "f.*")
+
+    def covered(value: Column) -> Column:
+        own = F.regexp_extract_all(F.lower(value), F.lit("[a-z]{4,}"), F.lit(0))
+        return F.aggregate(F.filter(own, lambda p: F.array_contains("_known", p)), F.lit(0), lambda a, p: a + F.length(p))
+
+    around = rows.select(id_col, "_path", F.explode(F.transform("_found", lambda s: F.struct(
+        s["start"].alias("start"), s["value"].alias("value"), covered(s["value"]).alias("covered"),
+        between(F.col("_pieces"), F.greatest(s["start"] - NEAR, F.lit(0)), s["start"]).alias("before"),
+        between(F.col("_pieces"), s["start"] + F.length(s["value"]), s["start"] + F.length(s["value"]) + NEAR).alias("after")))).alias("f")).select(id_col, "_path", "f.*")
     value, before = F.col("value"), F.col("before")
     n = F.length(value).cast("double")
-    lengths = F.aggregate(F.filter(F.regexp_extract_all(F.lower(value), F.lit("[a-z]{4,}"), F.lit(0)), lambda p: F.array_contains("_known", p)),
-                          F.lit(0), lambda a, p: a + F.length(p))
     # A transition is a place between two classes; deleting all but one of each run leaves one more.
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "0"), r"[+/=_\-]+", "-")
     share = lambda pattern: F.length(F.regexp_replace(value, pattern, "")) / n
@@ -82,7 +76,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     features = {
         "length": n, "transitions": (F.length(shape) - 1) / n, "digits": share("[^0-9]"), "uppers": share("[^A-Z]"), "symbols": share("[A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / n, "hex": flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
-        "coverage": lengths / n, "path": F.coalesce(F.pmod(F.xxhash64("_path"), F.lit(16)).cast("double"), F.lit(-1.0)),
+        "coverage": F.col("covered") / n, "path": F.coalesce(F.pmod(F.xxhash64("_path"), F.lit(16)).cast("double"), F.lit(-1.0)),
         "slashes": share("[^/]"), "quoted": flag(before.rlike("[\"']$") & F.col("after").rlike("^[\"']")),
         "assigned": flag(before.rlike("[=:]\\s*[\"']?$")), "secret_words": flag(before.rlike(SECRET_WORDS)),
         "calm_words": flag(before.rlike(CALM_WORDS))}

@@ -65,8 +65,8 @@ def test_audit_of_empty_tables(spark):
 
 
 def test_unique_texts_are_cleared(spark):
-    from landtally.llm.filter_audit import possible_repeats
+    from landtally.llm.sketch import met
     from pyspark.sql import functions as F
     rows = spark.range(20_000).select(F.xxhash64(F.when(F.col("id") < 100, F.lit(0)).otherwise(F.col("id"))).alias("h"))
-    left = rows.filter(possible_repeats(rows)(F.col("h"))).count()
+    left = rows.filter(met(rows, times=2)(F.col("h"))).count()
     assert 100 <= left < 400
