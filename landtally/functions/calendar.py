@@ -137,6 +137,22 @@ def _solar_table() -> dict[str, str]:
 _SOLAR = _solar_table()
 
 
+def year_angle(day: Column) -> Column:
+    """Fraction of the year in radians, from 0 on January 1."""
+    length = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31)))
+    return (F.dayofyear(day) - 1) * F.lit(2 * math.pi) / length
+
+
+def solar_series(angle: Column) -> tuple[Column, Column]:
+    """Equation of time (minutes) and declination (radians) of a year angle."""
+    def series(coefficients):
+        total = F.lit(coefficients[0])
+        for k, v in enumerate(coefficients[1:], 1):
+            total = total + (F.cos if k % 2 else F.sin)(angle * ((k + 1) // 2)) * v
+        return total
+    return series(EQUATION_OF_TIME) * 229.18, series(DECLINATION)
+
+
 def solar_terms(day: Column) -> tuple[Column, Column, Column]:
     """Equation of time (minutes) and sine and cosine of the declination, looked up by day of year."""
     leap = F.dayofyear(F.make_date(F.year(day), F.lit(12), F.lit(31))) == 366

@@ -24,25 +24,54 @@ def touch_windows(df: DataFrame, start_s: str = "start_s", end_s: str = "end_s",
         "overlap_s", F.greatest(F.lit(0), F.col("right_s") - F.col("left_s")))
 
 
+def window_spine(df: DataFrame, keys: list[str], start_s: str = "start_s", end_s: str = "end_s", days: int = 8,
+                 whole: bool = False, as_of: str | None = None) -> DataFrame:
+    """Every calendar window of each key's record, windows without a row included: keys, ``target_time``, ``target_end``.
+
+    The record reaches from its first row to its last. ``whole`` leaves only windows that lie inside the days of the record, and
+    ``as_of`` those whose right context of 24 days has ended by then.
+    """
+    day = lambda c: F.timestamp_seconds(c).cast("date")
+    span = df.groupBy(*keys).agg(day(F.min(start_s)).alias("_first"), day(F.max(F.col(end_s)) - (0 if whole else 1)).alias("_last"))
+    if whole:
+        span = span.withColumn("_last", F.date_add("_last", 1))
+    else:
+        span = span.withColumn("_first", cal.window_start(F.col("_first"), days)).withColumn("_last", cal.window_end(cal.window_start(F.col("_last"), days), days))
+    out = cal.windows_between(span.filter("_first is not null and _last is not null"), F.col("_first"), F.col("_last"), days).drop("_first", "_last")
+    if as_of is not None:
+        out = out.filter(F.date_add("target_time", 24).cast("timestamp") <= F.lit(as_of).cast("timestamp"))
+    return out
+
+
+def on_spine(spine: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of each window of the spine, 0 where it has no row."""
+    on = [*keys, "target_time", "target_end"]
+    parts = [c for c in sums.columns if c not in on]
+    return spine.join(sums, on, "left").select(*on, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in parts])
+
+
 def with_daylight(df: DataFrame, start: str, end: str, name: str = "day_s") -> DataFrame:
     """Daylight seconds inside a short interval; spans of the neighbouring UTC days can reach in.
 
-    The spans are columns of the row itself: no calendar join, no shuffle. Overlapping spans of
+    The spans are plain columns of the row, worked out in generated code: no calendar join, no shuffle. Overlapping spans of
     adjacent polar days count once.
     """
     lat, lon = F.col("lat"), F.col("lon")
     day = F.timestamp_seconds(F.col(start)).cast("date")
-    out = df.withColumn("_solar", cal.solar_structs(F.sequence(F.date_sub(day, 2), F.date_add(day, 1))))
-    out = out.withColumn("_hour", F.transform("_solar", lambda s: cal.hour_cosine(lat, s["sin"], s["cos"])))
-    out = out.withColumn("_sun", F.array(*[
-        F.struct(*[c.alias(n) for c, n in zip(cal.span_of_hour(F.col("_solar")[k]["day"], lon, F.col("_solar")[k]["eq"], F.col("_hour")[k]), "ab")])
-        for k in range(4)]))
+    # Each step's columns are used several times by the next, so every term is worked out once a row.
+    near = (-2, -1, 0, 1)
+    out = df.withColumns({f"_date{k + 2}": F.date_add(day, k) for k in near})
+    out = out.withColumns({f"_angle{k}": cal.year_angle(F.col(f"_date{k}")) for k in range(4)})
+    out = out.withColumns({f"_{n}{k}": c for k in range(4) for n, c in zip(("eq", "dec"), cal.solar_series(F.col(f"_angle{k}")))})
+    out = out.withColumns({f"_hour{k}": cal.hour_cosine(lat, F.sin(f"_dec{k}"), F.cos(f"_dec{k}")) for k in range(4)})
+    out = out.withColumns({f"_{n}{k}": c for k in range(4) for n, c in zip(
+        ("rise", "set"), cal.span_of_hour(F.col(f"_date{k}"), lon, F.col(f"_eq{k}"), F.col(f"_hour{k}")))})
     total = F.lit(0.0)
-    for i in (1, 2, 3):
-        left, right, before = F.col("_sun")[i]["a"], F.col("_sun")[i]["b"], F.col("_sun")[i - 1]["b"]
-        left = F.greatest(F.col(start), left, before)
-        total = total + F.when(right.isNotNull(), F.greatest(F.lit(0.0), F.least(F.col(end), right) - left)).otherwise(0.0)
-    return out.withColumn(name, total).drop("_sun", "_hour", "_solar")
+    for k in (1, 2, 3):
+        left = F.greatest(F.col(start), F.col(f"_rise{k}"), F.col(f"_set{k - 1}"))
+        lit = F.greatest(F.lit(0.0), F.least(F.col(end), F.col(f"_set{k}")) - left)
+        total = total + F.when(F.col(f"_set{k}").isNotNull(), lit).otherwise(0.0)
+    return out.withColumn(name, total).drop(*[f"_{n}{k}" for n in ("date", "angle", "eq", "dec", "hour", "rise", "set") for k in range(4)])
 
 
 def daylight_between(start: Column, end: Column, lat: Column, lon: Column) -> Column:
@@ -111,16 +140,19 @@ def label_columns(name: str, min_valid: float, min_measured: float, min_day_nigh
 
 def interval_labels(df: DataFrame, keys: list[str], value: str = "le", qc: str = "qc",
                     support: Column | None = None, min_valid: float = 0.8, min_measured: float = 0.5,
-                    min_day_night: float = 0.8) -> DataFrame:
+                    min_day_night: float = 0.8, spine: DataFrame | None = None) -> DataFrame:
     """Quality-gated window means of an interval series with ``start_s``, ``end_s``, ``lat``, ``lon``.
 
-    Missing time is never a zero and never shrinks a denominator. One shuffle, on the window key,
+    Missing time is never a zero and never shrinks a denominator; a window of the record without any row is rejected with
+    its reasons. ``spine`` names the windows (see :func:`window_spine`). The rows are shuffled once, on the window key,
     after partial aggregation.
     """
     good = F.col(qc).isin(0, 1) & (F.lit(True) if support is None else support)
     rows = with_daylight(touch_windows(df), "left_s", "right_s")
     group = [*keys, "lat", "lon", "target_time", "target_end"]
     sums = rows.groupBy(*group).agg(*label_sums("v", F.col(value), good, F.col(qc) == 0))
+    site = [*keys, "lat", "lon"]
+    sums = on_spine(window_spine(df, site) if spine is None else spine, sums, site)
     a, b = cal.epoch(F.col("target_time")), cal.epoch(F.col("target_end"))
     full = (b - a).cast("double")
     sums = sums.withColumn("full_s", full).withColumn(
@@ -155,7 +187,7 @@ def daily_support(df: DataFrame, keys: list[str], valid: Column, name: str, cove
 def paired_labels(df: DataFrame, keys: list[str], offset_s: str) -> DataFrame:
     """Raw, corrected and raw-on-corrected-support labels for the same windows, in one aggregation.
 
-    Input bounds are local standard time; days are local, windows are UTC.
+    Input bounds are local standard time; days are local, windows are UTC. Windows of the record without rows are rejected like others.
     """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c))
     local = split_at_midnight(df)
@@ -169,6 +201,8 @@ def paired_labels(df: DataFrame, keys: list[str], offset_s: str) -> DataFrame:
         *label_sums("raw", F.col("le"), F.col("raw_mask"), F.col("qc") == 0),
         *label_sums("corrected", F.col("le_corr"), F.col("corrected_mask"), F.col("qc") == 0),
         *label_sums("matched", F.col("le"), F.col("corrected_mask"), F.col("qc") == 0))
+    site = [*keys, "lat", "lon"]
+    sums = on_spine(window_spine(utc, site), sums, site)
     a, b = cal.epoch(F.col("target_time")), cal.epoch(F.col("target_end"))
     full = (b - a).cast("double")
     sums = sums.withColumn("full_s", full).withColumn(
@@ -267,13 +301,16 @@ def expected_mornings(start_s: Column, end_s: Column, lon: Column) -> Column:
     return (F.ceil((end_s - shift) / DAY) - F.ceil((start_s - shift) / DAY)).cast("bigint")
 
 
-def morning_means(mornings: DataFrame, keys: list[str], lon: str = "lon", coverage: float = 0.8) -> DataFrame:
-    out = mornings.groupBy(*keys, lon, "target_time").agg(
-        F.avg("value").alias("value"), F.count(F.lit(1)).alias("valid_days"))
+def morning_means(mornings: DataFrame, keys: list[str], lon: str = "lon", coverage: float = 0.8, spine: DataFrame | None = None) -> DataFrame:
+    """Mean of the chosen mornings per window. With a ``spine`` of (keys, lon, target_time) windows without one count 0 days."""
+    group = [*keys, lon, "target_time"]
+    out = mornings.groupBy(*group).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("valid_days"))
+    if spine is not None:
+        out = spine.select(*group).join(out, group, "left").withColumn("valid_days", F.coalesce("valid_days", F.lit(0)).cast("bigint"))
     end = cal.window_end(F.col("target_time"))
     out = out.withColumn("target_end", end).withColumn(
         "expected_days", expected_mornings(cal.epoch(F.col("target_time")), cal.epoch(end), F.col(lon)))
-    return out.withColumn("valid", F.col("valid_days") >= F.col("expected_days") * coverage)
+    return out.withColumn("valid", (F.col("valid_days") > 0) & (F.col("valid_days") >= F.col("expected_days") * coverage))
 
 
 def interval_violations(df: DataFrame, keys: list[str], bucket_s: int = DAY) -> DataFrame:

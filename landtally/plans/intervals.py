@@ -61,8 +61,19 @@ def REASONS(p: str, mv: float, mm: float, md: float) -> str:
 VALUE = lambda p: f"CASE WHEN {p}_effective > 0 THEN {p}_energy/{p}_effective*86400/2450000.0 END"
 
 
+# Every window of each station's record, from the first it touches to the last.
+SPINE = f"""spine AS (SELECT station, lat, lon, target_time, {W1('target_time')} AS target_end FROM (SELECT station, lat, lon, min(target_time) AS lo, max(target_time) AS hi FROM rows GROUP BY ALL) x,
+  (SELECT CAST(make_date(CAST(y AS INT), 1, 1) + CAST(8*k AS INTEGER) AS DATE) AS target_time FROM range(2022, 2027) r(y), range(0, 46) s(k)) c WHERE target_time BETWEEN lo AND hi)"""
+
+
+def ON_SPINE(*labels: str) -> str:
+    """The sums of each window of the spine, 0 where it has no row."""
+    parts = ", ".join(f"coalesce({p}_{c}, 0) AS {p}_{c}" for p in labels for c in ("energy", "effective", "measured", "day", "night"))
+    return f"g AS (SELECT p.station, p.target_time, p.target_end, {parts} FROM spine p LEFT JOIN sums u ON u.station = p.station AND u.target_time = p.target_time)"
+
+
 @query("D1_interval_et", f"""WITH {SUN}, rows AS (SELECT * FROM {WITH_DAY(TOUCH('@flux'))}),
- g AS (SELECT station, target_time, target_end, {LABELS('le', 'qc IN (0,1)', 'v')} FROM rows GROUP BY ALL),
+ sums AS (SELECT station, target_time, {LABELS('le', 'qc IN (0,1)', 'v')} FROM rows GROUP BY ALL), {SPINE}, {ON_SPINE('v')},
  h AS (SELECT *, CAST({E('target_end')} - {E('target_time')} AS DOUBLE) AS full_s, {FULL_DAY} AS full_day FROM g)
  SELECT station, {D('target_time')} AS target_time, {D('target_end')} AS target_end, {R(VALUE('v'))} AS value, {REASONS('v', 0.8, 0.5, 0.8)} AS reasons,
   {R('v_effective/full_s')} AS valid_fraction, {R('v_measured/full_s')} AS measured_fraction, {R('CASE WHEN full_day>1 THEN v_day/full_day END', 4)} AS day_fraction,
@@ -97,7 +108,8 @@ def _paired_sql() -> str:
    {okc} AND sum(CASE WHEN {okc} THEN end_s-start_s ELSE 0 END) OVER (PARTITION BY station, start_s//86400) >= 0.75*86400 AS cm FROM loc),
  utc AS (SELECT * REPLACE (start_s - offset_s AS start_s, end_s - offset_s AS end_s) FROM sup),
  rows AS (SELECT * FROM {WITH_DAY(TOUCH('utc'))}),
- g AS (SELECT station, target_time, target_end, {LABELS('le', 'rm AND qc IN (0,1)', 'raw')}, {LABELS('le_corr', 'cm AND qc IN (0,1)', 'cor')}, {LABELS('le', 'cm AND qc IN (0,1)', 'mat')} FROM rows GROUP BY ALL),
+ sums AS (SELECT station, target_time, {LABELS('le', 'rm AND qc IN (0,1)', 'raw')}, {LABELS('le_corr', 'cm AND qc IN (0,1)', 'cor')}, {LABELS('le', 'cm AND qc IN (0,1)', 'mat')} FROM rows GROUP BY ALL),
+ {SPINE}, {ON_SPINE('raw', 'cor', 'mat')},
  h AS (SELECT *, CAST({E('target_end')} - {E('target_time')} AS DOUBLE) AS full_s, {FULL_DAY} AS full_day FROM g)
  SELECT station, {D('target_time')} AS target_time, {cols}, {REASONS('raw', 0, 0.5, 0.75)} AS raw_reasons, {REASONS('cor', 0, 0.5, 0.75)} AS corrected_reasons,
   {R('cor_effective/full_s')} AS corrected_valid_fraction FROM h"""
@@ -152,12 +164,17 @@ def c5(t):
     return out.select("sensor", day_text("solar_date").alias("solar_date"), "utc", r6("value").alias("value"), r6("offset_seconds").alias("offset_seconds"))
 
 
-@query("D6_morning_mean", f"""WITH {_MORN}, g AS (SELECT sensor, lon, target_time, avg(value) AS value, count(*) AS valid_days FROM pick GROUP BY ALL),
+@query("D6_morning_mean", f"""WITH {_MORN}, u AS (SELECT sensor, target_time, avg(value) AS value, count(*) AS valid_days FROM pick GROUP BY ALL),
+ x AS (SELECT sensor, lon, min({W0('CAST(make_timestamp(t_s*1000000) AS DATE)')}) AS lo, max({W0('CAST(make_timestamp(t_s*1000000) AS DATE)')}) AS hi FROM @sensor s GROUP BY ALL),
+ c AS (SELECT CAST(make_date(CAST(y AS INT), 1, 1) + CAST(8*k AS INTEGER) AS DATE) AS target_time FROM range(2022, 2027) r(y), range(0, 46) s(k)),
+ g AS (SELECT x.sensor, x.lon, c.target_time, u.value, coalesce(u.valid_days, 0) AS valid_days FROM x JOIN c ON c.target_time BETWEEN lo AND hi LEFT JOIN u ON u.sensor = x.sensor AND u.target_time = c.target_time),
  e AS (SELECT *, CAST(ceil(({E(W1('target_time'))} - (21600.0-lon*240))/86400.0) - ceil(({E('target_time')} - (21600.0-lon*240))/86400.0) AS BIGINT) AS expected_days FROM g)
- SELECT sensor, {D('target_time')} AS target_time, {R('value')} AS value, valid_days, expected_days, valid_days >= 0.8*expected_days AS valid FROM e""")
+ SELECT sensor, {D('target_time')} AS target_time, {R('value')} AS value, valid_days, expected_days, valid_days > 0 AND valid_days >= 0.8*expected_days AS valid FROM e""")
 def d6(t):
-    """Window means of the chosen mornings."""
-    out = iv.morning_means(iv.nearest_mornings(t.sensor, ["sensor"]), ["sensor"])
+    """Window means of the chosen mornings, windows without a morning included."""
+    readings = t.sensor.withColumn("until_s", F.col("t_s") + 1)
+    spine = iv.window_spine(readings, ["sensor", "lon"], "t_s", "until_s")
+    out = iv.morning_means(iv.nearest_mornings(readings, ["sensor"]), ["sensor"], spine=spine)
     return out.select("sensor", day_text("target_time").alias("target_time"), r6("value").alias("value"), "valid_days", "expected_days", "valid")
 
 

@@ -28,6 +28,30 @@ def test_missing_time_stays_in_the_denominator(spark):
     assert abs(r.value - 100 * DAY / 2450000) < 1e-12
 
 
+def test_windows_without_rows_are_rejected(spark):
+    """Days 8 to 23 of a record of 32 days are missing; a second site has one hour."""
+    both = halves(spark, 32, skip=lambda i: 8 <= i // 48 < 24).union(halves(spark, 1, skip=lambda i: i > 1).withColumn("station", F.lit(2)))
+    out = {(r.station, str(r.target_time)): r for r in iv.interval_labels(both, ["station"]).collect()}
+    assert sorted(out) == [(1, "2020-01-01"), (1, "2020-01-09"), (1, "2020-01-17"), (1, "2020-01-25"), (2, "2020-01-01")]
+    for day in ("2020-01-09", "2020-01-17"):
+        r = out[1, day]
+        assert r.value is None and r.valid_fraction == 0 and r.reasons == ["effective_duration", "measured_duration", "day_coverage", "night_coverage", "missing_or_negative_window_et"]
+    assert out[1, "2020-01-25"].valid and not out[2, "2020-01-01"].valid
+    whole = iv.window_spine(both, ["station"], whole=True).collect()
+    assert sorted((r.station, str(r.target_time)) for r in whole) == [(1, "2020-01-01"), (1, "2020-01-09"), (1, "2020-01-17"), (1, "2020-01-25")]
+    late = iv.window_spine(both, ["station"], whole=True, as_of="2020-02-05T00:00:00Z")
+    assert sorted(str(r.target_time) for r in late.collect()) == ["2020-01-01", "2020-01-09"]
+
+
+def test_mornings_missing_from_a_window(spark):
+    lon, t0 = 0.0, START + 6 * 3600
+    rows = [(1, lon, t0 + d * DAY, 0.3, True) for d in (0, 1, 2, 3, 4, 5, 6, 7, 17)] + [(2, lon, t0, 0.3, False)]
+    df = spark.createDataFrame(rows, "sensor int, lon double, t_s long, value double, good boolean").withColumn("until_s", F.col("t_s") + 1)
+    out = iv.morning_means(iv.nearest_mornings(df, ["sensor"]), ["sensor"], spine=iv.window_spine(df, ["sensor", "lon"], "t_s", "until_s"))
+    got = {(r.sensor, str(r.target_time)): (r.valid_days, r.expected_days, r.valid) for r in out.collect()}
+    assert got == {(1, "2020-01-01"): (8, 8, True), (1, "2020-01-09"): (0, 8, False), (1, "2020-01-17"): (1, 8, False), (2, "2020-01-01"): (0, 8, False)}
+
+
 def test_daily_support_is_inclusive(spark):
     for missing, kept in ((12, 36), (13, 0)):
         df = halves(spark, 1, skip=lambda i: i < missing)
