@@ -2,8 +2,8 @@
 
 A shard is a run of documents of bounded size. Its words are numbered and its suffixes sorted to
 the depth of a window; every suffix of the benchmark items is then looked up by binary search,
-which yields the places of all verbatim matches. Benchmark items arrive in blocks of bounded
-size, each broadcast on its own, so neither side has to fit a task or the driver.
+which yields the places of all verbatim matches. Benchmark items are a table of blocks of bounded
+size; a pass over the texts looks up a bounded number of blocks, and what it has found is stored before the next.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from landtally.llm import words as W
+from landtally.llm.store import discard, stored
 
-SHARD_BYTES = 6 << 20
-ITEM_BLOCK_BYTES = 4 << 20
+#: Bytes of the texts of a shard, of the items of a block, blocks of a pass, and matches that a task spreads out at once.
+SHARD_BYTES, ITEM_BLOCK_BYTES, PASS_BLOCKS, MATCHES = 2 << 20, 4 << 20, 8, 1 << 20
 
 _STATE = "n_words long, spans array<long>, items array<string>, longest long"
 
@@ -57,81 +58,106 @@ class SuffixArray:
             key = (key << self.bits) | (ranks[k] if k < len(ranks) else 0)
         return key
 
-    def find(self, words: np.ndarray) -> np.ndarray:
-        """Places where the word numbers (at most ``depth``) occur, by binary search."""
-        lo, hi = 0, len(self.order)
-        for at in range(0, len(words), self.per):
-            part = words[at:at + self.per]
-            low = 0
-            for k in range(self.per):
-                low = (low << self.bits) | (int(part[k]) if k < len(part) else 0)
-            high = low + (1 << (self.bits * (self.per - len(part))))
-            keys = self.first if at == 0 else self.keys[self.order[lo:hi] + at]
-            a, b = np.searchsorted(keys, [low, high], "left")
-            lo, hi = lo + int(a), lo + int(b)
-            if lo == hi:
-                break
-        return self.order[lo:hi]
-
-
-def _item_block(rows: list[tuple[str, bytes]], window: int) -> tuple:
-    hashes, bounds = W.word_hashes([text for _, text in rows], W.ALNUM)
+    def ranges(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of word numbers (0 fills up shorter ones) the stretch of the suffixes that begin with them: all searched at once."""
+        n, length = windows.shape
+        used = (windows > 0).sum(axis=1)
+        lo, hi = np.zeros(n, np.int64), np.full(n, len(self.order), np.int64)
+        for at in range(0, length, self.per):
+            part = [windows[:, at + k] if at + k < length else np.zeros(n, np.int64) for k in range(self.per)]
+            low = self.pack(part)
+            open_words = np.clip(at + self.per - used, 0, self.per)
+            high = low + (np.int64(1) << (self.bits * open_words))
+            # A window that has ended takes its stretch as it is.
+            live = used > at
+            lo[live], hi[live] = (self._bound(lo[live], hi[live], at, key[live]) for key in (low, high))
+        return lo, hi
+
+    def _bound(self, lo: np.ndarray, hi: np.ndarray, at: int, key: np.ndarray) -> np.ndarray:
+        """The first suffix of each stretch whose words from ``at`` on are not below the key."""
+        lo, hi = lo.copy(), hi.copy()
+        while (lo < hi).any():
+            middle = (lo + hi) >> 1
+            inside = lo < hi
+            place = self.order[np.minimum(middle, len(self.order) - 1)] + at
+            below = inside & (self.keys[place] < key)
+            lo, hi = np.where(below, middle + 1, lo), np.where(inside & ~below, middle, hi)
+        return lo
+
+
+def _item_block(rows: list[tuple[str, str]], window: int) -> tuple:
+    hashes, bounds = W.word_hashes([text.encode().translate(W._LOWER) for _, text in rows], W.ALNUM)
     return [name for name, _ in rows], hashes, bounds, window
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple]:
-    """The items in blocks of bounded size; the driver holds one block at a time."""
-    rows, size = [], 0
-    for row in items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).filter(
-            F.col(text_col).isNotNull()).toLocalIterator():
-        text = row[1].encode().translate(W._LOWER)
-        rows.append((row[0], text))
-        size += len(text)
-        if size >= ITEM_BLOCK_BYTES:
-            yield _item_block(rows, window)
-            rows, size = [], 0
-    if rows:
-        yield _item_block(rows, window)
-
-
-def _shard_matches(hashes: np.ndarray, bounds: np.ndarray, block: tuple) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
-    """(item row, places in words, window length, length of the longest match from each place)."""
-    _, wanted, item_bounds, window = block
-    vocabulary, ranks = np.unique(hashes, return_inverse=True)
-    counts = np.diff(bounds)
-    # A 0 after every text keeps windows inside it.
-    starts = bounds[:-1] + np.arange(len(counts))
-    line = np.zeros(len(hashes) + len(counts), dtype=np.int64)
-    line[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = ranks + 1
-    array = SuffixArray(line, len(vocabulary), window)
-    at = np.searchsorted(vocabulary, wanted)
-    at[at == len(vocabulary)] = 0
-    known = np.where(vocabulary[at] == wanted, at + 1, 0) if len(vocabulary) else np.zeros(len(wanted), np.int64)
-    gaps = np.concatenate(([0], np.cumsum(known == 0)))
-    for item, (lo, hi) in enumerate(zip(item_bounds[:-1], item_bounds[1:], strict=True)):
-        length = min(window, hi - lo)
-        if length == 0:
-            continue
-        later = (np.empty(0, np.int64), np.empty(0, np.int64))
-        for j in range(hi - length, lo - 1, -1):  # from the last suffix, so that longer matches build on shorter ones
-            if gaps[j + length] - gaps[j]:
-                later = (np.empty(0, np.int64), np.empty(0, np.int64))
-                continue
-            places = np.sort(array.find(known[j:j + length]))
-            runs = np.full(len(places), length, dtype=np.int64)
-            if len(later[0]) and len(places):
-                next_at = np.minimum(np.searchsorted(later[0], places + 1), len(later[0]) - 1)
-                runs = np.where(later[0][next_at] == places + 1, later[1][next_at] + 1, runs)
-            later = (places, runs)
-            if len(places):
-                text = np.searchsorted(starts, places, "right") - 1
-                yield item, places - starts[text] + bounds[:-1][text], length, runs
-
-
-def _pass(block, last: bool):
-    """One block of items against all documents; spans and items of earlier blocks are kept."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(block, item, text) as a stored table of blocks of about ``ITEM_BLOCK_BYTES``, and how many there are."""
+    rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // ITEM_BLOCK_BYTES))
+    return stored(rows.select(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int").alias("block"), "item", "text"), "items"), blocks
+
+
+class Shard:
+    """Words of some texts with their suffix array."""
+
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, depth: int):
+        self.bounds = bounds
+        self.vocabulary, ranks = np.unique(hashes, return_inverse=True)
+        counts = np.diff(bounds)
+        # A 0 after every text keeps windows inside it.
+        self.starts = bounds[:-1] + np.arange(len(counts))
+        line = np.zeros(len(hashes) + len(counts), dtype=np.int64)
+        line[np.arange(len(hashes)) + np.repeat(np.arange(len(counts)), counts)] = ranks + 1
+        self.array = SuffixArray(line, len(self.vocabulary), depth)
+
+    def matches(self, block: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of every window of the block's items its places: (item row, place in words, window length, words of the longest match there)."""
+        _, wanted, item_bounds, window = block
+        sizes = np.diff(item_bounds)
+        lengths = np.repeat(np.minimum(window, sizes), sizes)
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.minimum(np.searchsorted(self.vocabulary, wanted), len(self.vocabulary) - 1)
+        known = np.where(self.vocabulary[at] == wanted, at + 1, 0)
+        first = np.arange(len(wanted))
+        gaps = np.concatenate(([0], np.cumsum(known == 0)))
+        whole = first + lengths <= np.repeat(item_bounds[1:], sizes)
+        whole[whole] &= gaps[first[whole] + lengths[whole]] == gaps[first[whole]]
+        first, lengths, item = first[whole], lengths[whole], item[whole]
+        if not len(first):
+            return
+        reach = np.arange(window)
+        table = np.where(reach < lengths[:, None], known[np.minimum(first[:, None] + reach, len(known) - 1)], 0)
+        lo, hi = self.array.ranges(table)
+        found = hi > lo
+        first, lengths, item, lo, times = first[found], lengths[found], item[found], lo[found], (hi - lo)[found]
+        # Whole items at a time, as a longer match runs over windows of one item.
+        ends = np.append(np.flatnonzero(np.diff(item)) + 1, len(item)) if len(item) else np.empty(0, np.int64)
+        upto = np.concatenate(([0], np.cumsum(times)))
+        begin = 0
+        while begin < len(item):
+            fits = ends[(ends > begin) & (upto[ends] - upto[begin] <= MATCHES)]
+            end = fits[-1] if len(fits) else ends[ends > begin][0]
+            part = slice(begin, end)
+            n = times[part]
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place = self.array.order[np.repeat(lo[part], n) + offset]
+            owner, start, size = np.repeat(item[part], n), np.repeat(first[part], n), np.repeat(lengths[part], n)
+            # Windows that follow each other in the item and in the text are one match.
+            turn = np.lexsort((place, place - start, owner))
+            place, owner, start, size = place[turn], owner[turn], start[turn], size[turn]
+            new = np.ones(len(place), bool)
+            new[1:] = (place[1:] != place[:-1] + 1) | (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1])
+            run = np.cumsum(new) - 1
+            longest = (np.bincount(run) - 1)[run] + size
+            text = np.searchsorted(self.starts, place, "right") - 1
+            yield owner, place - self.starts[text] + self.bounds[:-1][text], size, longest
+            begin = end
+
+
+def _pass(blocks: list, depth: int, last: bool):
+    """Some blocks of items against all documents; spans and items of earlier passes are kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = block.value if block is not None else None
         for batch in batches:
             for begin, texts in W.blocks(batch.column(1), block_bytes=SHARD_BYTES):
                 rows = len(texts)
@@ -140,21 +166,22 @@ def _pass(block, last: bool):
                 edges = np.zeros(len(hashes) + 1, dtype=np.int64)
                 longest = np.array(before.column(5).to_pylist(), dtype=np.int64)
                 items = [set(x) for x in before.column(4).to_pylist()]
-                offsets = bounds[:-1]
                 for k, spans in enumerate(before.column(3).to_pylist()):
-                    for a, b in zip(spans[0::2], spans[1::2], strict=True):
-                        edges[offsets[k] + a] += 1
-                        edges[offsets[k] + b] -= 1
-                if data is not None and len(hashes):
-                    for item, places, length, runs in _shard_matches(hashes, bounds, data):
-                        np.add.at(edges, places, 1)
-                        np.add.at(edges, places + length, -1)
-                        owner = np.searchsorted(bounds, places, "right") - 1
-                        np.maximum.at(longest, owner, runs)
-                        name = data[0][item]
-                        for k in np.unique(owner):
-                            if name is not None:
-                                items[k].add(name)
+                    np.add.at(edges, bounds[k] + np.array(spans[0::2], np.int64), 1)
+                    np.add.at(edges, bounds[k] + np.array(spans[1::2], np.int64), -1)
+                if blocks and len(hashes):
+                    shard = Shard(hashes, bounds, depth)
+                    for block in blocks:
+                        names = block.value[0]
+                        for item, places, length, runs in shard.matches(block.value):
+                            np.add.at(edges, places, 1)
+                            np.add.at(edges, places + length, -1)
+                            owner = np.searchsorted(bounds, places, "right") - 1
+                            np.maximum.at(longest, owner, runs)
+                            for pair in np.unique(owner * len(names) + item):
+                                name = names[pair % len(names)]
+                                if name is not None:
+                                    items[pair // len(names)].add(name)
                 hit = np.cumsum(edges)[:-1] > 0
                 spans = []
                 for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -186,16 +213,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         F.expr(f"cast({empty} as array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"))
     kind = docs.schema[id_col].dataType.simpleString()
     context = docs.sparkSession.sparkContext
-    blocks = item_blocks(benchmark, item_id_col, item_text_col, window)
-    block = next(blocks, None)
-    while True:
-        following = next(blocks, None)
-        shared = context.broadcast(block) if block is not None else None
-        last = following is None
-        state = state.mapInArrow(_pass(shared, last), f"id {kind}, {'' if last else 'text string, '}{_STATE}")
+    table, blocks = item_blocks(benchmark, item_id_col, item_text_col)
+    for at in range(0, blocks, PASS_BLOCKS):
+        rows: dict[int, list] = {}
+        for r in table.filter(F.col("block").between(at, at + PASS_BLOCKS - 1)).collect():
+            rows.setdefault(r["block"], []).append((r["item"], r["text"]))
+        shared = [context.broadcast(_item_block(x, window)) for x in rows.values()]
+        last = at + PASS_BLOCKS >= blocks
+        found = state.mapInArrow(_pass(shared, window, last), f"id {kind}, {'' if last else 'text string, '}{_STATE}")
         if last:
-            break
-        block = following
+            state = found
+        else:
+            before, state = state, stored(found, "contamination")
+            discard(before)
+            for b in shared:
+                b.destroy()
+    discard(table)
     return state.withColumnRenamed("id", id_col)
 
 
@@ -213,6 +246,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # The given columns travel as one, so that none of their names meets one of these.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("_row"))
     found = contamination(rows.select("_row", F.col("row")[text_col].alias("text")), benchmark, "_row", "text", **options)
-    gone = found.filter(F.size("spans") > 0).select(F.col("_row.i").alias("_i"), F.col("_row.h").alias("_h")).distinct()
+    gone = stored(found.filter(F.size("spans") > 0).select(F.col("_row.i").alias("_i"), F.col("_row.h").alias("_h")).distinct(), "gone")
     kept = rows.join(gone, F.col("_row.i").eqNullSafe(F.col("_i")) & (F.col("_row.h") == F.col("_h")), "left_anti")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
