@@ -1,25 +1,26 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-Documents are dealt into chunks of bounded size. A chunk sends every distinct n-gram once, sorted and
+Documents are dealt into chunks of bounded size. Order by order, a chunk sends every distinct n-gram once, sorted and
 packed by hash partition; a partition adds up the counts of all chunks, which are the count
 table of its share of the n-grams, and joins them back to the chunks that asked. There the n-grams
-of every position are scored and summed per document. A frequent n-gram costs a partition one
+of every position are scored, less what their own document counts, and summed per document. A frequent n-gram costs a partition one
 entry per chunk, whatever its count. No count and no score passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from landtally.llm import words as W
-from landtally.llm.store import stored
+from landtally.llm.store import discard, stored
 
-#: Bytes of text of a chunk at most (one longer document is a chunk), and n-grams of a partition on average.
-CHUNK_BYTES = 24 << 20
+#: Bytes of text of a chunk at most (one longer document is a chunk), and n-grams of one order in a partition on average.
+CHUNK_BYTES = 8 << 20
 PARTITION_GRAMS = 3_000_000
 #: Weight of each step back, and the lowest order's count of words that are in no table.
 BACKOFF, UNSEEN = 0.4, 0.5
@@ -55,19 +56,20 @@ class Chunk:
         inside = self.owner[last] == self.owner[last - n + 1] if len(hashes) else np.empty(0, bool)
         return hashes[inside], last[inside]
 
-    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct hashes, their counts and the number of documents of the chunk that hold them."""
-        hashes, last = self.grams(n)
-        turn = np.argsort(hashes, kind="stable")  # positions, and so documents, stay in order
-        ordered, owner = hashes[turn], self.owner[last[turn]]
-        first = np.ones(len(ordered), bool)
-        first[1:] = ordered[1:] != ordered[:-1]
-        new_doc = first.copy()
-        new_doc[1:] |= owner[1:] != owner[:-1]
-        starts = np.flatnonzero(first)
-        counts = np.diff(np.append(starts, len(ordered)))
-        docs = np.add.reduceat(new_doc.astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
-        return ordered[starts], counts, docs
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct hashes and their counts."""
+        return np.unique(self.grams(n)[0], return_counts=True)
+
+    def own(self, hashes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For every n-gram how often its own document holds it."""
+        owner = self.owner[last]
+        turn = np.lexsort((hashes, owner))
+        new = np.ones(len(turn), bool)
+        new[1:] = (hashes[turn][1:] != hashes[turn][:-1]) | (owner[turn][1:] != owner[turn][:-1])
+        run = np.cumsum(new) - 1
+        out = np.empty(len(turn), np.int64)
+        out[turn] = np.bincount(run)[run] if len(run) else 0
+        return out
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,44 +106,34 @@ def _share(hashes: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
 
 
-def _ask(order: int, parts: int):
+def _ask(n: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                chunk = Chunk(_words_of(row), np.array(row["counts"], dtype=np.int64), order)
-                for n in range(1, order + 1):
-                    hashes, counts, docs = chunk.distinct(n)
-                    cut = _share(hashes, parts)
-                    out = [(p * order + n - 1, row["chunk"], b - a, _pack(np.diff(hashes[a:b], prepend=np.uint64(0))),
-                            _pack(counts[a:b].astype(np.uint32)), _pack(np.minimum(docs[a:b], 2).astype(np.uint8)))
-                           for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ASK, strict=True)], names=list(_ASK_NAMES)) if out else _EMPTY
+                hashes, counts = Chunk(_words_of(row), np.array(row["counts"], dtype=np.int64), n).distinct(n)
+                cut = _share(hashes, parts)
+                out = [(p, row["chunk"], b - a, _pack(np.diff(hashes[a:b], prepend=np.uint64(0))), _pack(counts[a:b].astype(np.uint32)))
+                       for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ASK, strict=True)], names=list(_ASK_NAMES)) if out else _EMPTY
     return run
 
 
-_ASK = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-_ASK_NAMES = ("part", "chunk", "n", "hashes", "counts", "docs")
+_ASK = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+_ASK_NAMES = ("part", "chunk", "n", "hashes", "counts")
 _EMPTY = pa.RecordBatch.from_arrays([pa.array([], t) for t in _ASK], names=list(_ASK_NAMES))
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Counts of one hash partition over all chunks: n-grams of two documents at least, else 0."""
-    rows = table.to_pylist()
-    hashes = np.concatenate([np.cumsum(_unpack(r["hashes"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
-    turn = np.argsort(hashes, kind="stable")
-    ordered = hashes[turn]
-    first = np.ones(len(ordered), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.append(starts, len(ordered)))
-    total = np.add.reduceat(np.concatenate([_unpack(r["counts"], r["n"], np.uint32) for r in rows]).astype(np.int64)[turn], starts)
-    docs = np.add.reduceat(np.concatenate([_unpack(r["docs"], r["n"], np.uint8) for r in rows]).astype(np.int64)[turn], starts)
-    back = np.empty(len(hashes), np.int64)
-    back[turn] = np.repeat(np.where(docs >= 2, total, 0), sizes)
-    at = np.cumsum([0, *[r["n"] for r in rows]])
-    return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()),
-                     "n": pa.array([r["n"] for r in rows], pa.int64()),
-                     "found": pa.array([_pack(back[a:b].astype(np.uint64)) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+    """Counts of one hash partition over all chunks."""
+    column = {c: table.column(c).to_pylist() for c in _ASK_NAMES}
+    hashes = np.concatenate([np.cumsum(_unpack(h, n, np.uint64), dtype=np.uint64) for h, n in zip(column["hashes"], column["n"])])
+    counts = np.concatenate([_unpack(c, n, np.uint32) for c, n in zip(column["counts"], column["n"])])
+    distinct, where = np.unique(hashes, return_inverse=True)
+    del hashes
+    back = np.bincount(where, weights=counts, minlength=len(distinct)).astype(np.uint64)[where]
+    at = np.cumsum([0, *column["n"]])
+    return pa.table({"chunk": pa.array(column["chunk"], pa.int64()), "part": pa.array(column["part"], pa.int64()), "n": pa.array(column["n"], pa.int64()),
+                     "found": pa.array([_pack(back[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
 
 def _score(order: int, corpus_words: int, ids: pa.DataType):
@@ -151,19 +143,21 @@ def _score(order: int, corpus_words: int, ids: pa.DataType):
             counts = np.array(row["counts"], dtype=np.int64)
             chunk = Chunk(_words_of(row), counts, order)
             answers = sorted(right.to_pylist(), key=lambda r: r["part"])
-            best = np.full(len(chunk.words), np.log(UNSEEN / max(1, corpus_words)) + (order - 1) * np.log(BACKOFF))
+            # The corpus of a document is what all others hold.
+            others = np.maximum(1.0, corpus_words - counts.astype(np.float64))[chunk.owner]
+            best = np.log(UNSEEN / others) + (order - 1) * np.log(BACKOFF)
             hit = np.zeros(len(chunk.words), np.int64)
             lower = np.zeros(0)
             for n in range(1, order + 1):
                 hashes, last = chunk.grams(n)
                 distinct = np.unique(hashes)
-                mine = [r for r in answers if r["part"] % order == n - 1]
+                mine = [r for r in answers if r["grams"] == n]
                 table = np.concatenate([_unpack(r["found"], r["n"], np.uint64) for r in mine]).astype(np.float64) if mine else np.zeros(0)
-                count = table[np.searchsorted(distinct, hashes)]
+                count = table[np.searchsorted(distinct, hashes)] - chunk.own(hashes, last)
                 here = np.zeros(len(chunk.words))
                 here[last] = count
                 # The context of an n-gram is the (n-1)-gram that ends one word earlier.
-                context = np.full(len(last), float(corpus_words)) if n == 1 else lower[last - 1]
+                context = others[last] if n == 1 else lower[last - 1]
                 good = count > 0
                 best[last[good]] = np.log(count[good] / context[good]) + (order - n) * np.log(BACKOFF)
                 hit[last[good]] = n
@@ -184,9 +178,9 @@ def _score(order: int, corpus_words: int, ids: pa.DataType):
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
     """One row per document row: id, ``n_words``, ``n_full``, ``score``, ``mean_score``.
 
-    Words stand between white space, A-Z lower-cased. An n-gram is in the count table if two documents
-    hold it, and counts all its places. A word scores the log of count over context count at the highest order that is in
-    the table, and log 0.4 for every order stepped back; a word in no table counts as half a place. ``n_full`` words are found at full
+    Words stand between white space, A-Z lower-cased. A document is scored by the counts of all others: the n-grams of the whole
+    corpus less its own. A word scores the log of count over context count at the highest order that others
+    hold, and log 0.4 for every order stepped back; a word that no other document holds counts as half a place. ``n_full`` words are found at full
     order. NULL and empty texts have no words and score 0, with a NULL mean. Repeated rows are documents of their own and
     return a row each; a NULL id is returned as it is; other columns are ignored.
     """
@@ -195,11 +189,19 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = texts.mapInArrow(_chunks, f"ids array<{kind}>, counts array<long>, n_words long, n_dict long, dict binary, codes binary")
     chunks = stored(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     total = chunks.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(1, round(order * total / PARTITION_GRAMS))
-    asked = chunks.select("chunk", "counts", "n_words", "n_dict", "dict", "codes").mapInArrow(_ask(order, parts), "part long, chunk long, n long, hashes binary, counts binary, docs binary")
-    answered = asked.groupBy("part").applyInArrow(_answer, "chunk long, part long, n long, found binary")
+    parts = max(1, round(total / PARTITION_GRAMS))
+    # One order after the other, so that the n-grams of one are all that is on its way at a time.
+    answers = []
+    for n in range(1, order + 1):
+        asked = chunks.select("chunk", "counts", "n_words", "n_dict", "dict", "codes").mapInArrow(
+            _ask(n, parts), "part long, chunk long, n long, hashes binary, counts binary")
+        answered = asked.groupBy("part").applyInArrow(_answer, "chunk long, part long, n long, found binary")
+        answers.append(stored(answered.withColumn("grams", F.lit(n)), "answers"))
+    answered = reduce(DataFrame.union, answers)
     scored = chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(
         _score(order, total, _arrow_type(texts)), f"id {kind}, n_words long, n_full long, score double")
+    scored = stored(scored, "scores")
+    discard(chunks, *answers)
     return scored.select(F.col("id").alias(id_col), "n_words", "n_full", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_score"))
 
 

@@ -70,30 +70,37 @@ def contaminated(docs, items, window=10):
 
 
 def backoff(rows, order=3, back=0.4, unseen=0.5):
-    """rows: (id, text) → id: (n_words, words at full order, score)."""
+    """rows: (id, text) → id: (n_words, words at full order, score); a document is scored by all others."""
     import math
     words = {i: SPACED.findall((t or "").translate(LOWER)) for i, t in rows}
-    count, docs = defaultdict(int), defaultdict(set)
-    for i, w in words.items():
+
+    def counts(w):
+        out = defaultdict(int)
         for n in range(1, order + 1):
             for k in range(len(w) - n + 1):
-                count[tuple(w[k:k + n])] += 1
-                docs[tuple(w[k:k + n])].add(i)
+                out[tuple(w[k:k + n])] += 1
+        return out
+
+    own = {i: counts(w) for i, w in words.items()}
+    whole = defaultdict(int)
+    for table in own.values():
+        for g, c in table.items():
+            whole[g] += c
     total = sum(map(len, words.values()))
-    table = {g: c for g, c in count.items() if len(docs[g]) > 1}
     out = {}
     for i, w in words.items():
         score, full = 0.0, 0
+        others = max(1, total - len(w))
+        left = lambda g: whole[g] - own[i].get(g, 0)
         for k in range(len(w)):
             top = min(order, k + 1)
             for n in range(top, 0, -1):
                 g = tuple(w[k - n + 1:k + 1])
-                if g in table:
-                    context = table[g[:-1]] if n > 1 else total
-                    score += math.log(table[g] / context) + (top - n) * math.log(back)
+                if left(g):
+                    score += math.log(left(g) / (left(g[:-1]) if n > 1 else others)) + (top - n) * math.log(back)
                     full += n == order
                     break
             else:
-                score += math.log(unseen / total) + (top - 1) * math.log(back)
+                score += math.log(unseen / others) + (top - 1) * math.log(back)
         out[i] = (len(w), full, score)
     return out
