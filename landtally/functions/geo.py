@@ -66,6 +66,35 @@ def with_mercator(df: DataFrame, lon: Column, lat: Column, x: str, y: str) -> Da
         y, north * k + F.when(lat < 0, 1e7).otherwise(0.0)).drop("_t", "_d", "_xi", "_eta")
 
 
+def with_grid_factors(df: DataFrame, lon: str = "lon", lat: str = "lat", convergence: str = "convergence_deg", scale: str = "grid_scale") -> DataFrame:
+    """Meridian convergence (bearing of grid north, clockwise) and point scale of a place in its own grid, as :func:`grid_epsg` names it.
+
+    The derivative of the Krueger series gives both for the Mercator zones. In the polar grids the meridians are straight
+    and the scale is the circle's length over the parallel's.
+    """
+    a, b = F.col(lon), F.col(lat)
+    polar = (b >= 84) | (b < -80)
+    phi = F.radians(F.when(~polar, b))
+    out = df.withColumns({"_sin": F.sin(phi), "_d": F.radians(a - (utm_zone(a) * 6 - 183))})
+    out = out.withColumn("_t", F.sinh(_atanh(F.col("_sin")) - F.lit(_E) * _atanh(F.lit(_E) * F.col("_sin"))))
+    t, d = F.col("_t"), F.col("_d")
+    out = out.withColumns({"_xi": F.atan2(t, F.cos(d)), "_eta": _atanh(F.sin(d) / F.sqrt(1 + t * t))})
+    p, q = F.lit(1.0), F.lit(0.0)
+    for j, c in enumerate(_ALPHA, 1):
+        p = p + F.lit(2 * j * c) * F.cos(F.col("_xi") * (2 * j)) * F.cosh(F.col("_eta") * (2 * j))
+        q = q + F.lit(2 * j * c) * F.sin(F.col("_xi") * (2 * j)) * F.sinh(F.col("_eta") * (2 * j))
+    out = out.withColumns({"_p": p, "_q": q})
+    turn = F.atan(t / F.sqrt(1 + t * t) * F.tan(d)) + F.atan2(F.col("_q"), F.col("_p"))
+    stretch = (F.sqrt(1 - F.lit(_E2) * F.col("_sin") * F.col("_sin")) / F.cos(phi) / F.sqrt(t * t + F.cos(d) * F.cos(d))
+               * F.sqrt(F.col("_p") * F.col("_p") + F.col("_q") * F.col("_q")) * (UTM_SCALE * _MEAN_RADIUS / WGS84_A))
+    x, y = polar_stereographic(a, F.when(polar, b))
+    pole_sin = F.sin(F.radians(b))
+    parallel = F.lit(WGS84_A) * F.cos(F.radians(b)) / F.sqrt(1 - F.lit(_E2) * pole_sin * pole_sin)
+    pole_turn = F.pmod(F.when(b >= 0, a + 45).otherwise(-a) + 180, F.lit(360.0)) - 180
+    return out.withColumn(convergence, F.when(polar, pole_turn).otherwise(F.degrees(turn))).withColumn(
+        scale, F.when(polar, F.sqrt(x * x + y * y) / parallel).otherwise(stretch)).drop("_sin", "_d", "_t", "_xi", "_eta", "_p", "_q")
+
+
 # The inverse of the same series.
 _BETA = (
     _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,

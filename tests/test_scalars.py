@@ -85,3 +85,27 @@ def test_quad_overlap_areas_sum_to_cell():
     cell = np.array([[100.0, 110.0], [590.0, 95.0], [610.0, 600.0], [90.0, 580.0]])
     areas = spatial.quad_overlaps(cell, quads)
     assert math.isclose(areas.sum(), spatial._area(cell), rel_tol=1e-9)
+
+
+def test_grid_factors_are_the_derivative_of_the_projection(spark):
+    """A metre north on the ellipsoid, projected: its direction and length in the grid."""
+    places = [(9.0, 45.0), (11.9, 45.0), (6.2, -33.0), (0.1, 83.9), (179.5, 0.001), (-179.9, -79.0), (-45.0, 85.0), (20.0, 88.0), (100.0, -85.0), (-170.0, -89.0)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(places)], "i int, lon double, lat double")
+    both = geo.with_projection(df).join(geo.with_projection(df.withColumn("lat", F.col("lat") + 1e-5), x="x1", y="y1").drop("lon", "lat"), "i")
+    rows = geo.with_grid_factors(both).collect()
+    for r in rows:
+        phi = math.radians(r.lat + 0.5e-5)
+        metres = math.radians(1e-5) * geo.WGS84_A * (1 - geo._E2) / (1 - geo._E2 * math.sin(phi) ** 2) ** 1.5
+        dx, dy = r.x1 - r.x, r.y1 - r.y
+        assert abs(math.hypot(dx, dy) / metres - r.grid_scale) < 2e-6
+        turn = math.degrees(-math.atan2(dx, dy))  # grid north lies clockwise of true north where north leans to the west of the grid
+        assert abs((turn - r.convergence_deg + 180) % 360 - 180) < 1e-3, (r.lon, r.lat, turn, r.convergence_deg)
+    on_axis = [r for r in rows if r.i == 0][0]
+    assert abs(on_axis.convergence_deg) < 1e-12 and abs(on_axis.grid_scale - 0.9996) < 1e-9
+
+
+def test_density_at_published_values(spark):
+    """Unnormalised densities of the published code for one state at four places."""
+    p = dict(zm=10.0, ws=3.0, h=1000.0, ol=-100.0, sigmav=0.8, ustar=0.4, wd=35.0)
+    got = footprint.density_array(np.array([100.0, 150.0, 300.0, 300.0]), np.array([150.0, 50.0, 0.0, 200.0]), p) * footprint.FFP_INTEGRAL
+    assert np.allclose(got, [1.170607369043935e-5, 3.211858445900956e-7, 3.776245632193192e-15, 1.135044602795495e-7], rtol=1e-9, atol=1e-22)
