@@ -160,7 +160,8 @@ def _node_sets(named: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -
     """(node, set) of the named nodes, from their texts. Texts of other nodes stay where they are: a sketch of the owners tells them."""
     owners = stored(nodes.join(named, "node", "left_semi").select(F.col("owner").alias("key"), "node"), "owners")
     own = docs.filter(met(owners.select(F.col("key").alias("h")))(F.col("key")))
-    sets = stored(own.join(owners, "key").select("node", "text").mapInArrow(_sets(size), "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    # The exchange of a merge join keeps the two Python steps in stages of their own: a core never feeds two workers.
+    sets = stored(own.join(owners.hint("merge"), "key").select("node", "text").mapInArrow(_sets(size), "node long, set array<long>").dropDuplicates(["node"]), "sets")
     discard(owners)
     return sets
 
