@@ -8,15 +8,30 @@ SPLITS = ("train", "validation", "test")
 
 
 def quoted(col: Column) -> Column:
-    """One JSON string literal."""
-    plain = F.replace(F.replace(col.cast("string"), F.lit("\\"), F.lit("\\\\")),
-                      F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), plain, F.lit('"'))
+    """One JSON string literal in ASCII; NULL stays NULL and becomes ``null`` in a list.
+
+    Signs, control characters and everything beyond ASCII are escaped as JSON writers do: short escapes where
+    there are any, else the UTF-16 units of the character in lower-case hexadecimal digits.
+    """
+    text = col.cast("string")
+    short = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+    def escaped(char: Column) -> Column:
+        units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
+        long = F.regexp_replace(units, "(.{4})", r"\\\\u$1")
+        out = F.when(char.rlike(r"^[\x20-\x7f]$"), char).otherwise(long)
+        for plain, code in short.items():
+            out = F.when(char == plain, code).otherwise(out)
+        return out
+
+    parts = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    safe = text.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7f]*$")
+    return F.concat(F.lit('"'), F.when(safe, text).otherwise(F.array_join(F.transform(parts, escaped), "")), F.lit('"'))
 
 
 def canonical_list(*parts: Column | int) -> Column:
-    """``[a, b]`` with one space after each comma; integers are bare, strings need ``quoted``."""
-    columns = [F.lit(str(p)) if isinstance(p, int) else p.cast("string") for p in parts]
+    """``[a, b]`` with one space after each comma; integers are bare, strings need ``quoted``, NULL is ``null``."""
+    columns = [F.lit(str(p)) if isinstance(p, int) else F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
     return F.concat(F.lit("["), F.concat_ws(", ", *columns), F.lit("]"))
 
 
@@ -39,8 +54,8 @@ def hash_bucket(hashed: Column, digits: int = 4) -> Column:
 
 
 def hash_unit(hashed: Column) -> Column:
-    """A value in (0, 1] from the first eight hex digits."""
-    return (F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") + F.lit(1.0)) / F.lit(4294967296.0)
+    """A value in (0, 1] from the first thirteen hex digits, as many as a double holds."""
+    return (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + F.lit(1.0)) / F.lit(4503599627370496.0)
 
 
 def hash_percent(hashed: Column) -> Column:

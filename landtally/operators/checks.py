@@ -69,7 +69,8 @@ def support_mismatch(a: DataFrame, b: DataFrame, key: str, support: str, labelle
 
 
 def row_fingerprints(df: DataFrame, columns: list[str], name: str = "fingerprint") -> DataFrame:
-    return df.withColumn(name, F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256))
+    """Hash of the columns as a list of strings; NULL and the empty string, and values with separators in them, stay apart."""
+    return df.withColumn(name, K.fingerprint(*[K.quoted(F.col(c)) for c in columns]))
 
 
 def table_fingerprint(df: DataFrame, key: str, columns: list[str], digits: int = 3) -> DataFrame:

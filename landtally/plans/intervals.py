@@ -344,14 +344,26 @@ def i7(t):
     return m.select("sample_id", F.datediff(seen, "target_time").cast("bigint").alias("day_offset"), cal.assign_slot(F.col("target_time"), seen).alias("slot"))
 
 
-@query("I8_metadata_events", f"""WITH v AS (SELECT user_id AS station, event_id // 4 AS gid, CAST(floor(epoch(ts)) AS BIGINT) // 43200 * 43200 AS t_s, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS priority, round(value / 100) AS num, event_id FROM events WHERE event_type IN ('signup','view') AND value >= 1),
- p AS (SELECT *, max(priority) OVER (PARTITION BY station, t_s) AS top FROM v)
+@query("I8_metadata_events", f"""WITH v AS (SELECT user_id AS station, event_id, CASE event_id % 5 WHEN 0 THEN '90th Percentile' WHEN 1 THEN 'Maximum' ELSE 'Mean' END AS statistic,
+   CASE WHEN event_id % 3 = 0 THEN date_trunc('day', ts) ELSE date_trunc('minute', ts - to_minutes(CAST(minute(ts) AS BIGINT)) - to_hours(CAST(hour(ts) % 12 AS BIGINT))) END AS stamp, event_id % 19 = 7 AS undated, round(value / 100) AS num
+   FROM events WHERE event_type IN ('signup','view') AND value >= 1 AND event_id % 13 <> 5 AND event_id % 11 <> 4),
+ u AS (SELECT station, CAST(floor(epoch(stamp)) AS BIGINT) - (station % 5 - 2) * 3600 AS t_s, CASE WHEN statistic = 'Mean' THEN 0 ELSE 1 END AS priority, num FROM v WHERE statistic <> 'Maximum' AND NOT undated AND num <> 3),
+ p AS (SELECT *, max(priority) OVER (PARTITION BY station, t_s) AS top FROM u)
  SELECT station, t_s, CASE WHEN count(DISTINCT num) = 1 THEN {R('min(num)')} END AS value, count(DISTINCT num) > 1 AS ambiguous FROM p WHERE priority = top GROUP BY station, t_s""")
 def i8(t):
-    """Dated metadata values by priority; different values at one time invalidate it."""
-    from landtally.sources.metadata import metadata_events
-
-    rows = t.sql("""SELECT user_id AS station, event_id AS group_id, unix_seconds(CAST(ts AS TIMESTAMP)) div 43200 * 43200 AS t_s, CASE WHEN event_id % 3 = 0 THEN '90th Percentile' ELSE 'Mean' END AS statistic, round(value / 100) AS value
-      FROM $events WHERE event_type IN ('signup','view') AND value >= 1""")
-    out = metadata_events(rows, ["station"])
-    return out.select("station", "t_s", r6("value").alias("value"), "ambiguous")
+    """Dated canopy heights of raw metadata rows by priority; different values at one time invalidate it."""
+    from landtally.sources.metadata import CANOPY, height_groups, metadata_events
+
+    e = t.events.filter("event_type in ('signup', 'view') and value >= 1").withColumn("ts", F.col("ts").cast("timestamp"))
+    k = F.col("event_id")
+    day = F.date_format("ts", "yyyyMMdd")
+    half = F.concat(day, F.when(F.hour("ts") < 12, "0000").otherwise("1200"))
+    cells = {"HEIGHTC": F.when(F.round(F.col("value") / 100) == 3, "-9999").otherwise(F.round(F.col("value") / 100).cast("string")),
+             "HEIGHTC_STATISTIC": F.when(k % 5 == 0, "90th Percentile").when(k % 5 == 1, "Maximum").otherwise("Mean"),
+             "HEIGHTC_DATE": F.when(k % 19 == 7, F.date_format("ts", "yyyyMM")).when(k % 3 == 0, day).otherwise(half),
+             "HEIGHTC_SPP": F.when(k % 13 == 5, "species"), "HEIGHTC_VEG_STATUS": F.when(k % 11 == 4, "Dead").when(k % 11 == 5, "Alive")}
+    long = e.select(F.col("user_id").alias("station"), (F.col("user_id") % 5 - 2).alias("offset_h"), k.alias("GROUP_ID"), F.lit(CANOPY).alias("VARIABLE_GROUP"), F.explode(
+        F.array(*[F.struct(F.lit(n).alias("n"), c.alias("v")) for n, c in cells.items()])).alias("c")).filter("c.v is not null")
+    long = long.select("station", "offset_h", "GROUP_ID", "VARIABLE_GROUP", F.col("c.n").alias("VARIABLE"), F.col("c.v").alias("DATAVALUE"))
+    out = metadata_events(height_groups(long, ["station"], CANOPY, "offset_h"), ["station"])
+    return out.select("station", "t_s", r6("value").alias("value"), "ambiguous")
\ No newline at end of file

@@ -513,14 +513,18 @@ def l13(t):
     return probe.groupBy("c_mktsegment").agg(count("sampled"), isum(F.col("c_custkey") >= 0, "valid"))
 
 
-@query("L14_lineage_fingerprint", """SELECT sample_id, sha256(sample_id || '|' || split || '|' || CAST(frequency_bin AS VARCHAR)) AS fingerprint FROM @manifest m WHERE split = 'train'""")
+@query("L14_lineage_fingerprint", """SELECT sample_id, sha256('["' || sample_id || '", "' || split || '", "' || CAST(frequency_bin AS VARCHAR) || '"]') AS fingerprint FROM @manifest m WHERE split = 'train'""")
 def l14(t):
     """Identity hash of every train row."""
     m = t.manifest.filter("split = 'train'")
     return checks.row_fingerprints(m, ["sample_id", "split", "frequency_bin"]).select("sample_id", "fingerprint")
 
 
-@query("L14_table_fingerprint")
+@query("L14_table_fingerprint", """WITH r AS (SELECT sha256(sample_id) AS k, sha256('["' || sample_id || '", "' || split || '", "' || CAST(frequency_bin AS VARCHAR) || '"]') AS fp FROM @manifest m WHERE split = 'train'),
+ a AS (SELECT substr(k, 1, 8) AS s, sha256(string_agg(fp, '' ORDER BY k, fp)) AS h, count(*) AS n FROM r GROUP BY 1),
+ b AS (SELECT substr(s, 1, 5) AS s, sha256(string_agg(h, '' ORDER BY s, h)) AS h, sum(n) AS n FROM a GROUP BY 1),
+ c AS (SELECT substr(s, 1, 3) AS s, sha256(string_agg(h, '' ORDER BY s, h)) AS h, sum(n) AS n FROM b GROUP BY 1)
+ SELECT sha256(string_agg(h, '' ORDER BY s, h)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM c""")
 def l14b(t):
     """One hash of the whole train table, equal under any partitioning."""
     return checks.table_fingerprint(t.manifest.filter("split = 'train'"), "sample_id", ["sample_id", "split", "frequency_bin"])

@@ -295,8 +295,9 @@ def _tower_intervals(t):
                       (F.lit(0.5) + s % 3 / 10).alias("sigmav"), (F.lit(0.35) + s % 4 / 20).alias("ustar"), (s * 17 % 360).alias("wd"), F.lit(0.2).alias("canopy"), "qc", "le")
     c = {k: F.col(k) for k in (*footprint.PARAMETERS, "canopy")}
     f = f.filter(footprint.parameter_valid(c) & F.col("qc").isin(0, 1) & F.col("le").isNotNull())
-    w = touch_windows(f).filter("overlap_s > 0")
-    return w.select("station", day_text("target_time").alias("target_time"), F.col("overlap_s").cast("double").alias("seconds"), *footprint.PARAMETERS, F.lit(0.9996).alias("grid_scale"), F.lit(0.5).alias("convergence_deg"), "start_s")
+    towers = geo.with_grid_factors(t.flux.select("station", "lon", "lat").distinct()).drop("lon", "lat")
+    w = touch_windows(f.join(towers, "station")).filter("overlap_s > 0")
+    return w.select("station", day_text("target_time").alias("target_time"), F.col("overlap_s").cast("double").alias("seconds"), *footprint.PARAMETERS, "grid_scale", "convergence_deg", "start_s")
 
 
 @query("J16_window_mass")
@@ -316,9 +317,7 @@ def j17(t):
     return out.select("tile", "row", "col", r6("weight").alias("weight"), "accepted")
 
 
-@query("J18_station_candidates")
-def j18(t):
-    """Alignment, height history, parameter domain, labels on both supports and footprint mass."""
+def _station_footprints(t):
     from landtally.operators.stations import footprint_candidates
 
     f = t.flux
@@ -326,10 +325,21 @@ def j18(t):
     canopy = t.sql("SELECT user_id div 50 AS station, unix_seconds(CAST(ts AS TIMESTAMP)) AS event_s, event_id, 0.2 + event_id % 2 / 10 AS canopy FROM $events WHERE event_type = 'view'")
     s = F.col("start_s") / 1800
     params = f.select("station", "start_s", "end_s", (F.lit(2.0) + s % 5).alias("ws"), (F.lit(800.0) + s % 7 * 100).alias("h"), (F.lit(-50.0) + s % 9).alias("ol"), (F.lit(0.5) + s % 3 / 10).alias("sigmav"), (F.lit(0.35) + s % 4 / 20).alias("ustar"), (s * 17 % 360).alias("wd"), (s % 23).cast("int").alias("provider_flag"))
-    out, reasons = footprint_candidates(f.select("station", "lat", "lon", "start_s", "end_s", "le", "qc"), params, heights, canopy, ["station"])
-    a = out.select("station", day_text("target_time").alias("target_time"), r6("value").alias("et"), F.lit("candidate").alias("kind"), F.lit(1).cast("bigint").alias("n"))
-    b = reasons.select("station", F.lit(None).cast("string").alias("target_time"), F.lit(None).cast("double").alias("et"), F.col("reason").alias("kind"), "n")
-    return a.unionByName(b)
+    sites = f.select("station", "lon", "lat").distinct().withColumn("spatial_group_id", F.concat(F.lit("g"), F.col("station"))).withColumn(
+        "split", F.element_at(F.array(*map(F.lit, ("train", "validation", "test"))), (F.col("station") % 3 + 1).cast("int"))).withColumn("frequency_bin", (F.col("station") % 7).cast("int"))
+    return footprint_candidates(f, params, heights, canopy, sites, ["station"], ["spatial_group_id", "split", "frequency_bin"])
+
+
+@query("J18_station_candidates")
+def j18(t):
+    """Alignment, height history, parameter domain, labels on both supports and footprint mass."""
+    out = _station_footprints(t)
+    a = out.candidates.select("station", "candidate_id", "spatial_group_id", "split", "frequency_bin", day_text("target_time").alias("target_time"), r6("et").alias("et"),
+                              r6("captured_mass", 5).alias("captured_mass"), "step_m", "intervals", F.lit("candidate").alias("kind"), F.lit(1).cast("bigint").alias("n"))
+    b = out.rejections.select("station", F.col("reason").alias("kind"), "n")
+    names = [c for c in out.counts.columns if c != "station"]
+    c = out.counts.select("station", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("n")) for n in names])).alias("c")).select("station", "c.kind", "c.n")
+    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
 @query("J19_rematch_footprint")
@@ -339,9 +349,11 @@ def j19(t):
 
     i = _tower_intervals(t)
     kept = t.flux.filter("le_corr is not null and station % 2 = 0 or station % 2 = 1").select("station", "start_s")
-    old = footprint.summed_mass(i.drop("start_s"), ["station", "target_time"], 10.0)
-    out = rematch(i, kept, old, ["station", "target_time"], ["station", "start_s"], 10.0)
-    return out.groupBy("station", "target_time", "source").agg(r6(F.sum("mass"), 5).alias("captured_mass"), count("cells"))
+    window = ["station", "target_time"]
+    old, _ = footprint.window_mass(i.drop("start_s"), window)
+    cells, status = rematch(i, kept, old, window, ["station", "start_s"], minimum=0.5)
+    sums = cells.groupBy(*window).agg(r6(F.sum("mass"), 5).alias("captured_mass"), count("cells"))
+    return status.join(sums, window, "left")
 
 
 # --- K ------------------------------------------------------------------------------------------
