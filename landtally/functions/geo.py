@@ -111,19 +111,28 @@ _DELTA = (
 )
 
 
-def inverse_mercator(x: Column, y: Column, zone: Column, south: Column) -> tuple[Column, Column]:
-    """Longitude and latitude of a UTM position."""
+class Arrays:
+    """The functions of numpy under the names that columns have them by, for formulas that serve both."""
+
+    sin, cos, sinh, cosh, sqrt, degrees, radians, asin, atan2 = (staticmethod(f) for f in (
+        np.sin, np.cos, np.sinh, np.cosh, np.sqrt, np.degrees, np.radians, np.arcsin, np.arctan2))
+    lit = staticmethod(lambda v: v)
+
+
+def inverse_mercator(x, y, zone, south, m=F):
+    """Longitude and latitude of a UTM position; columns, or arrays with ``m=Arrays``."""
     k = UTM_SCALE * _MEAN_RADIUS
-    xi0, eta0 = (y - F.when(south, 1e7).otherwise(0.0)) / k, (x - UTM_EAST) / k
+    false_north = F.when(south, 1e7).otherwise(0.0) if m is F else south * 1e7
+    xi0, eta0 = (y - false_north) / k, (x - UTM_EAST) / k
     xi, eta = xi0, eta0
     for j, b in enumerate(_BETA, 1):
-        xi = xi - F.lit(b) * F.sin(xi0 * (2 * j)) * F.cosh(eta0 * (2 * j))
-        eta = eta - F.lit(b) * F.cos(xi0 * (2 * j)) * F.sinh(eta0 * (2 * j))
-    chi = F.asin(F.sin(xi) / F.cosh(eta))
+        xi = xi - m.lit(b) * m.sin(xi0 * (2 * j)) * m.cosh(eta0 * (2 * j))
+        eta = eta - m.lit(b) * m.cos(xi0 * (2 * j)) * m.sinh(eta0 * (2 * j))
+    chi = m.asin(m.sin(xi) / m.cosh(eta))
     phi = chi
     for j, d in enumerate(_DELTA, 1):
-        phi = phi + F.lit(d) * F.sin(chi * (2 * j))
-    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi)
+        phi = phi + m.lit(d) * m.sin(chi * (2 * j))
+    return zone * 6 - 183 + m.degrees(m.atan2(m.sinh(eta), m.cos(xi))), m.degrees(phi)
 
 
 def polar_stereographic(lon: Column, lat: Column) -> tuple[Column, Column]:

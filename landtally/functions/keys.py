@@ -18,14 +18,14 @@ def quoted(col: Column) -> Column:
 
     def escaped(char: Column) -> Column:
         units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
-        long = F.regexp_replace(units, "(.{4})", r"\\\\u$1")
-        out = F.when(char.rlike(r"^[\x20-\x7f]$"), char).otherwise(long)
+        long = F.regexp_replace(units, "(.{4})", r"\\u$1")
+        out = F.when(char.rlike(r"^[\x20-\x7e]$"), char).otherwise(long)
         for plain, code in short.items():
             out = F.when(char == plain, code).otherwise(out)
         return out
 
     parts = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    safe = text.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7f]*$")
+    safe = text.rlike(r"^[\x20\x21\x23-\x5b\x5d-\x7e]*$")
     return F.concat(F.lit('"'), F.when(safe, text).otherwise(F.array_join(F.transform(parts, escaped), "")), F.lit('"'))
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.functions import geo
@@ -205,83 +203,3 @@ def cover_point_windows(points: DataFrame, owner_m: float = 900.0, window_m: flo
     left, top = F.col("own_x") * owner_m - pad, F.col("own_y") * owner_m + owner_m + pad
     return out.withColumn("left_m", left).withColumn("top_m", top).withColumn(
         "col", F.floor((F.col(x) - left) / pixel_m).cast("int")).withColumn("row", F.floor((top - F.col(y)) / pixel_m).cast("int"))
-
-
-# --- native coarse cells ------------------------------------------------------------------------
-
-def _clip(poly: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Part of a convex polygon to the left of the directed edge a-b."""
-    if not len(poly):
-        return poly
-    side = (b[0] - a[0]) * (poly[:, 1] - a[1]) - (b[1] - a[1]) * (poly[:, 0] - a[0])
-    out = []
-    for i in range(len(poly)):
-        j = (i + 1) % len(poly)
-        if side[i] >= 0:
-            out.append(poly[i])
-        if side[i] * side[j] < 0:
-            out.append(poly[i] + (poly[j] - poly[i]) * side[i] / (side[i] - side[j]))
-    return np.array(out) if out else np.empty((0, 2))
-
-
-def _area(poly: np.ndarray) -> float:
-    if len(poly) < 3:
-        return 0.0
-    x, y = poly[:, 0], poly[:, 1]
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
-
-
-def quad_overlaps(cell: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    """Overlap area of one counter-clockwise quad with many counter-clockwise quads."""
-    low, high = cell.min(0), cell.max(0)
-    near = np.flatnonzero(((corners.max(1) > low) & (corners.min(1) < high)).all(1))
-    areas = np.zeros(len(corners))
-    quads, edge = corners[near], np.roll(cell, -1, 0) - cell
-    # Quads with all corners on the inner side of every edge are covered whole; only the rim is clipped.
-    side = edge[:, 0, None, None] * (quads[None, :, :, 1] - cell[:, 1, None, None]) - edge[:, 1, None, None] * (quads[None, :, :, 0] - cell[:, 0, None, None])
-    whole = (side >= 0).all((0, 2))
-    x, y = quads[..., 0], quads[..., 1]
-    areas[near[whole]] = (np.abs((x * np.roll(y, -1, 1) - y * np.roll(x, -1, 1)).sum(1)) / 2)[whole]
-    for n in near[~whole]:
-        poly = corners[n]
-        for i in range(4):
-            poly = _clip(poly, cell[i], cell[(i + 1) % 4])
-        areas[n] = _area(poly)
-    return areas
-
-
-def _support(size: int, pixel_m: float):
-    axis = np.arange(size) * pixel_m
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                cell = np.array([[r.x0, r.y0], [r.x1, r.y1], [r.x2, r.y2], [r.x3, r.y3]], float)
-                if _area(cell) <= 0 or cell.min() < -1e-6 or cell.max() > size * pixel_m + 1e-6:
-                    continue
-                xx, yy = (g.ravel() for g in np.meshgrid(axis, axis))
-                quads = np.stack([np.stack([xx, yy], 1), np.stack([xx + pixel_m, yy], 1),
-                                  np.stack([xx + pixel_m, yy + pixel_m], 1), np.stack([xx, yy + pixel_m], 1)], 1)
-                areas = quad_overlaps(cell, quads)
-                hit = np.flatnonzero(areas > 0)
-                yield pd.DataFrame(dict(sample_id=r.sample_id, cell=r.cell, out_row=hit // size, out_col=hit % size,
-                                        weight=areas[hit] / areas.sum()))
-    return run
-
-
-def native_support(cells: DataFrame, size: int = 40, pixel_m: float = 30.0) -> DataFrame:
-    """Area weights of output pixels in each complete native cell of a tile.
-
-    ``cells`` has sample_id, cell and four counter-clockwise corners (x0, y0 .. x3, y3) in local
-    equal-area metres from the tile's lower-left corner. Cells that leave the tile are dropped.
-    Each cell is independent; spreading by cell keeps a tile with many cells off one task.
-    """
-    return spread(cells, "sample_id", "cell").mapInPandas(_support(size, pixel_m), "sample_id string, cell bigint, out_row int, out_col int, weight double")
-
-
-def local_equal_area(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
-    """Lambert azimuthal equal-area metres around (lon0, lat0) on the authalic sphere."""
-    radius = 6371007.181
-    p, p0, d = F.radians(lat), F.radians(lat0), F.radians(lon - lon0)
-    k = F.sqrt(F.lit(2.0) / (1 + F.sin(p0) * F.sin(p) + F.cos(p0) * F.cos(p) * F.cos(d)))
-    return (k * F.cos(p) * F.sin(d) * radius,
-            k * (F.cos(p0) * F.sin(p) - F.sin(p0) * F.cos(p) * F.cos(d)) * radius)

@@ -50,7 +50,7 @@ def _interval_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def footprint_candidates(flux: DataFrame, params: DataFrame, heights: DataFrame, canopy: DataFrame, sites: DataFrame, keys: list[str],
                          lineage: list[str] = (), version: str = "footprint", as_of: str | None = None, canopy_days: int = 366,
-                         steps: tuple[float, ...] = (10.0, 5.0, 2.5)) -> Footprints:
+                         steps: tuple[float, ...] = (10.0, 5.0, 2.5), tolerance: float = 0.01, minimum: float = 0.95) -> Footprints:
     """Windows valid in time and on the common footprint support, with enough tile mass.
 
     ``sites`` gives lon, lat and the ``lineage`` columns of each station; stations that :func:`usable_sites` leaves out have no
@@ -79,7 +79,7 @@ def footprint_candidates(flux: DataFrame, params: DataFrame, heights: DataFrame,
     good = both.filter("_t and valid").select(*window)
     inside = iv.touch_windows(rows.filter("support and le is not null and not isnan(le) and qc in (0, 1)")).filter("overlap_s > 0").join(good, window, "left_semi")
     inside = cut_lineage(inside.select(*window, F.col("overlap_s").cast("double").alias("seconds"), *footprint.PARAMETERS, "grid_scale", "convergence_deg"))
-    mass, note = footprint.window_mass(inside, window, steps)
+    mass, note = footprint.window_mass(inside, window, steps, tolerance, minimum)
     used = inside.groupBy(*window).agg(F.count(F.lit(1)).alias("intervals"), F.sum("seconds").alias("interval_seconds"))
     done = cut_lineage(both.filter("_t and valid").join(note, window).join(used, window))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landtally.functions import geo, radiometry as rad
-from landtally.operators import checks, footprint, joins, pixels, spatial
+from landtally.operators import checks, footprint, joins, native, pixels, spatial
 from landtally.plans.fields import _ARG, _FFP
 from landtally.plans.registry import D, R, day_text, query, r6
 from landtally.plans.relations import count
@@ -234,17 +234,17 @@ def j11(t):
 @query("J12_native_support")
 def j12(t):
     """Area weights of output pixels in each complete native cell; cells leaving the tile drop out."""
-    s = t.stations.filter("lon is not null").select("location_id", "lon", "lat")
-    cells = s.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))))
+    s = geo.with_projection(t.stations.filter("lon is not null").select("location_id", "lon", "lat"))
+    left, top = geo.snapped_corner(F.col("x"), F.col("y"))
+    tiles = s.select(F.col("location_id").alias("sample_id"), "lon", "lat", geo.grid_epsg(F.col("lon"), F.col("lat")).alias("epsg"), left.alias("left_m"), top.alias("top_m"))
     size = 0.0045
+    cells = tiles.select("sample_id", "lon", "lat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(8).cast("bigint"))).alias("cell"))
     px = (F.floor(F.col("lon") / size) + F.col("cell") % 3 - 1) * size
     py = (F.floor(F.col("lat") / size) + F.floor(F.col("cell") / 3) - 1) * size
-    out = cells.select(F.col("location_id").alias("sample_id"), "cell", "lon", "lat", px.alias("px"), py.alias("py"))
-    for i, (dx, dy) in enumerate(((0, 0), (size, 0), (size, size), (0, size))):
-        x, y = spatial.local_equal_area(F.col("px") + dx, F.col("py") + dy, F.col("lon"), F.col("lat"))
-        out = out.withColumn(f"x{i}", x + 600).withColumn(f"y{i}", y + 600)
-    w = spatial.native_support(out.select("sample_id", "cell", *[f"{a}{i}" for i in range(4) for a in "xy"]))
-    return w.groupBy("sample_id", "cell").agg(count("pixels"), r6(F.sum("weight")).alias("weight"))
+    ring = native.cell_ring(px, py, F.lit(size), F.lit(size))
+    w = native.native_support(tiles, cells.select("sample_id", "cell", ring.alias("ring")))
+    return w.groupBy("sample_id", "cell").agg(count("pixels"), r6(F.sum("weight")).alias("weight"), r6(F.sum(F.col("weight") * F.col("out_row"))).alias("mean_row"),
+                                              r6(F.sum(F.col("weight") * F.col("out_col"))).alias("mean_col"), F.min("centre_row").alias("centre_row"), F.min("centre_col").alias("centre_col"))
 
 
 @query("J13_native_operator", f"SELECT tile, CAST(row//3 AS INTEGER) AS cell_row, CAST(col//3 AS INTEGER) AS cell_col, {R('sum(abs(value))')} AS weight FROM @pixels p GROUP BY ALL")

@@ -78,15 +78,6 @@ def test_density_column_equals_array(spark):
         assert math.isclose(v, w, rel_tol=1e-12, abs_tol=1e-18)
 
 
-def test_quad_overlap_areas_sum_to_cell():
-    axis = np.arange(40) * 30.0
-    xx, yy = (g.ravel() for g in np.meshgrid(axis, axis))
-    quads = np.stack([np.stack([xx, yy], 1), np.stack([xx + 30, yy], 1), np.stack([xx + 30, yy + 30], 1), np.stack([xx, yy + 30], 1)], 1)
-    cell = np.array([[100.0, 110.0], [590.0, 95.0], [610.0, 600.0], [90.0, 580.0]])
-    areas = spatial.quad_overlaps(cell, quads)
-    assert math.isclose(areas.sum(), spatial._area(cell), rel_tol=1e-9)
-
-
 def test_grid_factors_are_the_derivative_of_the_projection(spark):
     """A metre north on the ellipsoid, projected: its direction and length in the grid."""
     places = [(9.0, 45.0), (11.9, 45.0), (6.2, -33.0), (0.1, 83.9), (179.5, 0.001), (-179.9, -79.0), (-45.0, 85.0), (20.0, 88.0), (100.0, -85.0), (-170.0, -89.0)]
