@@ -117,46 +117,87 @@ def asof_backward(left: DataFrame, events: DataFrame, keys: list[str], left_time
                       *[F.when(fresh, F.col(f"_hit.{v}")).alias(v) for v in values])
 
 
+def _with(rows: DataFrame, side: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
+    """Rows with the columns ``extra`` of a table that holds each key once; without keys the table is one row."""
+    if not keys:
+        return rows.join(F.broadcast(side.select(*extra)), F.lit(True))
+    return rows.alias("d").join(side.alias("s"), same_keys("d", "s", keys)).select("d.*", *[f"s.{c}" for c in extra])
+
+
+def _edge_counts(rows: DataFrame, edges: DataFrame, keys: list[str], many: int, weight: Column) -> DataFrame:
+    """Per key the edges with the weight of the rows below each (``lt``) and up to it (``le``): one pass, no sort."""
+    joined = _with(rows, edges, keys, ["_edges"])
+    sums = []
+    for j in range(many):
+        edge = F.get("_edges", F.lit(j))
+        sums += [F.sum(F.when(F.col("_v") < edge, weight).otherwise(0)).alias(f"_lt{j}"), F.sum(F.when(F.col("_v") <= edge, weight).otherwise(0)).alias(f"_le{j}")]
+    counted = joined.groupBy(*keys).agg(F.first("_edges").alias("_edges"), *sums)
+    cells = [F.struct(F.get("_edges", F.lit(j)).alias("e"), F.col(f"_lt{j}").alias("lt"), F.col(f"_le{j}").alias("le")) for j in range(many)]
+    return counted.select(*keys, F.array(*cells).alias("_cells"))
+
+
+def _narrowed(targets: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Targets with the value of the edge that holds their rank, else the open interval between two edges, and the rank and rows in it."""
+    out = _with(targets, cells, keys, ["_cells"])
+    rank = F.col("_rank")
+    hit = F.filter("_cells", lambda c: (c["lt"] <= rank) & (rank < c["le"]))
+    under = F.array_max(F.transform(F.filter("_cells", lambda c: c["le"] <= rank), lambda c: F.struct(c["e"].alias("e"), c["le"].alias("le"))))
+    over = F.array_min(F.transform(F.filter("_cells", lambda c: c["lt"] > rank), lambda c: F.struct(c["e"].alias("e"), c["lt"].alias("lt"))))
+    out = out.withColumns({"_hit": F.get(hit, F.lit(0))["e"], "_under": under, "_over": over})
+    low, size = F.coalesce(F.col("_under.le"), F.lit(0)), F.coalesce(F.col("_over.lt"), F.col("_size"))
+    return out.select(*targets.drop("_rank", "_size", "_lo", "_hi", "_found").columns, (rank - low).alias("_rank"), (size - low).alias("_size"),
+                      F.coalesce("_under.e", "_lo").alias("_lo"), F.coalesce("_over.e", "_hi").alias("_hi"), F.col("_hit").alias("_found"))
+
+
+def _inside(rows: DataFrame, targets: DataFrame, on: list[str], keys: list[str]) -> DataFrame:
+    """Distinct values with their counts inside each open target's interval."""
+    names = [k for k in keys if k not in on]
+    wanted = targets.filter("_found is null").select(*keys, "_lo", "_hi")
+    if on:
+        joined = rows.alias("d").join(wanted.alias("s"), same_keys("d", "s", on)).select("d.*", *[f"s.{c}" for c in (*names, "_lo", "_hi")])
+    else:
+        joined = rows.join(F.broadcast(wanted), F.lit(True))
+    kept = joined.filter((F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") < F.col("_hi"))))
+    return cut_lineage(kept.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c")))
+
+
 def exact_percentiles(df: DataFrame, groups: list[str], value: str, probabilities: list[float],
-                      accuracy: int = 10000, small: int = 50000) -> DataFrame:
+                      accuracy: int = 10000, most: int = 4096, parts: int = 16) -> DataFrame:
     """Exact linearly interpolated percentiles of groups of any size.
 
-    A bounded sketch brackets each percentile; only rows inside the bracket are sorted, the rest
-    are counted. One row per group and probability: ``p``, ``n``, ``percentile``.
+    A percentile lies between two ranks. Each rank is selected by counting: a sketch names edges near it, one pass counts
+    the rows below and up to each edge, and only rows strictly between the two nearest edges stay. Rounds follow until no rank has
+    more than ``most`` rows left, so that nothing larger is ever sorted. NULL values do not count. One row per group and probability: ``p``, ``n``, ``percentile``.
     """
     slack = 3.0 / accuracy
-    lows = [max(0.0, p - slack) for p in probabilities]
-    highs = [min(1.0, p + slack) for p in probabilities]
-    data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
-    sketch = data.groupBy(*groups).agg(
-        F.count("_v").alias("n"),
-        F.percentile_approx("_v", lows, accuracy).alias("_lo"),
-        F.percentile_approx("_v", highs, accuracy).alias("_hi"))
-    brackets = sketch.select(*groups, "n", F.explode(F.arrays_zip(
-        F.array(*map(F.lit, probabilities)).alias("p"), "_lo", "_hi")).alias("_b")).select(
-        *groups, "n", F.col("_b.p").alias("p"),
-        F.when(F.col("n") > small, F.col("_b._lo")).alias("_lo"),
-        F.when(F.col("n") > small, F.col("_b._hi")).alias("_hi"))
+    near = sorted({q for p in probabilities for q in (max(0.0, p - slack), min(1.0, p + slack))})
+    keys = [*groups, "p", "_side"]
+    data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    sketch = cut_lineage(data.groupBy(*groups).agg(F.count("_v").alias("n"), F.percentile_approx("_v", near, accuracy).alias("_edges")).filter("n > 0"))
+    sides = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(side).alias("_side")) for p in probabilities for side in (0, 1)])).alias("_t")
+    targets = sketch.select(*groups, "n", sides).select(*groups, "n", "_t.p", "_t._side")
     position = F.col("p") * (F.col("n") - 1)
-    on = same_keys("d", "b", groups) if groups else F.lit(True)
-    side = brackets.alias("b") if groups else F.broadcast(brackets.alias("b"))
-    near = data.alias("d").join(side, on).select(
-        *[F.col(f"d.{g}") for g in groups], "d._v", "b.n", "b.p", "b._lo", "b._hi")
-    inside = (F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-    keys = [*groups, "p"]
-    # Equal values collapse to one row with a count, so a repeated value costs nothing.
-    values = near.withColumn("_in", inside).filter(inside | (F.col("_v") < F.col("_lo"))).groupBy(
-        *keys, "n", F.when(F.col("_in"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
-    ranked = values.withColumn("_upto", upto).filter(F.col("_v").isNotNull())
-    floor_at, ceil_at = F.floor(position), F.ceil(position)
-    first = F.col("_upto") - F.col("_c")
-    holds = lambda at: (at >= first) & (at < F.col("_upto"))
-    out = ranked.groupBy(*keys, "n").agg(
-        F.max(F.when(holds(floor_at), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds(ceil_at), F.col("_v"))).alias("_z"))
+    targets = targets.withColumns({"_rank": F.when(F.col("_side") == 0, F.floor(position)).otherwise(F.ceil(position)).cast("bigint"), "_size": F.col("n"),
+                                   "_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double")})
+    cells = _edge_counts(data, sketch, groups, len(near), F.lit(1))
+    targets = cut_lineage(_narrowed(targets, cells, groups))
+    rows = _inside(data.withColumn("_c", F.lit(1)), targets, groups, keys)
+    done = targets.filter("_found is not null")
+    while not targets.filter(F.col("_found").isNull() & (F.col("_size") > most)).isEmpty():
+        fractions = [k / parts for k in range(1, parts)]
+        edges = rows.groupBy(*keys).agg(F.percentile_approx("_v", fractions, accuracy).alias("_edges"))
+        cells = _edge_counts(rows, edges, keys, len(fractions), F.col("_c"))
+        targets = cut_lineage(_narrowed(targets.filter("_found is null"), cells, keys))
+        rows = _inside(rows, targets, keys, keys)
+        done = done.unionByName(targets.filter("_found is not null"))
+    left = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_v", "_c"))).alias("_list"))
+    open_ = _with(targets.filter("_found is null").drop("_found"), left, keys, ["_list"])
+    start = F.struct(F.col("_rank").alias("left"), F.lit(None).cast("double").alias("v"))
+    pick = F.aggregate("_list", start, lambda a, x: F.struct((a["left"] - x["_c"]).alias("left"), F.when((a["left"] >= 0) & (a["left"] < x["_c"]), x["_v"]).otherwise(a["v"]).alias("v")))
+    values = open_.withColumn("_found", pick["v"]).select(*keys, "n", "_found").unionByName(done.select(*keys, "n", "_found"))
+    ends = values.groupBy(*groups, "p", "n").agg(F.max(F.when(F.col("_side") == 0, F.col("_found"))).alias("_a"), F.max(F.when(F.col("_side") == 1, F.col("_found"))).alias("_z"))
     share = position - F.floor(position)
-    return out.select(*keys, "n", (F.col("_a") + (F.col("_z") - F.col("_a")) * share).alias("percentile"))
+    return ends.select(*groups, "p", "n", (F.col("_a") + (F.col("_z") - F.col("_a")) * share).alias("percentile"))
 
 
 def running(df: DataFrame, groups: list[str], order: list[Column], value: str, name: str, bucket: Column,

@@ -84,13 +84,34 @@ def test_exact_percentiles_bracketed(spark):
     rng = random.Random(3)
     rows = [("hot", round(rng.gauss(0, 1), 3)) for _ in range(4000)] + [("cold", float(i)) for i in range(3)]
     df = spark.createDataFrame(rows, "g string, v double")
-    out = {(r.g, r.p): r.percentile for r in ordered.exact_percentiles(df, ["g"], "v", [0.5, 0.95], accuracy=100, small=100).collect()}
+    out = {(r.g, r.p): r.percentile for r in ordered.exact_percentiles(df, ["g"], "v", [0.5, 0.95], accuracy=100, most=20, parts=4).collect()}
     for g in ("hot", "cold"):
         v = [x for k, x in rows if k == g]
         for p in (0.5, 0.95):
             assert abs(out[(g, p)] - np.quantile(v, p)) < 1e-9
 
 
+def test_exact_percentiles_of_every_size_and_shape(spark):
+    """Ties at an edge, few rows, NULL groups and values, heavy tails; several rounds of narrowing."""
+    rng = random.Random(4)
+    shapes = {"ties": [5.0] * 900 + [1.0, 2.0, 9.0], "one": [3.5], "two": [1.0, 2.0], "tail": [10.0 ** rng.uniform(-200, 200) for _ in range(1500)],
+              "whole": [float(rng.randrange(40)) for _ in range(1200)], None: [float(k) for k in range(37)], "late": [0.0] + [7.0] * 500}
+    rows = [(g, v) for g, vs in shapes.items() for v in [*vs, None]] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    ps = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for most in (2, 4096):
+        out = {(r.g, r.p): (r.n, r.percentile) for r in ordered.exact_percentiles(df, ["g"], "v", ps, accuracy=50, most=most, parts=4).collect()}
+        assert len(out) == 5 * len(shapes)
+        for g, vs in shapes.items():
+            for p in ps:
+                want = float(np.quantile(np.array(vs), p))
+                assert out[g, p][0] == len(vs) and abs(out[g, p][1] - want) <= 1e-12 * abs(want), (g, p)
+    everything = [v for vs in shapes.values() for v in vs]
+    whole = ordered.exact_percentiles(df, [], "v", [0.5]).collect()
+    assert [(r.n, r.percentile) for r in whole] == [(len(everything), float(np.quantile(everything, 0.5)))]
+    assert ordered.exact_percentiles(df.limit(0), ["g"], "v", ps).count() == 0
+
+
 def test_numbered_matches_row_number_in_a_hot_group(spark):
     df = spark.range(3000).select((F.col("id") % 50 == 0).alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
     rows = ordered.numbered_by_hash(df, ["g"], "h", "rn").collect()
