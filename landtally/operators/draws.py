@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from landtally.functions import keys as K
 from landtally.operators.ordered import numbered, numbered_by_hash, numbered_overall, same_keys, visit_bucket
-from landtally.session import cut_lineage
+from landtally.session import cut_lineage, written
 
 STRATA = ["landcover", "climate_class", "year", "month"]
 
@@ -83,6 +83,34 @@ def maxmin_allocate(children: DataFrame, parents: list[str], capacity: str, tota
     return ranked.withColumn("quota", quota.cast("bigint")).drop("_low", "_left", "_open", "_rank")
 
 
+def maxmin_top_up(children: DataFrame, parents: list[str], have: str, capacity: str, total: str, order: str) -> DataFrame:
+    """Integer shares of each parent's ``total`` that level the children up: the least filled first, none above what it can hold.
+
+    A child takes from its ``have`` up to ``have + capacity``. How many children still take at a level changes only where one
+    begins or ends, so the level comes from the table of those points; the remainder goes, one each, to the first by ``order``.
+    """
+    points = children.filter(F.col(capacity) > 0).select(*parents, F.col(total).alias("_asked"), F.inline(F.array(
+        F.struct(F.col(have).cast("bigint").alias("_at"), F.lit(1).alias("_turn")), F.struct((F.col(have) + F.col(capacity)).cast("bigint").alias("_at"), F.lit(-1).alias("_turn")))))
+    points = points.groupBy(*parents, "_at").agg(F.sum("_turn").alias("_turn"), F.max("_asked").alias("_asked"))
+    along = Window.partitionBy(*parents).orderBy("_at")
+    points = points.withColumn("_takers", F.sum("_turn").over(along)).withColumn("_next", F.lead("_at").over(along))
+    points = points.withColumn("_room", F.coalesce((F.col("_next") - F.col("_at")) * F.col("_takers"), F.lit(0)))
+    points = points.withColumn("_spent", F.sum("_room").over(along) - F.col("_room"))
+    left = F.col("_asked") - F.col("_spent")
+    rise = F.floor(left / F.col("_takers"))
+    # The segment in which the total ends; a total beyond all room ends at the last point.
+    ends = (F.col("_takers") > 0) & (left < F.col("_room")) & (left >= 0)
+    found = F.when(ends, F.struct((F.col("_at") + rise).alias("low"), (left - rise * F.col("_takers")).alias("rest")))
+    levels = points.groupBy(*parents).agg(F.min(found).alias("_f"), F.max("_at").alias("_top"))
+    levels = levels.select(*parents, F.coalesce("_f.low", "_top").alias("_low"), F.coalesce("_f.rest", F.lit(0)).alias("_left"))
+    joined = children.alias("c").join(levels.alias("v"), same_keys("c", "v", parents), "left").select(*[F.col(f"c.{c}") for c in children.columns], "v._low", "v._left")
+    room = F.greatest(F.lit(0), F.least(F.col("_low") - F.col(have), F.col(capacity)))
+    joined = joined.withColumn("_open", F.when((F.col(have) <= F.col("_low")) & (F.col("_low") < F.col(have) + F.col(capacity)), 1).otherwise(0))
+    ranked = numbered_by_hash(joined, [*parents, "_open"], order, "_rank")
+    extra = F.when((F.col("_open") == 1) & (F.col("_rank") <= F.col("_left")), 1).otherwise(0)
+    return ranked.withColumn("quota", F.coalesce(room + extra, F.lit(0)).cast("bigint")).drop("_low", "_left", "_open", "_rank")
+
+
 def stratum_quotas(counts: DataFrame, top: str, levels: list[str], seed: int) -> DataFrame:
     """Push the quota of each ``top`` group down ``levels``; ``counts`` has ``n`` and ``top_quota``."""
     path = [top]
@@ -245,36 +273,96 @@ def spaced_picks(ranked: DataFrame, station: list[str], rank: str, gap_days: int
 
 
 def capacity_draw(candidates: DataFrame, seed: int, gap_days: int = 30, station: str = "physical_group_id") -> DataFrame:
-    """Spaced draw that reaches every bin's exact capacity, ordered by the nested rotation."""
+    """Spaced draw that reaches every bin's exact capacity, ordered by the nested rotation. A station may lie in one bin only."""
+    spanning = candidates.groupBy(station).agg(F.count_distinct("frequency_bin").alias("_bins")).filter("_bins > 1")
+    if not spanning.isEmpty():
+        raise ValueError(f"a station lies in several bins, for instance {spanning.first()[station]}")
     ranked = cut_lineage(picker_rank(candidates, seed, "draw_rank"))
     return spaced_picks(ranked, ["frequency_bin", station], "draw_rank", gap_days, full=True)
 
 
-def stratified_pick(candidates: DataFrame, quotas: DataFrame, seed: int, gap_days: int,
-                    admissible: Column | None = None, station: str = "physical_group_id") -> DataFrame:
+#: Levels below the bin, the least filled first: the space, its years, their months.
+PICK_LEVELS = (("landcover", "climate_class"), ("year",), ("month",))
+
+
+def _round_shares(pool: DataFrame, taken: DataFrame, open_: DataFrame, station: str, seed: int) -> DataFrame:
+    """How many candidates of each station in each leaf the bins' open quotas ask for, given what has been taken."""
+    leaf = ["frequency_bin", *[c for level in PICK_LEVELS for c in level]]
+    there = pool.groupBy(*leaf, station).agg(F.count(F.lit(1)).alias("n"))
+    had = taken.groupBy(*leaf).agg(F.count(F.lit(1)).alias("had"))
+    strata = there.groupBy(*leaf).agg(F.sum("n").alias("n")).join(had, leaf, "full").na.fill(0, ["n", "had"])
+    current = written(strata.join(open_, "frequency_bin"), "shares")
+    path = ["frequency_bin"]
+    for level in PICK_LEVELS:
+        nodes = current.groupBy(*path, *level).agg(F.sum("n").alias("_capacity"), F.sum("had").alias("_had"), F.max("_asked").alias("_total"))
+        nodes = nodes.withColumn("_hash", K.hash_rank(seed, *[F.col(c) for c in [*path, *level]]))
+        shares = maxmin_top_up(nodes, path, "_had", "_capacity", "_total", "_hash")
+        path = [*path, *level]
+        current = written(current.drop("_asked").join(shares.select(*path, F.col("quota").alias("_asked")), path), "shares")
+    leaves = there.join(current.filter("_asked > 0").select(*leaf, "_asked"), leaf)
+    # A station counts in its bin as a whole, not in the leaf.
+    mine = taken.groupBy("frequency_bin", station).agg(F.count(F.lit(1)).alias("_had"))
+    leaves = leaves.join(mine, ["frequency_bin", station], "left").na.fill(0, ["_had"]).withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(station))))
+    out = maxmin_top_up(leaves, leaf, "_had", "n", "_asked", "_hash")
+    return out.filter("quota > 0").select(*leaf, station, F.col("quota").alias("_share"))
+
+
+def stratified_pick(candidates: DataFrame, quotas: DataFrame, seed: int, gap_days: int, admissible: Column | None = None,
+                    station: str = "physical_group_id", taken: DataFrame | None = None) -> DataFrame:
     """Spaced, balanced picks up to a quota per bin; the date gap of a station holds across bins.
 
-    ``quotas`` has ``frequency_bin`` and ``quota``. The least filled bin goes first, so the global
-    order is the bin's own rank over its quota. A bin that is full stops taking rows and stops
-    blocking others: rows past its last pick leave the pool and acceptance repeats until stable.
+    ``quotas`` has ``frequency_bin`` and ``quota``. Every round levels the spaces, years, months and stations up from what has been
+    taken so far, takes the rows of those shares that keep the gap, the least filled bin first, and drops what
+    no longer keeps it. So siblings differ by more than one only where the lesser has no eligible row left. A round takes at
+    least one row where any is left. ``taken`` (rows like ``candidates``) counts against quotas, balance and gaps from the start.
+    ``draw_order`` numbers the picks of a bin. NULL strata are stratum 0.
     """
-    pool = candidates if admissible is None else candidates.filter(admissible)
-    ranked = picker_rank(pool, seed, "draw_rank").join(F.broadcast(quotas.filter("quota > 0")), "frequency_bin")
-    # One sortable number: the filled share of the bin first, then the bin.
-    order = F.floor((F.col("draw_rank") - 1) / F.col("quota") * float(1 << 36)) * 8 + F.col("frequency_bin")
-    ranked = cut_lineage(ranked.withColumn("_order", order))
+    leaf = ["frequency_bin", *[c for level in PICK_LEVELS for c in level]]
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    known = {c: F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) for c in leaf}
+    pool = (candidates if admissible is None else candidates.filter(admissible)).withColumns(known)
+    pool = pool.select(*leaf, station, "target_time", "candidate_id", K.hash_rank(seed, K.quoted(F.col("candidate_id"))).alias("_hash"))
+    narrow = [*leaf, station, "target_time", "candidate_id"]
+    before = pool.select(*narrow).limit(0) if taken is None else taken.withColumns(known).select(*narrow)
+    done = written(before.withColumns({"_round": F.lit(0), "_hash": F.lit("")}), "picks")
+    pool = written(_apart_from(pool.join(done.select("candidate_id"), "candidate_id", "left_anti"), done, station, gap_days), "pool")
+    turn = 0
     while True:
-        picks = numbered(spaced_picks(ranked, [station], "_order", gap_days), ["frequency_bin"],
-                         [F.col("draw_rank")], "draw_order", F.floor(F.col("draw_rank") / 65536))
-        picks = cut_lineage(picks)
-        # One row per bin: at most seven.
-        full = picks.filter("draw_order = quota").select("frequency_bin", F.col("draw_rank").alias("_last"))
-        trimmed = ranked.join(F.broadcast(full), "frequency_bin", "left").filter(
-            F.col("_last").isNull() | (F.col("draw_rank") <= F.col("_last"))).drop("_last")
-        over = picks.filter("draw_order > quota")
-        if over.isEmpty():
-            return picks.drop("quota", "_order")
-        ranked = cut_lineage(trimmed)
+        turn += 1
+        have = done.groupBy("frequency_bin").agg(F.count(F.lit(1)).alias("_n"))
+        open_ = quotas.join(have, "frequency_bin", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter("quota > _n")
+        # One row per bin; its place among the bins decides who goes first where dates of a station meet.
+        place = F.row_number().over(Window.orderBy(F.col("_n") / F.col("quota"), "frequency_bin"))
+        open_ = written(open_.select("frequency_bin", (F.col("quota") - F.col("_n")).alias("_asked"), place.alias("_place")), "open")
+        shares = _round_shares(pool, done, open_.drop("_place"), station, seed)
+        rows = numbered_by_hash(pool.join(shares, [*leaf, station]), [*leaf, station], "_hash", "_rank").filter("_rank <= _share")
+        rows = rows.join(open_.select("frequency_bin", "_place"), "frequency_bin").withColumn("_order", F.concat(F.lpad(F.col("_place").cast("string"), 9, "0"), "_hash"))
+        picks = written(spaced_picks(written(rows, "rows"), [station], "_order", gap_days).select(*narrow, "_hash", F.lit(turn).alias("_round")), "picks")
+        if picks.isEmpty():
+            break
+        done = done.unionByName(picks)
+        pool = written(_apart_from(pool.join(picks.select("candidate_id"), "candidate_id", "left_anti"), picks, station, gap_days), "pool")
+    new = done.filter("_round > 0").select("candidate_id", "frequency_bin", "_round", "_hash")
+    order = numbered(new, ["frequency_bin"], [F.col("_round"), F.col("_hash")], "draw_order", F.col("_round") * 4096 + K.hash_bucket(F.col("_hash"), 3))
+    return candidates.join(order.select("candidate_id", "draw_order"), "candidate_id")
+
+
+def _apart_from(pool: DataFrame, picks: DataFrame, station: str, gap_days: int) -> DataFrame:
+    """Rows whose station has no pick within the gap; a station has at most one pick a gap, so its dates are few."""
+    dates = picks.groupBy(station).agg(F.collect_set("target_time").alias("_dates"))
+    near = F.exists("_dates", lambda d: F.abs(F.datediff(d, F.col("target_time"))) < gap_days)
+    return pool.join(dates, station, "left").filter(~F.coalesce(near, F.lit(False))).drop("_dates")
+
+
+def refill_plan(candidates: DataFrame, attempts: DataFrame, quotas: DataFrame, seed: int, gap_days: int = 30,
+                station: str = "physical_group_id") -> DataFrame:
+    """Candidates to attempt next: none attempted before, up to each bin's quota less its successes, apart from their dates.
+
+    ``attempts``: candidate_id, success. A failed attempt fills no quota and blocks no date.
+    """
+    won = candidates.join(attempts.filter("success").select("candidate_id").distinct(), "candidate_id", "left_semi")
+    tried = attempts.select("candidate_id").distinct()
+    return stratified_pick(candidates.join(tried, "candidate_id", "left_anti"), quotas, seed, gap_days, station=station, taken=won)
 
 
 def _month_diverse(gap_days: int, limit: int):

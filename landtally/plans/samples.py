@@ -117,10 +117,11 @@ def f10(t):
 
 @query("F11_refill_plan")
 def f11(t):
-    """Candidates not yet attempted, drawn to the remaining capacity."""
+    """Candidates not yet attempted, up to what the successes leave of each quota."""
     c = t.candidates
-    open_ = c.join(c.filter("cohort = 0").select("candidate_id"), "candidate_id", "left_anti")
-    return draws.capacity_draw(open_, 44).select("frequency_bin", "physical_group_id", "candidate_id", "draw_rank")
+    attempts = c.filter("cohort = 0").select("candidate_id", (F.col("quantity") > 10).alias("success"))
+    quotas = c.select("frequency_bin").distinct().withColumn("quota", F.lit(150) + F.col("frequency_bin") * 10)
+    return draws.refill_plan(c, attempts, quotas, 44).select("frequency_bin", "physical_group_id", day_text("target_time").alias("target_time"), "candidate_id", "draw_order")
 
 
 @query("F12_split_targets", """WITH n AS (SELECT count(*) + 1205 AS t FROM @candidates c WHERE valid_et > 0), h AS (SELECT split, count(*) AS present FROM @candidates c WHERE valid_et > 0 GROUP BY split), g AS (SELECT split, CASE WHEN split = 'train' THEN t - 2*CAST(round_even(t*0.15,0) AS BIGINT) ELSE CAST(round_even(t*0.15,0) AS BIGINT) END AS target FROM n, (VALUES ('train'),('validation'),('test')) v(split))

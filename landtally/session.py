@@ -18,10 +18,15 @@ def build_session(app: str = "landtally", master: str | None = None, **conf) ->
     return prepare(builder.getOrCreate())
 
 
+#: Bytes of an Arrow batch on its way to a Python worker: ten thousand long texts or arrays at once would fill it.
+ARROW_BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Calendar windows are UTC; every date function depends on it."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Calendar windows are UTC, on which every date function depends; Arrow batches are bounded in bytes."""
+    for name, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))):
+        if spark.conf.get(name) != value:
+            spark.conf.set(name, value)
     return spark
 
 
@@ -54,6 +59,16 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return _private_folder(spark, f"landtally-{name}-") + "/table"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a new table of the shared scratch space, read again.
+
+    For loops: a checkpointed plan keeps the constraints of its history, which grow from round to round.
+    """
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by ``keys`` into as many tasks as a shuffle has, for CPU-heavy Arrow work.
 

@@ -162,3 +162,83 @@ def test_holdout_leaves_every_cohort_a_group(spark):
     state = {}
     for r in out:
         assert state.setdefault(r.group, r.heldout) == r.heldout
+
+
+def _pool(spark):
+    import datetime
+    rng = random.Random(8)
+    rows = []
+    for k in range(240):
+        station = rng.randrange(14)
+        day = datetime.date(2020, 1, 1) + datetime.timedelta(days=8 * rng.randrange(90))
+        rows.append((f"c{k}", station % 3, f"s{station}" if station < 12 else "hot", rng.choice((0, 0, 0, 1)), rng.randrange(2), day.year, day.month, day))
+    return rows, spark.createDataFrame(rows, "candidate_id string, frequency_bin int, physical_group_id string, landcover int, climate_class int, year int, month int, target_time date")
+
+
+def _check_picks(rows, picked, quotas, gap, before=()):
+    """Gaps hold, quotas are met unless nothing eligible is left, and siblings differ by more than one only where the lesser is used up."""
+    from collections import Counter
+    by = {r[0]: r for r in rows}
+    taken = [by[i] for i in (*picked, *before)]
+    for a in taken:
+        for b in taken:
+            assert a[0] == b[0] or a[2] != b[2] or abs((a[7] - b[7]).days) >= gap
+    free = [r for r in rows if r not in taken and all(t[2] != r[2] or abs((t[7] - r[7]).days) >= gap for t in taken)]
+    for bin_, quota in quotas.items():
+        n = sum(r[1] == bin_ for r in taken)
+        assert n <= quota and (n == quota or not any(r[1] == bin_ for r in free))
+    for depth in ((1, 3, 4), (1, 3, 4, 5), (1, 3, 4, 5, 6)):
+        path = lambda r: tuple(r[k] for k in depth)
+        up = lambda p: p[:1] if len(depth) == 3 else p[:-1]
+        have, open_ = Counter(map(path, taken)), {path(r) for r in free}
+        for p in open_:
+            most = max((n for q, n in have.items() if up(q) == up(p)), default=0)
+            assert most - have[p] <= 1, (p, have[p], most)
+
+
+def test_stratified_pick_is_balanced_and_spaced(spark):
+    rows, df = _pool(spark)
+    quotas = {0: 40, 1: 25, 2: 500}
+    table = spark.createDataFrame(list(quotas.items()), "frequency_bin int, quota long")
+    out = draws.stratified_pick(df, table, 7, 40).collect()
+    _check_picks(rows, [r.candidate_id for r in out], quotas, 40)
+    for b in quotas:
+        assert sorted(r.draw_order for r in out if r.frequency_bin == b) == list(range(1, sum(r.frequency_bin == b for r in out) + 1))
+    again = draws.stratified_pick(df.repartition(7), table, 7, 40).collect()
+    assert {(r.candidate_id, r.draw_order) for r in again} == {(r.candidate_id, r.draw_order) for r in out}
+
+
+def test_refill_counts_successes_only(spark):
+    rows, df = _pool(spark)
+    first = [r for r in rows if r[2] == "s1"]
+    won, lost = first[0], [r for r in rows if r[2] == "s4"]
+    attempts = spark.createDataFrame([(won[0], True)] + [(r[0], False) for r in lost], "candidate_id string, success boolean")
+    quotas = {0: 10, 1: 10, 2: 10}
+    table = spark.createDataFrame(list(quotas.items()), "frequency_bin int, quota long")
+    picked = [r.candidate_id for r in draws.refill_plan(df, attempts, table, 3, 40).collect()]
+    assert won[0] not in picked and not {r[0] for r in lost} & set(picked) and len(picked) == 29
+    _check_picks([r for r in rows if r not in lost], picked, quotas, 40, [won[0]])
+
+
+def test_capacity_draw_refuses_stations_in_two_bins(spark):
+    rows, df = _pool(spark)
+    import pytest
+    with pytest.raises(ValueError, match="hot"):
+        draws.capacity_draw(df, 1)
+
+
+def test_top_up_levels_from_what_is_there(spark):
+    import itertools
+    rng = random.Random(5)
+    rows = [(p, f"{p}-{k}", rng.randrange(6), rng.randrange(7), 0) for p in range(30) for k in range(rng.randrange(1, 6))]
+    totals = {p: rng.randrange(0, 25) for p in range(30)}
+    rows = [(p, k, h, c, totals[p]) for p, k, h, c, _ in rows]
+    df = spark.createDataFrame(rows, "p int, k string, had int, cap int, total int").withColumn("_h", F.sha2("k", 256))
+    got = {(r.p, r.k): r.quota for r in draws.maxmin_top_up(df, ["p"], "had", "cap", "total", "_h").collect()}
+    for p, group in itertools.groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        given = [got[p, r[1]] for r in group]
+        assert sum(given) == min(totals[p], sum(r[3] for r in group)) and all(0 <= g <= r[3] for g, r in zip(given, group))
+        full = [r[2] + g for g, r in zip(given, group)]
+        for (g, r), (h, q) in itertools.permutations(zip(given, group), 2):
+            assert not (g > 0 and r[2] + g > q[2] + h + 1 and h < q[3]), (p, full)
