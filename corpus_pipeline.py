@@ -19,11 +19,13 @@ from landtally.session import prepare
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by importance resampling; what the model rejects, toxic text included, goes."""
+    prepare(spark)
     return draw(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of line runs of 50 words or more are deleted from the texts; every document stays."""
+    prepare(spark)
     shorter = without_repeats(docs)
     if "n_chars" in docs.columns:
         shorter = shorter.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -32,16 +34,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate component."""
+    prepare(spark)
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    prepare(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights: every document as often as the mix takes it, numbered by ``copy``."""
+    prepare(spark)
     return mix(docs)
 
 
