@@ -135,17 +135,43 @@ def inverse_mercator(x, y, zone, south, m=F):
     return zone * 6 - 183 + m.degrees(m.atan2(m.sinh(eta), m.cos(xi))), m.degrees(phi)
 
 
+# Latitude of true scale of the two polar grids.
+_TRUE_SCALE = {True: 70.0, False: 71.0}
+
+
+def _polar_radius(degrees: float) -> float:
+    """Metres from the pole for a unit of the conformal half-angle tangent, with the scale true at a latitude."""
+    s = math.sin(math.radians(degrees))
+    t = math.tan(math.pi / 4 - math.radians(degrees) / 2) / ((1 - _E * s) / (1 + _E * s)) ** (_E / 2)
+    return WGS84_A * math.cos(math.radians(degrees)) / math.sqrt(1 - _E2 * s * s) / t
+
+
+def inverse_polar(x: Column, y: Column, north: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a position in the polar grid of the hemisphere."""
+    radius = F.when(north, _polar_radius(_TRUE_SCALE[True])).otherwise(_polar_radius(_TRUE_SCALE[False]))
+    chi = F.lit(math.pi / 2) - F.atan(F.sqrt(x * x + y * y) / radius) * 2
+    phi = chi
+    for j, d in enumerate(_DELTA, 1):
+        phi = phi + F.lit(d) * F.sin(chi * (2 * j))
+    turn = F.degrees(F.atan2(x, F.when(north, -y).otherwise(y))) - F.when(north, 45.0).otherwise(0.0)
+    return F.pmod(turn + 180, F.lit(360.0)) - 180, F.when(north, F.degrees(phi)).otherwise(-F.degrees(phi))
+
+
+def inverse_projection(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a position in the grid that :func:`grid_epsg` names."""
+    polar = epsg.isin(3413, 3031)
+    lon, lat = inverse_mercator(x, y, epsg % 100, epsg.between(32701, 32760))
+    plon, plat = inverse_polar(x, y, epsg == 3413)
+    return F.when(polar, plon).otherwise(lon), F.when(polar, plat).otherwise(lat)
+
+
 def polar_stereographic(lon: Column, lat: Column) -> tuple[Column, Column]:
     """EPSG 3413 in the north (70 N, 45 W) and 3031 in the south (71 S, 0)."""
     north = lat >= 0
     def t_of(phi):
         s = F.sin(phi)
         return F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - F.lit(_E) * s) / (1 + F.lit(_E) * s), F.lit(_E / 2))
-    def at(deg):
-        s = math.sin(math.radians(deg))
-        t = math.tan(math.pi / 4 - math.radians(deg) / 2) / ((1 - _E * s) / (1 + _E * s)) ** (_E / 2)
-        return WGS84_A * math.cos(math.radians(deg)) / math.sqrt(1 - _E2 * s * s) / t
-    rho = t_of(F.radians(F.abs(lat))) * F.when(north, at(70.0)).otherwise(at(71.0))
+    rho = t_of(F.radians(F.abs(lat))) * F.when(north, _polar_radius(_TRUE_SCALE[True])).otherwise(_polar_radius(_TRUE_SCALE[False]))
     angle = F.radians(F.when(north, lon + 45).otherwise(lon))
     return rho * F.sin(angle), F.when(north, -rho * F.cos(angle)).otherwise(rho * F.cos(angle))
 

@@ -367,27 +367,28 @@ def refill_plan(candidates: DataFrame, attempts: DataFrame, quotas: DataFrame, s
 
 def _month_diverse(gap_days: int, limit: int):
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("target_time").reset_index(drop=True)
+        rows = pdf.sort_values("_hash").reset_index(drop=True)
         stamp = pd.to_datetime(rows["target_time"])
         day = (stamp.astype("datetime64[s]").astype("int64") // 86400).to_numpy()
         month = stamp.dt.month.to_numpy()
         open_, used, order = np.ones(len(rows), bool), np.zeros(13, int), []
         while open_.any() and len(order) < limit:
             at = np.flatnonzero(open_)
-            i = at[np.lexsort((day[at], used[month[at]]))[0]]
+            i = at[np.argmin(used[month[at]])]
             order.append(i)
             used[month[i]] += 1
             open_ &= np.abs(day - day[i]) >= gap_days
             open_[i] = False
-        return rows.iloc[order].assign(pick=range(1, len(order) + 1))
+        return rows.iloc[order].drop(columns="_hash").assign(pick=range(1, len(order) + 1))
     return pick
 
 
-def month_diverse_windows(df: DataFrame, station: list[str], gap_days: int, limit: int = 1 << 30) -> DataFrame:
-    """Per station, repeatedly the least-used month, then the earliest date; dates keep the gap."""
+def month_diverse_windows(df: DataFrame, station: list[str], gap_days: int, limit: int = 1 << 30, seed: int = 43) -> DataFrame:
+    """Per station, repeatedly a window of the least-used month, in seeded order; dates keep the gap. A group has a row per date."""
     days = df.select(*station, "target_time").distinct()
     schema = T.StructType([*days.schema.fields, T.StructField("pick", T.LongType())])
-    return days.groupBy(*station).applyInPandas(_month_diverse(gap_days, limit), schema)
+    hashed = days.withColumn("_hash", K.hash_rank(seed, *[K.quoted(F.col(c)) for c in station], K.quoted(F.date_format("target_time", "yyyy-MM-dd"))))
+    return hashed.groupBy(*station).applyInPandas(_month_diverse(gap_days, limit), schema)
 
 
 # --- greedy exclusion ---------------------------------------------------------------------------

@@ -40,6 +40,17 @@ def pair_days(station: DataFrame, product: DataFrame, keys: list[str]) -> DataFr
     return j.withColumn("reason", reason).drop("_p")
 
 
+def common_days(pairs: DataFrame, record: list[str]) -> DataFrame:
+    """Per record of :func:`pair_days` the common days with both means over them, else a reason: no product at all, or none that pairs."""
+    both = F.col("reason").isNull()
+    out = pairs.groupBy(*record).agg(
+        F.count(F.when(both, 1)).alias("common_days"), F.avg(F.when(both, F.col("station_value"))).alias("site_value"),
+        F.avg(F.when(both, F.col("product_value"))).alias("product_value"), F.count(F.when(~both, 1)).alias("excluded_days"),
+        F.max((both | (F.col("reason") != "no_product_day")).cast("int")).alias("_seen"))
+    reason = F.when(F.col("common_days") > 0, None).when(F.col("_seen") == 1, "no_common_valid_dates").otherwise("no_product_in_window")
+    return out.withColumn("reason", reason).drop("_seen")
+
+
 def pair_periods(record: DataFrame, product: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Exact period equality, a finite nonnegative product value, else a reason."""
     p = product.select(F.col(key), F.col(start), F.col(end).alias("_e"), "product_value", F.lit(1).alias("_p"))

@@ -219,18 +219,25 @@ def anchored_orbit_scenes(df: DataFrame, keys: list[str], slot: str, time: str,
 
 def carried_orbit_scenes(df: DataFrame, keys: list[str], slot: str, slots: int, time: str, target: str, scene: str,
                          orbit: str) -> DataFrame:
-    """Older policy: slots from last to first, each later choice passing its orbit on (one join per slot)."""
-    carried, chosen = None, None
-    for s in reversed(range(slots)):
-        rows = df.filter(F.col(slot) == s)
-        if carried is not None:
-            rows = rows.join(carried, keys, "left").filter(F.col("_orbit").isNull() | (F.col(orbit) == F.col("_orbit"))).drop("_orbit")
-        pick = nearest_scenes(rows, [*keys, slot], time, target, scene)
-        now = pick.select(*keys, F.col(orbit).alias("_now"))
-        chosen = pick if chosen is None else chosen.unionByName(pick)
-        carried = now.withColumnRenamed("_now", "_orbit") if carried is None else (
-            carried.join(now, keys, "full").select(*keys, F.coalesce("_now", "_orbit").alias("_orbit")))
-    return chosen
+    """Older policy: slots from last to first, each later choice passing its orbit on.
+
+    One aggregate keeps the best scene of every (slot, orbit); a place then has at most slots times orbits of them, and one fold
+    over that list makes all choices.
+    """
+    order = F.struct(F.abs(F.col(time) - F.col(target)).alias("gap"), (-F.col(time)).alias("new"), F.col(scene).alias("scene"))
+    rest = [c for c in df.columns if c not in keys]
+    best = df.filter(F.col(slot).between(0, slots - 1)).groupBy(*keys, slot, orbit).agg(F.min_by(F.struct(*rest), order).alias("row"), F.min(order).alias("order"))
+    places = best.groupBy(*keys).agg(F.collect_list(F.struct("order", F.col(slot).alias("slot"), F.col(orbit).alias("orbit"), "row")).alias("all"))
+    row = best.schema["row"].dataType.simpleString()
+    held = F.struct(F.lit(None).cast(best.schema[orbit].dataType).alias("orbit"), F.array().cast(f"array<{row}>").alias("out"))
+
+    def choose(a: Column, s: Column) -> Column:
+        usable = F.filter("all", lambda x: (x["slot"] == s) & (a["orbit"].isNull() | (x["orbit"] == a["orbit"])))
+        first = F.array_sort(usable, lambda x, y: F.when(x["order"] < y["order"], -1).when(x["order"] > y["order"], 1).otherwise(0))[0]
+        return F.struct(F.coalesce(first["orbit"], a["orbit"]).alias("orbit"), F.array_compact(F.array_append(a["out"], first["row"])).alias("out"))
+
+    chosen = F.aggregate(F.sequence(F.lit(slots - 1), F.lit(0), F.lit(-1)), held, choose, lambda a: a["out"])
+    return places.select(*keys, F.inline(chosen)).select(*df.columns)
 
 
 def orbit_majority(df: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:

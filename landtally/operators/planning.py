@@ -22,8 +22,11 @@ def planned_draw(pool: DataFrame, bin_: str, period: str, climate: str, total: i
     order = F.row_number().over(w.orderBy(period))
     n = F.count(F.lit(1)).over(w)
     # The pool's bins are few, and so are the periods of a bin: these tables stay small.
-    share = F.lit(total // bins)
-    periods = periods.withColumn("_t", (F.floor(share / n) + F.when(order <= share % n, 1).otherwise(0)).cast("bigint"))
+    # The first bins take one more each where the total does not divide.
+    place = F.row_number().over(Window.orderBy(bin_))
+    shares = cells.select(bin_).distinct().withColumn("_share", F.lit(total // bins) + F.when(place <= total % bins, 1).otherwise(0))
+    periods, share = periods.join(shares, bin_), F.col("_share")
+    periods = periods.withColumn("_t", (F.floor(share / n) + F.when(order <= share % n, 1).otherwise(0)).cast("bigint")).drop("_share")
     cells = cells.join(periods, [bin_, period])
     w2 = Window.partitionBy(bin_, period)
     weight = F.lit(0.5) / F.count(F.lit(1)).over(w2) + F.lit(0.5) * F.col("pool") / F.sum("pool").over(w2)

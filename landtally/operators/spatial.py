@@ -113,12 +113,12 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, name: str = "compon
 def tile_circle(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Circle enclosing the 1200 m tile whose centre output cell holds the point: farthest corner plus 2 m.
 
-    UTM latitudes only; tiles beyond 84 N or 80 S are out of the station network's reach.
+    The tile lies in the point's own grid, a polar one beyond 84 N and 80 S.
     """
-    out = geo.with_mercator(df, F.col(lon), F.col(lat), "_x", "_y").withColumn("_z", geo.utm_zone(F.col(lon)))
+    out = geo.with_projection(df, lon, lat, "_x", "_y").withColumn("_z", geo.grid_epsg(F.col(lon), F.col(lat)))
     far = []
     for i, (dx, dy) in enumerate(((-615, 615), (585, 615), (585, -585), (-615, -585))):
-        clon, clat = geo.inverse_mercator(F.col("_x") + dx, F.col("_y") + dy, F.col("_z"), F.col(lat) < 0)
+        clon, clat = geo.inverse_projection(F.col("_x") + dx, F.col("_y") + dy, F.col("_z"))
         out = out.withColumn(f"_lon{i}", clon).withColumn(f"_lat{i}", clat)
         far.append(geo.geodesic_m(F.col(lon), F.col(lat), F.col(f"_lon{i}"), F.col(f"_lat{i}")))
     out = out.withColumn("radius_m", F.greatest(*far) + 2)

@@ -43,18 +43,34 @@ def c3(t):
     return a.unionByName(b).select("side", "n")
 
 
+def _paired(t):
+    day = F.timestamp_seconds("t_s").cast("date")
+    x = t.sensor.withColumn("day", day)
+    s = x.filter("good and sensor % 7 <> 0").groupBy("sensor", "day").agg(F.avg("value").alias("station_value"))
+    p = x.filter("sensor % 5 <> 0").groupBy("sensor", "day").agg((F.avg("value") * 1.2).alias("product_value"), F.when(F.col("sensor") % 11 != 0, F.min(F.col("event_id") % 5)).alias("qa"))
+    return joins.pair_days(s, p, ["sensor", "day"])
+
+
 @query("C9_common_day_pairing", f"""WITH s AS (SELECT sensor, CAST(make_timestamp(t_s*1000000) AS DATE) AS day, avg(value) AS station_value FROM @sensor x WHERE good AND sensor % 7 <> 0 GROUP BY ALL),
  p AS (SELECT sensor, CAST(make_timestamp(t_s*1000000) AS DATE) AS day, avg(value)*1.2 AS product_value, CASE WHEN min(sensor) % 11 <> 0 THEN min(event_id % 5) END AS qa FROM @sensor x WHERE sensor % 5 <> 0 GROUP BY ALL)
  SELECT coalesce(s.sensor, p.sensor) AS sensor, {D('coalesce(s.day, p.day)')} AS day, {R('station_value')} AS station_value, {R('product_value')} AS product_value,
   CASE WHEN p.sensor IS NULL THEN 'no_product_day' WHEN qa IS NULL OR qa <> 0 THEN 'product_quality' WHEN s.sensor IS NULL THEN 'no_station_morning' WHEN product_value NOT BETWEEN 0 AND 1 THEN 'product_range' END AS reason FROM s FULL JOIN p ON s.sensor = p.sensor AND s.day = p.day""")
 def c9(t):
     """Common days, with the reason of each excluded day from both sides."""
-    day = F.timestamp_seconds("t_s").cast("date")
-    x = t.sensor.withColumn("day", day)
-    s = x.filter("good and sensor % 7 <> 0").groupBy("sensor", "day").agg(F.avg("value").alias("station_value"))
-    p = x.filter("sensor % 5 <> 0").groupBy("sensor", "day").agg((F.avg("value") * 1.2).alias("product_value"), F.when(F.col("sensor") % 11 != 0, F.min(F.col("event_id") % 5)).alias("qa"))
-    out = joins.pair_days(s, p, ["sensor", "day"])
-    return out.select("sensor", day_text("day").alias("day"), r6("station_value").alias("station_value"), r6("product_value").alias("product_value"), "reason")
+    return _paired(t).select("sensor", day_text("day").alias("day"), r6("station_value").alias("station_value"), r6("product_value").alias("product_value"), "reason")
+
+
+@query("C9_common_days", f"""WITH s AS (SELECT sensor, CAST(make_timestamp(t_s*1000000) AS DATE) AS day, avg(value) AS station_value FROM @sensor x WHERE good AND sensor % 7 <> 0 GROUP BY ALL),
+ p AS (SELECT sensor, CAST(make_timestamp(t_s*1000000) AS DATE) AS day, avg(value)*1.2 AS product_value, CASE WHEN min(sensor) % 11 <> 0 THEN min(event_id % 5) END AS qa FROM @sensor x WHERE sensor % 5 <> 0 GROUP BY ALL)
+,
+ d AS (SELECT coalesce(s.sensor, p.sensor) AS sensor, date_trunc('month', coalesce(s.day, p.day)) AS m, station_value, product_value,
+  CASE WHEN p.sensor IS NULL THEN 'no_product_day' WHEN qa IS NULL OR qa <> 0 THEN 'product_quality' WHEN s.sensor IS NULL THEN 'no_station_morning' WHEN product_value NOT BETWEEN 0 AND 1 THEN 'product_range' END AS reason FROM s FULL JOIN p ON s.sensor = p.sensor AND s.day = p.day)
+ SELECT sensor, {D('m')} AS month, count(*) FILTER (reason IS NULL) AS common_days, count(*) FILTER (reason IS NOT NULL) AS excluded_days, {R('avg(station_value) FILTER (reason IS NULL)', 9)} AS site_value,
+  {R('avg(product_value) FILTER (reason IS NULL)', 9)} AS product_value, CASE WHEN count(*) FILTER (reason IS NULL) > 0 THEN NULL WHEN count(*) FILTER (reason IS NULL OR reason <> 'no_product_day') > 0 THEN 'no_common_valid_dates' ELSE 'no_product_in_window' END AS reason FROM d GROUP BY 1, m""")
+def c9b(t):
+    """Common days of each sensor and month with the means of both sides, or why there are none."""
+    out = joins.common_days(_paired(t).withColumn("month", F.trunc("day", "month")), ["sensor", "month"])
+    return out.select("sensor", day_text("month").alias("month"), "common_days", "excluded_days", r6("site_value", 9).alias("site_value"), r6("product_value", 9).alias("product_value"), "reason")
 
 
 _REC = "SELECT physical_group_id AS station, target_time, target_end, avg(quantity) AS station_value FROM @candidates c GROUP BY 1, 2, 3"

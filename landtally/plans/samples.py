@@ -180,7 +180,7 @@ def f20(t):
     return out.select("sample_id", "block", "development")
 
 
-@query("F21_planned_quotas", f"""WITH cells AS (SELECT DISTINCT frequency_bin AS b, year AS y, climate_class AS z, count(*) OVER (PARTITION BY frequency_bin, year, climate_class) AS pool FROM @manifest m), fb AS (SELECT b, 700 // 7 AS q FROM (SELECT DISTINCT b FROM cells) a),
+@query("F21_planned_quotas", f"""WITH cells AS (SELECT DISTINCT frequency_bin AS b, year AS y, climate_class AS z, count(*) OVER (PARTITION BY frequency_bin, year, climate_class) AS pool FROM @manifest m), fb AS (SELECT b, 705 // 7 + CASE WHEN row_number() OVER (ORDER BY b) <= 705 % 7 THEN 1 ELSE 0 END AS q FROM (SELECT DISTINCT b FROM cells) a),
  yy AS (SELECT b, y, q // count(*) OVER (PARTITION BY b) + CASE WHEN row_number() OVER (PARTITION BY b ORDER BY y) <= q % count(*) OVER (PARTITION BY b) THEN 1 ELSE 0 END AS q FROM (SELECT DISTINCT cells.b, y, fb.q FROM cells JOIN fb ON cells.b = fb.b) s),
  zz AS (SELECT c.b, c.y, c.z, c.pool, yy.q * (0.5/count(*) OVER (PARTITION BY c.b, c.y) + 0.5*pool/sum(pool) OVER (PARTITION BY c.b, c.y)) AS e, yy.q AS t FROM cells c JOIN yy ON yy.b = c.b AND yy.y = c.y),
  rr AS (SELECT *, row_number() OVER (PARTITION BY b, y ORDER BY e - floor(e) DESC, pool DESC, z) AS rk, t - sum(floor(e)) OVER (PARTITION BY b, y) AS lft FROM zz), qq AS (SELECT b, y, z, pool, CAST(floor(e) + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS BIGINT) AS quota FROM rr)
@@ -189,7 +189,7 @@ def f21(t):
     """Bin, year and climate quotas, filled by priority, with deficits reported."""
     from landtally.operators.planning import planned_draw
 
-    return planned_draw(t.manifest, "frequency_bin", "year", "climate_class", 700, 42)[1].select("frequency_bin", "year", "climate_class", "quota", "taken", "deficit")
+    return planned_draw(t.manifest, "frequency_bin", "year", "climate_class", 705, 42)[1].select("frequency_bin", "year", "climate_class", "quota", "taken", "deficit")
 
 
 @query("F22_block_sample", f"WITH r AS (SELECT block, frequency_bin, sample_id, row_number() OVER (PARTITION BY block, frequency_bin ORDER BY {HASH(3, 'sample_id')}) AS draw FROM @manifest m) SELECT block, frequency_bin, sample_id, draw, {HASH(3, 'block')} AS block_order FROM r WHERE draw <= 2")

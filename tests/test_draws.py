@@ -242,3 +242,23 @@ def test_top_up_levels_from_what_is_there(spark):
         full = [r[2] + g for g, r in zip(given, group)]
         for (g, r), (h, q) in itertools.permutations(zip(given, group), 2):
             assert not (g > 0 and r[2] + g > q[2] + h + 1 and h < q[3]), (p, full)
+
+
+def test_month_diverse_windows(spark):
+    """The least-used month always goes first, dates keep the gap, and nothing that could be added is left."""
+    rng = random.Random(2)
+    days = sorted({dt.date(2020, 1, 1) + dt.timedelta(days=rng.randrange(700)) for _ in range(60)})
+    df = spark.createDataFrame([(s, d) for s in "ab" for d in days], "s string, target_time date")
+    out = {}
+    for r in draws.month_diverse_windows(df, ["s"], 25).collect():
+        out.setdefault(r.s, {})[r.pick] = r.target_time
+    for s, picks in out.items():
+        used, taken = {}, []
+        for k in range(1, len(picks) + 1):
+            free = [d for d in days if d not in taken and all(abs((d - t).days) >= 25 for t in taken)]
+            d = picks[k]
+            assert d in free and used.get(d.month, 0) == min(used.get(f.month, 0) for f in free)
+            used[d.month] = used.get(d.month, 0) + 1
+            taken.append(d)
+        assert not [d for d in days if d not in taken and all(abs((d - t).days) >= 25 for t in taken)]
+    assert out["a"] != out["b"]  # the order of ties is the station's own

@@ -57,6 +57,17 @@ def test_mercator_round_trip_and_scale(spark):
     assert abs(rows[0].x - 500000) < 1e-6 and abs(rows[0].y - 4982950.400) < 0.01
 
 
+def test_every_grid_round_trip(spark):
+    places = [(9.0, 45.0), (-70.3, -33.4), (-45.0, 84.0), (135.0, 88.5), (-170.0, 85.2), (0.0, -80.5), (100.0, -89.9), (-60.0, -85.0), (179.9, 83.99)]
+    df = geo.with_projection(spark.createDataFrame(places, "lon double, lat double"))
+    lon, lat = geo.inverse_projection(F.col("x"), F.col("y"), geo.grid_epsg(F.col("lon"), F.col("lat")))
+    for r in df.withColumn("lon2", lon).withColumn("lat2", lat).collect():
+        assert abs((r.lon - r.lon2 + 180) % 360 - 180) < 1e-8 and abs(r.lat - r.lat2) < 1e-9, r
+    # A tile's half diagonal is 870 m, whatever its grid; polar grids shrink it by their scale only.
+    circles = spatial.tile_circle(spark.createDataFrame(places, "lon double, lat double")).collect()
+    assert all(840 < r.radius_m < 900 for r in circles)
+
+
 def test_geodesic_of_one_degree_at_equator():
     d = geo.vincenty_m([0.0, 0.0], [0.0, 0.0], [1.0, 0.0], [0.0, 1.0])
     assert np.allclose(d, [111319.491, 110574.389], atol=0.01)
