@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from landtally.functions import keys as K
-from landtally.operators.ordered import numbered, numbered_by_hash, numbered_overall, same_keys, visit_bucket
+from landtally.operators.ordered import numbered, numbered_by_hash, numbered_overall, running_before, same_keys, visit_bucket
 from landtally.session import cut_lineage, written
 
 STRATA = ["landcover", "climate_class", "year", "month"]
@@ -499,31 +499,22 @@ def extend_snapshot(df: DataFrame, previous: DataFrame, strata: list[str], limit
     return old.withColumn("status", F.lit("kept")).unionByName(added.select(*df.columns).withColumn("status", F.lit("added")))
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, draws: int, seed: int, ranges: int = 4096) -> DataFrame:
+def weighted_draws(df: DataFrame, key: str, weight: str, draws: int, seed: int) -> DataFrame:
     """``draws`` keys with replacement, proportional to ``weight``, from hash-derived uniforms.
 
-    Cumulative weights use bucket totals, so no task sees the whole table. Each uniform finds its
-    bucket first and its row inside that bucket second.
+    Rows in hash order own stretches of the total weight; bucket totals give where each bucket begins, so no task sees the whole
+    table. Stretches and draws meet by equality of a grid cell of mean width: a row has a cell or two, a draw has one.
     """
-    from pyspark.sql.functions import broadcast
-
-    base = df.filter(F.col(weight) > 0).select(key, weight).withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(key))))
-    base = base.withColumn("_bucket", K.hash_bucket(F.col("_hash"), 3))
-    before = (Window.unboundedPreceding, -1)
-    totals = base.groupBy("_bucket").agg(F.sum(weight).alias("_sum")).select(
-        "_bucket", "_sum", F.coalesce(F.sum("_sum").over(Window.partitionBy().orderBy("_bucket").rowsBetween(*before)), F.lit(0.0)).alias("_from"),
-        F.sum("_sum").over(Window.partitionBy()).alias("_all"))
-    rows = base.withColumn("_inner", F.coalesce(F.sum(weight).over(
-        Window.partitionBy("_bucket").orderBy("_hash").rowsBetween(*before)), F.lit(0.0)))
-    spark = df.sparkSession
-    unit = spark.range(1, draws + 1).select(
-        F.col("id").alias("draw"), K.hash_unit(K.fingerprint(seed, K.quoted(F.lit("draw")), F.col("id"))).alias("_u"))
-    # At most 4096 buckets: a fixed-size table.
-    placed = unit.join(broadcast(totals), (F.col("_u") * F.col("_all") > F.col("_from"))
-                       & (F.col("_u") * F.col("_all") <= F.col("_from") + F.col("_sum")))
-    placed = placed.select("draw", "_bucket", (F.col("_u") * F.col("_all") - F.col("_from")).alias("_at"))
-    return placed.join(rows, "_bucket").filter(
-        (F.col("_at") > F.col("_inner")) & (F.col("_at") <= F.col("_inner") + F.col(weight))).select("draw", key)
+    base = df.filter(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("_w")).withColumn("_hash", K.hash_rank(seed, K.quoted(F.col(key))))
+    placed = cut_lineage(running_before(base, [], [F.col("_hash")], "_w", "_lo", K.hash_bucket(F.col("_hash"), 3)))
+    total, rows = placed.agg(F.coalesce(F.sum("_w"), F.lit(0.0)), F.count(F.lit(1))).first()
+    width = total / max(1, rows)
+    cell = lambda at: F.floor(at / F.lit(width or 1.0))
+    spans = placed.withColumn("_hi", F.col("_lo") + F.col("_w")).withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    # The last draw may lie beyond the last sum by rounding; the greatest uniform is 1.
+    at = F.least(K.hash_unit(K.fingerprint(seed, K.quoted(F.lit("draw")), F.col("id"))) * F.lit(total), F.lit(total))
+    unit = df.sparkSession.range(1, (draws if rows else 0) + 1).select(F.col("id").alias("draw"), at.alias("_at")).withColumn("_cell", cell(F.col("_at")))
+    return unit.join(spans, "_cell").filter((F.col("_at") > F.col("_lo")) & (F.col("_at") <= F.col("_hi"))).select("draw", key)
 
 
 def population_priority(df: DataFrame, strata: list[str], population: str, seed: int, key: str = "sample_id") -> DataFrame:

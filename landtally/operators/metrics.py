@@ -146,28 +146,35 @@ def paired_mode_bootstrap(df: DataFrame, site: str, mode: str, pred: str, target
     return interval_of(diff, [mode, "metric"], "change").withColumnRenamed("value", "change").join(point, [mode, "metric"])
 
 
-def station_skill(df: DataFrame, mode: str, draws: int, seed: int) -> DataFrame:
-    """Between-station and within-station correlation and macro RMSE, with site-clustered bounds.
+def station_skill(df: DataFrame, mode: str, draws: int, seed: int, reference: str, by: list[str] = ()) -> DataFrame:
+    """Between-station and within-station correlation and macro RMSE per mode, and their change against ``reference``, with site-clustered bounds.
 
-    Sensors of one station and date are averaged first. Rows: site, station, date, pred, target.
+    Sensors of one station and date are averaged first. Rows: ``by`` (such as the task), site, station, date, pred, target. All modes
+    of a draw resample the same sites. ``stations`` and ``windows`` count what the estimates rest on.
     """
-    windows = df.groupBy("site", "station", "date", mode).agg(F.avg("pred").alias("x"), F.avg("target").alias("y"))
+    by = list(by)
+    windows = df.groupBy(*by, "site", "station", "date", mode).agg(F.avg("pred").alias("x"), F.avg("target").alias("y"))
     n = F.count(F.lit(1))
-    st = windows.groupBy("site", "station", mode).agg(
+    st = windows.groupBy(*by, "site", "station", mode).agg(
         n.alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg((F.col("x") - F.col("y")) ** 2).alias("mse"),
         (F.var_pop("x") * n).alias("sxx"), (F.var_pop("y") * n).alias("syy"), (F.covar_pop("x", "y") * n).alias("sxy"))
     many = lambda c: F.sum(F.when(F.col("n") >= 2, F.col(c)).otherwise(0.0))
-    cols = {"stations": n, "bx": F.sum("mx"), "by": F.sum("my"), "bxx": F.sum(F.col("mx") ** 2), "byy": F.sum(F.col("my") ** 2),
+    cols = {"stations": n, "windows": F.sum("n"), "bx": F.sum("mx"), "by": F.sum("my"), "bxx": F.sum(F.col("mx") ** 2), "byy": F.sum(F.col("my") ** 2),
             "bxy": F.sum(F.col("mx") * F.col("my")), "wxx": many("sxx"), "wyy": many("syy"), "wxy": many("sxy"), "err": F.sum(F.sqrt("mse"))}
-    site = st.groupBy("site", mode).agg(*[c.alias(k) for k, c in cols.items()])
-    total = bootstrap_sums(site, group_draws(df, "site", draws, seed), "site", [mode], list(cols))
+    site = st.groupBy(*by, "site", mode).agg(*[c.alias(k) for k, c in cols.items()])
+    total = bootstrap_sums(site, group_draws(df, "site", draws, seed), "site", [*by, mode], list(cols))
     k = F.col("stations")
     bvx, bvy = F.col("bxx") - F.col("bx") ** 2 / k, F.col("byy") - F.col("by") ** 2 / k
     between = F.when((bvx > 1e-12) & (bvy > 1e-12), (F.col("bxy") - F.col("bx") * F.col("by") / k) / F.sqrt(bvx * bvy))
     within = F.when((F.col("wxx") > 0) & (F.col("wyy") > 0), F.col("wxy") / F.sqrt(F.col("wxx") * F.col("wyy")))
-    long = total.select("draw", mode, between.alias("b"), within.alias("w"), (F.col("err") / k).alias("m")).select(
-        "draw", mode, F.expr("stack(3, 'between_r', b, 'within_r', w, 'macro_rmse', m) as (metric, score)"))
-    return interval_of(long, [mode, "metric"], "score")
+    long = total.select("draw", *by, mode, "stations", "windows", between.alias("b"), within.alias("w"), (F.col("err") / k).alias("m")).select(
+        "draw", *by, mode, "stations", "windows", F.expr("stack(3, 'between_r', b, 'within_r', w, 'macro_rmse', m) as (metric, score)"))
+    base = long.filter(F.col(mode) == reference).select("draw", *by, "metric", F.col("score").alias("_base"))
+    diff = long.join(base, ["draw", *by, "metric"], "left").withColumn("change", F.col("score") - F.col("_base"))
+    keys = [*by, mode, "metric"]
+    counts = long.filter("draw = 0").select(*keys, "stations", "windows")
+    change = interval_of(diff, keys, "change").toDF(*keys, "change", "change_low", "change_high")
+    return interval_of(diff, keys, "score").join(change, keys).join(counts, keys)
 
 
 def best_epoch(df: DataFrame, run: str, epoch: str, score: str) -> DataFrame:

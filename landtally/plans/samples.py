@@ -12,7 +12,7 @@ from landtally.plans.relations import count
 from landtally.session import cut_lineage
 
 HASH = lambda seed, x: f"sha256('[{seed}, ' || chr(34) || {x} || chr(34) || ']')"
-UNIT = lambda h: f"((CAST(('0x' || substr({h},1,8)) AS BIGINT) + 1.0) / 4294967296.0)"
+UNIT = lambda h: f"((CAST(('0x' || substr({h},1,13)) AS BIGINT) + 1.0) / 4503599627370496.0)"
 PATH = lambda seed, *cols: f"sha256('[{seed}, [' || concat_ws(', ', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}) || ']]')"
 
 

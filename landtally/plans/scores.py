@@ -89,21 +89,51 @@ def m7(t):
     return metrics.point_summary(t.points, ["cell"], "cover_class", "predicted_class", "point_id", "site_name")
 
 
-@query("M8_cluster_bootstrap")
+def DRAWS(name: str, key: str, source: str, draws: int, seed: int) -> str:
+    """CTEs of the resamples of whole groups: ``name`` has d, k and the weight w; draw 0 holds every group once."""
+    u = f"((CAST(('0x' || substr(sha256('[{seed}, ' || d || ', ' || i || ']'), 1, 13)) AS BIGINT) + 1.0) / 4503599627370496.0)"
+    return f"""{name}_g AS (SELECT k, row_number() OVER (ORDER BY sha256('[{seed}, ' || chr(34) || k || chr(34) || ']')) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT {key} AS k FROM {source}) x),
+ {name}_c AS (SELECT d, least(n, CAST(floor({u} * n) AS BIGINT) + 1) AS i, count(*) AS w FROM {name}_g, range(1, {draws + 1}) r(d) GROUP BY 1, 2),
+ {name} AS (SELECT 0 AS d, k, 1 AS w FROM {name}_g UNION ALL SELECT d, k, w FROM {name}_c JOIN {name}_g USING (i))"""
+
+
+def BOUNDS(value: str, names: str = "value, low, high") -> str:
+    """The estimate at draw 0 and the bounds over the resamples."""
+    a, b, c = (n.strip() for n in names.split(","))
+    return f"""{R(f'max({value}) FILTER (d = 0)', 5)} AS {a}, {R(f'quantile_cont({value}, 0.025) FILTER (d > 0)', 5)} AS {b}, {R(f'quantile_cont({value}, 0.975) FILTER (d > 0)', 5)} AS {c}"""
+
+
+_SITE_SUMS = """count(*) AS n, sum(pow(pred-target,2)) AS e, sum(pred) AS x, sum(target) AS y, sum(pred*pred) AS xx, sum(target*target) AS yy, sum(pred*target) AS xy"""
+_R = "CASE WHEN yy - y*y/n > 1e-12 AND xx - x*x/n > 1e-12 THEN (xy - x*y/n)/sqrt((yy - y*y/n)*(xx - x*x/n)) END"
+
+
+@query("M8_cluster_bootstrap", f"""WITH l AS (SELECT * FROM {LONG} l WHERE task = 'sm'), {DRAWS('t', 'site', 'l', 200, 20)},
+ s AS (SELECT site, mode, {_SITE_SUMS} FROM l GROUP BY 1, 2),
+ a AS (SELECT d, mode, sum(w*n) AS n, sum(w*e) AS e, sum(w*x) AS x, sum(w*y) AS y, sum(w*xx) AS xx, sum(w*yy) AS yy, sum(w*xy) AS xy FROM s JOIN t ON t.k = s.site GROUP BY 1, 2),
+ m AS (SELECT d, mode, 'rmse' AS metric, sqrt(e/n) AS score FROM a UNION ALL SELECT d, mode, 'pearson_r', {_R} FROM a),
+ c AS (SELECT m.*, m.score - b.score AS change FROM m JOIN m b ON b.d = m.d AND b.metric = m.metric AND b.mode = 'a')
+ SELECT mode, metric, {R('max(score) FILTER (d = 0)', 5)} AS score, {BOUNDS('change', 'change, low, high')} FROM c GROUP BY 1, 2""")
 def m8(t):
     """Change against a reference mode, resampling whole sites with shared weights."""
     out = metrics.paired_mode_bootstrap(_long(t).filter("task = 'sm'"), "site", "mode", "pred", "target", "a", 200, 20)
     return out.select("mode", "metric", *[r6(c, 5).alias(c) for c in ("score", "change", "low", "high")])
 
 
-@query("M9_paired_block_bootstrap")
+@query("M9_paired_block_bootstrap", f"""WITH l AS (SELECT * FROM {LONG} l WHERE task = 'et'), {DRAWS('t', 'site', 'l', 200, 7)},
+ s AS (SELECT site, mode, {_SITE_SUMS} FROM l GROUP BY 1, 2), a AS (SELECT d, mode, sqrt(sum(w*e)/sum(w*n)) AS rmse FROM s JOIN t ON t.k = s.site GROUP BY 1, 2),
+ p AS (SELECT d, max(rmse) FILTER (mode = 'a') AS a, max(rmse) FILTER (mode = 'b') AS b FROM a GROUP BY 1)
+ SELECT {BOUNDS('b - a', 'difference, low, high')}, {R('max((a - b)/a) FILTER (d = 0)', 5)} AS relative_improvement FROM p""")
 def m9(t):
     """RMSE difference of two arms on the same blocks, with the relative improvement."""
     out = metrics.paired_arms(_long(t).filter("task = 'et'"), "site", "mode", "pred", "target", "a", "b", 200, 7)
     return out.select(*[r6(c, 5).alias(c) for c in ("difference", "low", "high", "relative_improvement")])
 
 
-@query("M10_seed_block_bootstrap")
+@query("M10_seed_block_bootstrap", f"""WITH l AS (SELECT *, CAST(frequency_bin AS VARCHAR) AS seed FROM {LONG} l), {DRAWS('u', 'seed', 'l', 100, 11)}, {DRAWS('t', 'site', 'l', 100, 12)},
+ s AS (SELECT seed, site, mode, {_SITE_SUMS} FROM l GROUP BY 1, 2, 3),
+ p AS (SELECT t.d, mode, seed, max(u.w) AS ws, sum(t.w*n) AS n, sum(t.w*e) AS e FROM s JOIN t ON t.k = s.site JOIN u ON u.k = s.seed AND u.d = t.d GROUP BY 1, 2, 3),
+ m AS (SELECT d, mode, sum(sqrt(e/n)*ws)/sum(ws) AS score FROM p GROUP BY 1, 2)
+ SELECT mode, {BOUNDS('score')} FROM m GROUP BY 1""")
 def m10(t):
     """Seeds and blocks resampled together for every arm."""
     x = _long(t).withColumn("seed", F.col("frequency_bin").cast("string"))
@@ -111,12 +141,22 @@ def m10(t):
     return out.select("mode", *[r6(c, 5).alias(c) for c in ("value", "low", "high")])
 
 
-@query("M11_between_within")
+@query("M11_between_within", f"""WITH l AS (SELECT * FROM {LONG} l), {DRAWS('t', 'site', 'l', 100, 34)},
+ v AS (SELECT task, site, station, day, mode, avg(pred) AS x, avg(target) AS y FROM l GROUP BY 1, 2, 3, 4, 5),
+ st AS (SELECT task, site, station, mode, count(*) AS n, avg(x) AS mx, avg(y) AS my, sqrt(avg(pow(x-y,2))) AS err, var_pop(x)*count(*) AS sxx, var_pop(y)*count(*) AS syy, covar_pop(x, y)*count(*) AS sxy FROM v GROUP BY 1, 2, 3, 4),
+ s AS (SELECT task, site, mode, count(*) AS many, sum(n) AS wins, sum(mx) AS bx, sum(my) AS y, sum(mx*mx) AS bxx, sum(my*my) AS byy, sum(mx*my) AS bxy, sum(err) AS err, sum(CASE WHEN n >= 2 THEN sxx ELSE 0 END) AS wxx,
+   sum(CASE WHEN n >= 2 THEN syy ELSE 0 END) AS wyy, sum(CASE WHEN n >= 2 THEN sxy ELSE 0 END) AS wxy FROM st GROUP BY 1, 2, 3),
+ a AS (SELECT d, task, mode, sum(w*many) AS n, sum(w*wins) AS wins, sum(w*bx) AS x, sum(w*y) AS y, sum(w*bxx) AS xx, sum(w*byy) AS yy, sum(w*bxy) AS xy, sum(w*err) AS err, sum(w*wxx) AS wxx, sum(w*wyy) AS wyy, sum(w*wxy) AS wxy
+   FROM s JOIN t ON t.k = s.site GROUP BY 1, 2, 3),
+ m AS (SELECT d, task, mode, n, wins, 'between_r' AS metric, {_R} AS score FROM a UNION ALL SELECT d, task, mode, n, wins, 'within_r', CASE WHEN wxx > 0 AND wyy > 0 THEN wxy/sqrt(wxx*wyy) END FROM a
+   UNION ALL SELECT d, task, mode, n, wins, 'macro_rmse', err/n FROM a),
+ c AS (SELECT m.*, m.score - b.score AS change FROM m LEFT JOIN m b ON b.d = m.d AND b.task = m.task AND b.metric = m.metric AND b.mode = 'a')
+ SELECT task, mode, metric, {BOUNDS('score')}, {BOUNDS('change', 'change, change_low, change_high')}, CAST(max(n) FILTER (d = 0) AS BIGINT) AS stations, CAST(max(wins) FILTER (d = 0) AS BIGINT) AS windows FROM c GROUP BY 1, 2, 3""")
 def m11(t):
-    """Between-station and within-station skill with site-clustered bounds."""
-    x = _long(t).filter("task = 'sm'").select("site", "station", F.col("day").alias("date"), "mode", "pred", "target")
-    out = metrics.station_skill(x, "mode", 100, 34)
-    return out.select("mode", "metric", *[r6(c, 5).alias(c) for c in ("value", "low", "high")])
+    """Between-station and within-station skill and its change against a reference mode, with site-clustered bounds."""
+    x = _long(t).select("task", "site", "station", F.col("day").alias("date"), "mode", "pred", "target")
+    out = metrics.station_skill(x, "mode", 100, 34, "a", ["task"])
+    return out.select("task", "mode", "metric", *[r6(c, 5).alias(c) for c in ("value", "low", "high", "change", "change_low", "change_high")], "stations", "windows")
 
 
 @query("M12_best_epoch", f"""WITH e AS (SELECT s_nationkey AS run, s_suppkey AS epoch, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE round(s_acctbal/1000) END AS score FROM supplier), b AS (SELECT run, max(score) AS score FROM e GROUP BY run)

@@ -262,3 +262,14 @@ def test_month_diverse_windows(spark):
             taken.append(d)
         assert not [d for d in days if d not in taken and all(abs((d - t).days) >= 25 for t in taken)]
     assert out["a"] != out["b"]  # the order of ties is the station's own
+
+
+def test_weighted_draws(spark):
+    """Shares of the draws follow the weights, tiny and zero ones included; nothing is drawn from nothing."""
+    rows = [("big", 500.0), ("half", 250.0), ("zero", 0.0), ("null", None)] + [(f"t{k}", 0.25) for k in range(1000)]
+    df = spark.createDataFrame(rows, "k string, w double").repartition(5)
+    out = [r.k for r in draws.weighted_draws(df, "k", "w", 4000, 3).collect()]
+    assert len(out) == 4000 and not {"zero", "null"} & set(out)
+    assert abs(out.count("big") - 2000) < 150 and abs(out.count("half") - 1000) < 130 and len(set(out)) > 500
+    assert sorted(out) == sorted(r.k for r in draws.weighted_draws(df.repartition(2), "k", "w", 4000, 3).collect())
+    assert draws.weighted_draws(df.filter("w < 0"), "k", "w", 10, 3).count() == 0
