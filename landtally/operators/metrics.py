@@ -146,8 +146,8 @@ def paired_mode_bootstrap(df: DataFrame, site: str, mode: str, pred: str, target
     return interval_of(diff, [mode, "metric"], "change").withColumnRenamed("value", "change").join(point, [mode, "metric"])
 
 
-def station_skill(df: DataFrame, mode: str, draws: int, seed: int, reference: str, by: list[str] = ()) -> DataFrame:
-    """Between-station and within-station correlation and macro RMSE per mode, and their change against ``reference``, with site-clustered bounds.
+def station_skill(df: DataFrame, mode: str, draws: int, seed: int, reference: str | None = None, by: list[str] = ()) -> DataFrame:
+    """Between-station and within-station correlation and macro RMSE per mode, and their change against ``reference`` if given, with site-clustered bounds.
 
     Sensors of one station and date are averaged first. Rows: ``by`` (such as the task), site, station, date, pred, target. All modes
     of a draw resample the same sites. ``stations`` and ``windows`` count what the estimates rest on.
@@ -169,10 +169,12 @@ def station_skill(df: DataFrame, mode: str, draws: int, seed: int, reference: st
     within = F.when((F.col("wxx") > 0) & (F.col("wyy") > 0), F.col("wxy") / F.sqrt(F.col("wxx") * F.col("wyy")))
     long = total.select("draw", *by, mode, "stations", "windows", between.alias("b"), within.alias("w"), (F.col("err") / k).alias("m")).select(
         "draw", *by, mode, "stations", "windows", F.expr("stack(3, 'between_r', b, 'within_r', w, 'macro_rmse', m) as (metric, score)"))
-    base = long.filter(F.col(mode) == reference).select("draw", *by, "metric", F.col("score").alias("_base"))
-    diff = long.join(base, ["draw", *by, "metric"], "left").withColumn("change", F.col("score") - F.col("_base"))
     keys = [*by, mode, "metric"]
     counts = long.filter("draw = 0").select(*keys, "stations", "windows")
+    if reference is None:
+        return interval_of(long, keys, "score").join(counts, keys)
+    base = long.filter(F.col(mode) == reference).select("draw", *by, "metric", F.col("score").alias("_base"))
+    diff = long.join(base, ["draw", *by, "metric"], "left").withColumn("change", F.col("score") - F.col("_base"))
     change = interval_of(diff, keys, "change").toDF(*keys, "change", "change_low", "change_high")
     return interval_of(diff, keys, "score").join(change, keys).join(counts, keys)
 
