@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from landtally.functions import geo
+# Names instead of the module: what runs in tasks must not take the module's own UDFs along.
+from landtally.functions.geo import _E2, WGS84_A, Arrays, inverse_mercator
 from landtally.session import spread
 
 # Fixed value: radius of the authalic sphere that is also the sphere of the sinusoidal land grid.
@@ -44,7 +45,7 @@ def cell_ring(left: Column, bottom: Column, width: Column, height: Column, sinus
 
 def equal_area(lon, lat, lon0: float, lat0: float) -> np.ndarray:
     """Lambert azimuthal equal-area metres around (lon0, lat0), last axis x and y. On the ellipsoid's authalic latitudes."""
-    e2 = geo._E2
+    e2 = _E2
     e = np.sqrt(e2)
 
     def authalic(phi):
@@ -53,9 +54,9 @@ def equal_area(lon, lat, lon0: float, lat0: float) -> np.ndarray:
 
     phi0, beta, beta0 = np.radians(lat0), authalic(np.radians(lat)), authalic(np.radians(lat0))
     q_pole = 1 + (1 - e2) * np.arctanh(e) / e
-    radius = geo.WGS84_A * np.sqrt(q_pole / 2)
+    radius = WGS84_A * np.sqrt(q_pole / 2)
     # The scale along the parallel of the centre is kept true.
-    stretch = geo.WGS84_A * np.cos(phi0) / np.sqrt(1 - e2 * np.sin(phi0) ** 2) / (radius * np.cos(beta0))
+    stretch = WGS84_A * np.cos(phi0) / np.sqrt(1 - e2 * np.sin(phi0) ** 2) / (radius * np.cos(beta0))
     turn = np.radians((np.asarray(lon) - lon0 + 180) % 360 - 180)
     k = radius * np.sqrt(2 / (1 + np.sin(beta0) * np.sin(beta) + np.cos(beta0) * np.cos(beta) * np.cos(turn)))
     x, y = k * np.cos(beta) * np.sin(turn), k * (np.cos(beta0) * np.sin(beta) - np.sin(beta0) * np.cos(beta) * np.cos(turn))
@@ -121,7 +122,7 @@ def overlap_areas(ring: np.ndarray, lattice: np.ndarray) -> np.ndarray:
 def _lattice(r, size: int, pixel_m: float) -> np.ndarray:
     """Pixel corners of a tile in its equal-area plane, from its upper left."""
     x, y = np.meshgrid(r.left_m + np.arange(size + 1) * pixel_m, r.top_m - np.arange(size + 1) * pixel_m)
-    lon, lat = geo.inverse_mercator(x, y, r.epsg % 100, float(r.epsg // 100 == 327), geo.Arrays)
+    lon, lat = inverse_mercator(x, y, r.epsg % 100, float(r.epsg // 100 == 327), Arrays)
     return equal_area(lon, lat, r.lon, r.lat)
 
 
