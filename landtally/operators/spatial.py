@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from landtally.functions import geo
+from landtally.operators.ordered import same_keys
 from landtally.session import cut_lineage, spread
 
 
@@ -168,22 +169,37 @@ def window_grid(areas: DataFrame, key: str, stride: float, core: float) -> DataF
     return out.filter(meets).select(key, "ix", "iy", "wx", "wy")
 
 
+#: Members of a class of equal boxes that travel together.
+MEMBERS = 512
+
+
 def boxes_intersect(left: DataFrame, right: DataFrame, cell: float, left_id: str, right_id: str) -> DataFrame:
     """Pairs of axis-aligned boxes that intersect (touching edges do not count).
 
-    Boxes are spread over grid cells; a pair is reported only by the cell that holds the lower-left
-    corner of the intersection, so no distinct is needed.
+    Equal boxes are one class, and only classes are compared: spread over grid cells, where a pair is reported by the cell
+    that holds the lower-left corner of the intersection, so no distinct is needed. The pairs of the members are then
+    listed from runs of about ``MEMBERS`` ids, dealt over all tasks.
     """
-    def spread(df: DataFrame, key: str, p: str) -> DataFrame:
+    corners = ["x0", "y0", "x1", "y1"]
+
+    def classes(df: DataFrame, key: str, p: str) -> tuple[DataFrame, DataFrame]:
+        found = df.groupBy(*corners).agg(F.min(key).alias(f"_{p}"), F.count(F.lit(1)).alias("_n"))
+        own = df.alias("d").join(found.alias("f"), same_keys("d", "f", corners)).select(F.col(f"d.{key}").alias("_id"), f"f._{p}", "f._n")
+        run = F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / MEMBERS))
+        return found, own.groupBy(f"_{p}", run.alias(f"_{p}run")).agg(F.collect_list("_id").alias(f"_{p}ids"))
+
+    def over_cells(found: DataFrame, p: str) -> DataFrame:
         cover = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell).cast("bigint"), F.floor(F.col(b) / cell).cast("bigint")))
-        out = df.select(F.col(key), *[F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")])
-        return out.withColumn("_cx", cover(f"{p}x0", f"{p}x1")).withColumn("_cy", cover(f"{p}y0", f"{p}y1"))
-    l, r = spread(left, left_id, "l"), spread(right, right_id, "r")
-    j = l.join(r, ["_cx", "_cy"])
+        out = found.select(f"_{p}", *[F.col(c).alias(f"{p}{c}") for c in corners])
+        return spread(out.withColumn("_cx", cover(f"{p}x0", f"{p}x1")).withColumn("_cy", cover(f"{p}y0", f"{p}y1")), "_cx", "_cy")
+    (lf, lm), (rf, rm) = classes(left, left_id, "l"), classes(right, right_id, "r")
+    j = over_cells(lf, "l").join(over_cells(rf, "r"), ["_cx", "_cy"])
     x0, y0 = F.greatest("lx0", "rx0"), F.greatest("ly0", "ry0")
     meets = (x0 < F.least("lx1", "rx1")) & (y0 < F.least("ly1", "ry1"))
     home = (F.floor(x0 / cell) == F.col("_cx")) & (F.floor(y0 / cell) == F.col("_cy"))
-    return j.filter(meets & home).select(left_id, right_id)
+    runs = j.filter(meets & home).select("_l", "_r").join(lm, "_l").join(rm, "_r")
+    runs = spread(runs, "_l", "_lrun", "_r", "_rrun").select("_rids", F.explode("_lids").alias(left_id))
+    return runs.select(left_id, F.explode("_rids").alias(right_id))
 
 
 def common_cells(boxes: DataFrame, cell: float, sensor: str, sensors: int, keys: list[str] = ()) -> DataFrame:
