@@ -22,3 +22,14 @@ def test_copies_of_boxes_are_compared_once(spark):
     want = sorted((p[0], q[0]) for p in a for q in b if p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4])
     assert sorted(map(tuple, out.collect())) == want
     assert "_lids" in plan_of(out) and "_rids" in plan_of(out)
+
+
+def test_percentiles_do_not_shuffle_rows_by_group(spark, monkeypatch):
+    """A hot group is never dealt whole to one task, whether the edges are few or many."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id") % 7).alias("g"), (F.col("id") * 7919 % 3000).cast("double").alias("v"))
+    want = {r.g: r.p for r in rows.groupBy("g").agg(F.percentile("v", 0.5).alias("p")).collect()}
+    seen = ordered._beside(rows.withColumnRenamed("v", "_v"), rows.select("g").distinct().withColumn("_edges", F.lit(1)), ["g"], ["_edges"])
+    assert "SortMergeJoin" not in plan_of(seen) and seen.count() == 3000
+    for small in (4096, 0):
+        monkeypatch.setattr(ordered, "SMALL", small)
+        assert {r.g: r.percentile for r in ordered.exact_percentiles(rows, ["g"], "v", [0.5], most=50).collect()} == want
