@@ -349,8 +349,7 @@ def e9(t):
 def e10(t):
     """As many rows of each bin as the smallest bin holds."""
     c = t.candidates.select("frequency_bin", "candidate_id").withColumn("h", K.hash_rank(7, K.quoted(F.col("candidate_id"))))
-    ranked = ordered.numbered_by_hash(c, ["frequency_bin"], "h", "draw_rank")
-    return draws.equal_bin_head(ranked, "frequency_bin", "draw_rank").select("frequency_bin", "candidate_id")
+    return draws.equal_bin_head_by_hash(c, "frequency_bin", "h").select("frequency_bin", "candidate_id")
 
 
 @query("E11_latest_composite", f"""WITH s AS (SELECT p_partkey AS scene, CAST(DATE '2024-01-01' + CAST(p_partkey % 45 AS INTEGER) AS DATE) AS a, p_size AS cloud FROM part), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),

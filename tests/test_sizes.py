@@ -33,3 +33,14 @@ def test_percentiles_do_not_shuffle_rows_by_group(spark, monkeypatch):
     for small in (4096, 0):
         monkeypatch.setattr(ordered, "SMALL", small)
         assert {r.g: r.percentile for r in ordered.exact_percentiles(rows, ["g"], "v", [0.5], most=50).collect()} == want
+
+
+def test_first_by_hash_ranks_the_cut_only(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 30, None).otherwise(F.col("id") % 3).alias("g"), "id", K.hash_rank(7, F.col("id").cast("string")).alias("h"))
+    got = draws.equal_bin_head_by_hash(rows.withColumnRenamed("g", "b"), "b", "h")
+    all_ = {}
+    for r in rows.collect():
+        all_.setdefault(r.g, []).append((r.h, r.id))
+    assert sorted((r.b is None, r.b or 0, r.id) for r in got.collect()) == sorted((g is None, g or 0, i) for g, v in all_.items() for _, i in sorted(v)[:30])
+    five = ordered.first_by_hash(rows, ["g"], "h", F.lit(5))
+    assert sorted((r.g is None, r.g or 0, r.id) for r in five.collect()) == sorted((g is None, g or 0, i) for g, v in all_.items() for _, i in sorted(v)[:5])
