@@ -44,3 +44,22 @@ def test_first_by_hash_ranks_the_cut_only(spark):
     assert sorted((r.b is None, r.b or 0, r.id) for r in got.collect()) == sorted((g is None, g or 0, i) for g, v in all_.items() for _, i in sorted(v)[:30])
     five = ordered.first_by_hash(rows, ["g"], "h", F.lit(5))
     assert sorted((r.g is None, r.g or 0, r.id) for r in five.collect()) == sorted((g is None, g or 0, i) for g, v in all_.items() for _, i in sorted(v)[:5])
+
+
+def test_rows_of_no_drawn_bucket_are_not_ordered(spark, monkeypatch):
+    """Twenty draws of 3,000 rows: only the rows of the buckets they fall in are put in order."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 5).cast("double").alias("w"))
+    seen, plain = [], draws.running_before
+    monkeypatch.setattr(draws, "running_before", lambda df, groups, *a: (seen.append(df.count()) if "k" in df.columns else None) or plain(df, groups, *a))
+    out = {r.draw: r.k for r in draws.weighted_draws(rows, "k", "w", 20, 9).collect()}
+    assert len(out) == 20 and sum(seen) < 200
+    ordered_rows = rows.filter("w > 0").withColumn("h", K.hash_rank(9, K.quoted(F.col("k")))).orderBy("h").collect()
+    units = spark.range(1, 21).select("id", K.hash_unit(K.fingerprint(9, K.quoted(F.lit("draw")), F.col("id"))).alias("u")).collect()
+    total = sum(r.w for r in ordered_rows)
+    for u in units:
+        end = 0.0
+        for r in ordered_rows:
+            end += r.w
+            if u.u * total <= end:
+                break
+        assert out[u.id] == r.k
