@@ -63,3 +63,11 @@ def test_rows_of_no_drawn_bucket_are_not_ordered(spark, monkeypatch):
             if u.u * total <= end:
                 break
         assert out[u.id] == r.k
+
+
+def test_conflict_free_leaves_rows_without_place(spark):
+    """A row without place or day ends the rounds too, and copies of a place and day do not take part."""
+    rows = [(i, f"{i * 37 % 101:03d}", 10.0, 20.0, i % 2) for i in range(100)] + [(200, "000", None, 1.0, 0), (201, "001", 9.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, rank string, x double, y double, d int").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d") * 60))
+    first = [min((r for r in rows[:100] if r[4] == k), key=lambda r: r[1])[0] for k in (0, 1)]
+    assert sorted(r.id for r in draws.conflict_free(df, "id", "rank", "x", "y", "day", max_dates=4).collect()) == sorted(first)
