@@ -71,3 +71,21 @@ def test_conflict_free_leaves_rows_without_place(spark):
     df = spark.createDataFrame(rows, "id long, rank string, x double, y double, d int").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d") * 60))
     first = [min((r for r in rows[:100] if r[4] == k), key=lambda r: r[1])[0] for k in (0, 1)]
     assert sorted(r.id for r in draws.conflict_free(df, "id", "rank", "x", "y", "day", max_dates=4).collect()) == sorted(first)
+
+
+def _candidates(spark):
+    rows = spark.range(400).select(F.concat(F.lit("c"), "id").alias("candidate_id"), (F.col("id") % 2).cast("int").alias("frequency_bin"), F.concat(F.lit("s"), F.col("id") % 10).alias("physical_group_id"),
+                                   (F.col("id") % 3).cast("int").alias("landcover"), F.lit(1).alias("climate_class"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 37 % 90 * 8).cast("int")).alias("target_time"))
+    return rows.withColumns({"year": F.year("target_time"), "month": F.month("target_time")})
+
+
+def test_candidates_are_kept_once_for_all_rounds(spark, monkeypatch):
+    """Every round reads the same table; where the successes fill every bin, none is written."""
+    names, plain = [], draws.written
+    monkeypatch.setattr(draws, "written", lambda df, name: names.append(name) or plain(df, name))
+    c, quotas = _candidates(spark), spark.createDataFrame([(0, 12), (1, 9)], "frequency_bin int, quota long")
+    assert draws.stratified_pick(c, quotas, 7, 40).count() == 21 and names.count("pool") == 1
+    names.clear()
+    attempts = c.select("candidate_id", F.lit(True).alias("success"))
+    out = draws.refill_plan(c, attempts, quotas, 7, 40)
+    assert out.count() == 0 and names == [] and out.columns == draws.stratified_pick(c, quotas, 7, 40).columns
