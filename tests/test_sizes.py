@@ -89,3 +89,16 @@ def test_candidates_are_kept_once_for_all_rounds(spark, monkeypatch):
     attempts = c.select("candidate_id", F.lit(True).alias("success"))
     out = draws.refill_plan(c, attempts, quotas, 7, 40)
     assert out.count() == 0 and names == [] and out.columns == draws.stratified_pick(c, quotas, 7, 40).columns
+
+
+def test_capacity_draw_writes_narrow_tables(spark, monkeypatch):
+    """Between the levels only ids, strata, dates and visits are written; ranks number each bin and capacities are met."""
+    tables, plain = [], draws.written
+    monkeypatch.setattr(draws, "written", lambda df, name: tables.append(df.columns) or plain(df, name))
+    c = _candidates(spark).withColumn("physical_group_id", F.concat("physical_group_id", F.lit("-"), "frequency_bin"))
+    out = draws.capacity_draw(c, 43)
+    got = {r.physical_group_id: r.n for r in out.groupBy("physical_group_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {r.physical_group_id: r.capacity for r in draws.spaced_capacity(c, ["physical_group_id"], "target_time").collect()}
+    assert len(tables) == 5 and not any({"_hash", "_child"} & set(t) for t in tables) and out.columns == [*c.columns, "draw_rank"]
+    ranks = draws.picker_positions(c, 43, "n").groupBy("frequency_bin").agg(F.min("n"), F.max("n"), F.count_distinct("n"), F.count(F.lit(1))).collect()
+    assert all(r[1] == 1 and r[2] == r[3] == r[4] for r in ranks)
