@@ -16,7 +16,6 @@ _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
 
 #: Byte classes of the two word definitions. Every byte of a multi-byte character is at least 0x80.
 SPACED = np.ones(256, dtype=bool)
@@ -43,6 +42,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Powers(dict):
+    """Arrays that stay in the process that made them: this module travels by value with every function that uses it."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_POWERS = _Powers()
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, BLOCK_BYTES + 65536)
