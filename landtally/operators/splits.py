@@ -34,11 +34,12 @@ def assign_splits(stations: DataFrame, products: DataFrame, seed: int = 43, deve
     grouped = spatial.components(nodes, near.unionByName(tiles), "location_id", "spatial_group_id")
     names = located.join(physical, "location_id")
     physical_name = names.groupBy("_physical").agg(F.min("group_id").alias("physical_group_id"))
-    circles = cut_lineage(spatial.tile_circle(located.select("location_id", "lon", "lat")))
-    hits = spatial.circles_overlap(circles, products, left_id="location_id", right_id="product_id")
-    touched = hits.groupBy("location_id").agg(F.countDistinct("product_id").alias("product_overlap_count"))
-    out = names.join(physical_name, "_physical").drop("_physical").join(grouped, "location_id").join(touched, "location_id", "left")
-    out = out.withColumn("product_overlap_count", F.coalesce("product_overlap_count", F.lit(0)))
+    supports = _supports(products)
+    counts = _support_counts(_supports_met(place_circles, supports, "a"), supports, "a")
+    touched = places.join(counts, "a").select("lon", "lat", "product_overlap_count")
+    out = names.join(touched, ["lon", "lat"], "left").join(physical_name, "_physical").drop("_physical").join(grouped, "location_id")
+    out = out.withColumn("product_overlap_count", F.coalesce("product_overlap_count", F.lit(0))).select(
+        "location_id", *[c for c in located.columns if c != "location_id"], "physical_group_id", "spatial_group_id", "product_overlap_count")
     dev = F.lit(False) if development is None else development
     out = cut_lineage(out)
     flags = out.groupBy("spatial_group_id").agg(
@@ -53,6 +54,35 @@ def assign_splits(stations: DataFrame, products: DataFrame, seed: int = 43, deve
     return out.unionByName(lost, allowMissingColumns=True)
 
 
+def _supports(products: DataFrame) -> DataFrame:
+    """(product_id, support): many products have one circle, which is measured once."""
+    return cut_lineage(products.select("product_id", F.struct("lon", "lat", "radius_m").alias("support")).distinct())
+
+
+def _supports_met(circles: DataFrame, supports: DataFrame, key: str) -> DataFrame:
+    """(key, support) where circles meet; pairs of places and circles, whatever the number of stations and products on them."""
+    each = supports.select("support").distinct().select("support", "support.*")
+    return cut_lineage(spatial.circles_overlap(circles, each, left_id=key, right_id="support").select(key, "support"))
+
+
+def _support_counts(met: DataFrame, supports: DataFrame, key: str) -> DataFrame:
+    """Distinct products per key: those with one circle are summed by circle, only those with several are told apart by id."""
+    spans = supports.groupBy("product_id").agg(F.min("support").alias("_lo"), F.max("support").alias("_hi"))
+    single = spans.filter("_lo = _hi").groupBy(F.col("_lo").alias("support")).agg(F.count("product_id").alias("_n"))
+    several = supports.join(spans.filter("_lo <> _hi").select("product_id"), "product_id")
+    counts = met.join(single, "support").select(key, "_n").unionByName(
+        met.join(several, "support").groupBy(key).agg(F.countDistinct("product_id").alias("_n")))
+    return counts.groupBy(key).agg(F.sum("_n").alias("product_overlap_count"))
+
+
+def product_hits(stations: DataFrame, products: DataFrame) -> DataFrame:
+    """Products (``product_id``) that meet the tile of any station; ``stations``: lon, lat."""
+    places = stations.select("lon", "lat").distinct().withColumn("place", F.struct("lon", "lat"))
+    supports = _supports(products)
+    met = _supports_met(cut_lineage(spatial.tile_circle(places)), supports, "place")
+    return supports.join(met.select("support").distinct(), "support").select("product_id").distinct()
+
+
 def product_selection(products: DataFrame, hits: DataFrame) -> DataFrame:
     """Drop evaluation products that meet a train station support."""
     leaked = hits.filter("site_split = 'train'").select("product_id").distinct()

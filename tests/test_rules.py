@@ -22,6 +22,26 @@ def test_tiles_that_meet_share_a_group(spark):
     assert out[1].physical_group_id != out[2].physical_group_id
 
 
+def test_products_are_counted_without_listing_their_pairs_with_stations(spark, monkeypatch):
+    # 40 stations on two places; products 0 to 29 on one circle, 30 on two circles of one place, 31 on circles of both, one without id.
+    stations = spark.createDataFrame([(k, f"g{k}", 10.0 if k < 30 else 40.0, 50.0) for k in range(40)], "location_id long, group_id string, lon double, lat double")
+    rows = [(p, 10.0, 50.0, 900.0) for p in range(30)] + [(30, 10.0, 50.0, 900.0), (30, 10.001, 50.0, 900.0), (31, 10.0, 50.0, 900.0), (31, 40.0, 50.0, 900.0),
+                                                         (None, 40.0, 50.0, 900.0), (32, None, None, 900.0), (33, -60.0, 0.0, 900.0)]
+    products = spark.createDataFrame(rows + rows[:3], "product_id long, lon double, lat double, radius_m double")
+    plain, listed = splits.spatial.circles_overlap, []
+
+    def counted(*args, **names):
+        out = plain(*args, **names)
+        listed.append(out.count())
+        return out
+    monkeypatch.setattr(splits.spatial, "circles_overlap", counted)
+    out = {r.location_id: r for r in splits.assign_splits(stations, products).collect()}
+    assert [out[k].product_overlap_count for k in (0, 29, 30, 39)] == [32, 32, 1, 1]
+    assert {r.split for r in out.values()} == {"train"}
+    assert max(listed) <= 4
+    assert {r.product_id for r in splits.product_hits(stations, products).collect()} == {*range(32), None}
+
+
 def test_hann_weights(spark):
     got = [r[0] for r in spark.range(8).orderBy("id").select(pixels.hann(F.col("id"), 8)).collect()]
     assert got == pytest.approx([math.sin(math.pi * (k + 1) / 9) ** 2 for k in range(8)])
