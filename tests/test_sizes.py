@@ -2,7 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from landtally.functions import keys as K
 from landtally.operators import draws, ordered, spatial
@@ -102,3 +102,76 @@ def test_capacity_draw_writes_narrow_tables(spark, monkeypatch):
     assert len(tables) == 5 and not any({"_hash", "_child"} & set(t) for t in tables) and out.columns == [*c.columns, "draw_rank"]
     ranks = draws.picker_positions(c, 43, "n").groupBy("frequency_bin").agg(F.min("n"), F.max("n"), F.count_distinct("n"), F.count(F.lit(1))).collect()
     assert all(r[1] == 1 and r[2] == r[3] == r[4] for r in ranks)
+
+
+def _chained(c, seed):
+    """Positions of the rotation by rankings of all rows, level by level."""
+    paths = [["frequency_bin", "landcover", "climate_class", "year", "month", "physical_group_id"][:k] for k in (6, 5, 4, 3, 1)]
+    out = c.withColumn("v", F.row_number().over(Window.partitionBy(*paths[0]).orderBy(K.hash_rank(seed, K.quoted(F.col("candidate_id"))))))
+    for child, parent in zip(paths, paths[1:]):
+        out = out.withColumn("h", K.hash_rank(seed, K.canonical_list(*[F.col(k) for k in child])))
+        out = out.withColumn("v", F.row_number().over(Window.partitionBy(*parent).orderBy("v", "h")))
+    return {r.candidate_id: r.v for r in out.collect()}
+
+
+def _uneven_candidates(spark):
+    """Sites and months of one row to many, with NULL strata and a NULL site."""
+    c = spark.range(900).select(F.concat(F.lit("c"), "id").alias("candidate_id"), F.when(F.col("id") < 350, 1).otherwise(F.col("id") % 3).cast("int").alias("frequency_bin"),
+                                F.when(F.col("id") < 300, "hot").when(F.col("id") % 23 == 0, None).otherwise(F.concat(F.lit("s"), F.col("id") * 31 % 47)).alias("physical_group_id"),
+                                F.when(F.col("id") % 7 > 0, F.col("id") % 3).cast("int").alias("landcover"), (F.col("id") * 13 % 4).cast("int").alias("climate_class"),
+                                F.date_add(F.lit("2020-01-01").cast("date"), (F.pow("id", 2) % 97 * 9).cast("int")).alias("target_time"))
+    return c.withColumns({"year": F.when(F.year("target_time") < 2022, F.year("target_time")), "month": F.when(F.month("target_time") < 12, F.month("target_time"))})
+
+
+def test_rotation_follows_from_counts(spark, monkeypatch):
+    """Positions equal chained rankings of all rows, though no table of candidates is written, whether sites and months are small, cut by hash or cut by visits."""
+    c, tables, plain = _uneven_candidates(spark).cache(), [], draws.written
+    monkeypatch.setattr(draws, "written", lambda df, name: tables.append(df.columns) or plain(df, name))
+    want = _chained(c, 43)
+    for visits, rows, placed in ((1024, 1 << 20, 1 << 18), (1024, 1 << 20, 7), (4, 1 << 20, 1 << 18), (3, 250, 5)):
+        monkeypatch.setattr(draws, "VISITS", visits), monkeypatch.setattr(draws, "STATION_ROWS", rows), monkeypatch.setattr(draws, "PLACED", placed)
+        got = draws.picker_positions(c, 43, "n").select("candidate_id", "n").collect()
+        assert len(got) == len(want) and {r.candidate_id: r.n for r in got} == want
+    assert tables and not any("candidate_id" in t for t in tables)
+
+
+def test_capacity_picks_are_the_draw(spark):
+    """The picks come out of the shuffle by station with the draw's ids and ranks, without a join with the candidates."""
+    c = _candidates(spark).withColumn("physical_group_id", F.concat("physical_group_id", F.lit("-"), "frequency_bin"))
+    picks = draws.capacity_picks(c, 43)
+    names = ["frequency_bin", "physical_group_id", "target_time", "candidate_id", "draw_rank"]
+    assert sorted(map(tuple, picks.select(names).collect())) == sorted(map(tuple, draws.capacity_draw(c, 43).select(names).collect()))
+    assert "Join" not in plan_of(picks).split("repartition", 1)[0].split("REPARTITION_BY_NUM", 1)[0]
+
+
+def test_station_step_equals_the_check_of_each_date(spark):
+    """Dates that keep the largest schedule possible, asked one by one, with equal ranks of words and numbers, timestamps and no gap."""
+    import datetime as dt
+    rng = random.Random(4)
+
+    def count(days, gap):
+        n, last = 0, None
+        for d in sorted(days):
+            if last is None or d - last >= gap:
+                n, last = n + 1, d
+        return n
+
+    base, rows, want = dt.date(2020, 1, 1), [], {}
+    for s in range(40):
+        days = rng.sample(range(200), rng.choice((1, 2, 12, 40)))
+        ranks = rng.sample(range(10, 99), len(days))
+        rows += [(f"s{s}", base + dt.timedelta(days=d), r, str(r), f"s{s}-{d}") for d, r in zip(days, ranks)]
+        for gap, full in ((30, True), (30, False), (1, True), (0, True)):
+            chosen, free = [], list(days)
+            for r, d in sorted(zip(ranks, days)):
+                if all(abs(d - k) >= gap for k in chosen):
+                    rest = [k for k in free if abs(k - d) >= gap]
+                    if not full or len(chosen) + 1 + count(rest, gap) >= count(days, gap):
+                        chosen, free = [*chosen, d], rest
+            want.setdefault((gap, full), set()).update(f"s{s}-{d}" for d in chosen)
+    df = spark.createDataFrame(rows, "physical_group_id string, target_time date, n long, word string, candidate_id string")
+    for (gap, full), ids in want.items():
+        for rank in ("n", "word"):
+            assert {r.candidate_id for r in draws.spaced_picks(df, ["physical_group_id"], rank, gap, full=full).collect()} == ids
+    timed = df.withColumn("target_time", F.col("target_time").cast("timestamp") + F.expr("INTERVAL 5 HOURS"))
+    assert {r.candidate_id for r in draws.spaced_picks(timed, ["physical_group_id"], "n", 30, full=True).collect()} == want[30, True]
